@@ -292,7 +292,7 @@ def _drop_empty(state: _Newton, terms: Sequence[Term], sums: np.ndarray) -> None
     """Mark levels without an event, whose coefficient has no finite estimate."""
     p = len(state.beta)
     state.null = sums[2]
-    factor = np.concatenate([np.full(t.width, bool(t.levels)) for t in terms]) if p else np.zeros(0, bool)
+    factor = np.array([bool(t.levels) for t in terms for _ in range(t.width)], dtype=bool)
     state.dropped = factor & (sums[3 + p : 3 + 2 * p] == 0)
     if not state.dropped.any():
         state.advance(sums, 0.0)

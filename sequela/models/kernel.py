@@ -28,7 +28,7 @@ class Term:
 
 def design(rows: np.ndarray, terms: Sequence[Term], at: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Design matrix of the terms, and which rows have all of them."""
-    cols, known = [], np.ones(len(rows), dtype=bool)
+    cols, known = [np.zeros((len(rows), 0))], np.ones(len(rows), dtype=bool)
     for term, position in zip(terms, at):
         value = rows[:, FIRST_TERM + position]
         if term.levels:

@@ -72,20 +72,23 @@ def linked_cases(ev: DataFrame, cohort: DataFrame, keys: Sequence[str]) -> DataF
 def control_pool(
     cohort: DataFrame, prior: DataFrame, cases: DataFrame, endpoints: Sequence[str]
 ) -> DataFrame:
-    """Cohort members without a prior event, per endpoint; ``event`` marks future cases.
+    """Cohort members without a prior event, per endpoint.
 
-    The endpoint names are study configuration, so each person is repeated by a
-    literal list.
+    ``event`` marks those who are or become cases and ``event_time`` is the day
+    they do. The endpoint names are study configuration, so each person is
+    repeated by a literal list; prior events and cases arrive in one join.
     """
     names = F.array(*[F.lit(e) for e in endpoints])
     spread = cohort.select(F.explode(names).alias("endpoint"), *cohort.columns)
-    flags = cases.select("endpoint", F.col("case_id").alias("person_id"), F.lit(1).alias("event"))
-    return (
-        spread.join(
-            prior.select("endpoint", "person_id").distinct(), ["endpoint", "person_id"], "left_anti"
-        )
-        .join(flags, ["endpoint", "person_id"], "left")
-        .fillna(0, ["event"])
+    marks = (
+        prior.select("endpoint", "person_id", F.lit(None).cast("date").alias("event_time"))
+        .unionByName(cases.select("endpoint", F.col("case_id").alias("person_id"), "event_time"))
+        .groupBy("endpoint", "person_id")
+        .agg(F.max("event_time").alias("event_time"), F.lit(True).alias("marked"))
+    )
+    joined = spread.join(marks, ["endpoint", "person_id"], "left")
+    return joined.filter(F.col("marked").isNull() | F.col("event_time").isNotNull()).select(
+        *spread.columns, "event_time", F.col("event_time").isNotNull().cast("int").alias("event")
     )
 
 
@@ -100,7 +103,7 @@ def _numbered(pool: DataFrame, keys: Sequence[str], salts: int) -> tuple[DataFra
     marked = pool.select(
         *stratum,
         "person_id",
-        "event",
+        "event_time",
         F.coalesce("death_date", F.lit(NEVER)).alias("last_day"),
         _salt(salts).alias("salt"),
     )
@@ -114,22 +117,22 @@ def _numbered(pool: DataFrame, keys: Sequence[str], salts: int) -> tuple[DataFra
         marked.withColumn("place", place)
         .join(offsets, cell)
         .withColumn("rank", F.col("offset") + F.col("place") - 1)
-        .select(*stratum, "rank", "person_id", "event")
+        .select(*stratum, "rank", "person_id", "event_time")
     )
     return ranked, counts.groupBy(*stratum, "last_day").agg(F.sum("n").alias("n"))
 
 
-def number_pool(pool: DataFrame, keys: Sequence[str], salts: int) -> DataFrame:
+def number_pool(pool: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+    """Pool members with their ``rank`` in the stratum, latest death first."""
     return _numbered(pool, keys, salts)[0]
 
 
-def _alive_counts(cases: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _alive_counts(cases: DataFrame, sizes: DataFrame, stratum: Sequence[str]) -> DataFrame:
     """Per stratum and case day: members who die later or never.
 
     A running sum over distinct days, so a partition is never longer than twice
     the calendar.
     """
-    stratum = ["endpoint", *keys]
     asked = cases.select(*stratum, F.col("event_time").alias("day")).distinct()
     both = asked.select(*stratum, "day", F.lit(0).alias("n"), F.lit(True).alias("asked")).unionByName(
         sizes.select(*stratum, F.col("last_day").alias("day"), "n", F.lit(False).alias("asked"))
@@ -141,34 +144,32 @@ def _alive_counts(cases: DataFrame, sizes: DataFrame, keys: Sequence[str]) -> Da
     return summed.filter("asked").select(*stratum, F.col("day").alias("event_time"), "alive")
 
 
-def match_candidates(
-    pool: DataFrame, cases: DataFrame, keys: Sequence[str], salts: int = 32
-) -> DataFrame:
-    """Cases with the number ``n_candidates`` of controls that fit.
+def match_candidates(pool: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+    """The pool's cases with the number ``n_candidates`` of controls that fit.
 
     A control fits when it agrees on all keys, is alive on the event day and is
     not the case itself. ``self_rank`` is the case's own rank when it is among
     the living members of its stratum.
     """
     ranked, sizes = _numbered(pool, keys, salts)
-    return _candidates(ranked, sizes, cases, keys)
+    return _candidates(ranked, sizes, pool, keys)
 
 
 def _candidates(
-    ranked: DataFrame, sizes: DataFrame, cases: DataFrame, keys: Sequence[str]
+    ranked: DataFrame, sizes: DataFrame, pool: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    own = ranked.filter("event = 1").select(
-        "endpoint", F.col("person_id").alias("case_id"), F.col("rank").alias("own_rank")
-    )
-    alive = F.coalesce("alive", F.lit(0))
-    inside = F.coalesce(F.col("own_rank") < alive, F.lit(False))
+    stratum = ["endpoint", *keys]
+    days = _alive_counts(pool.filter(F.col("event_time").isNotNull()), sizes, stratum)
+    inside = F.col("rank") < F.col("alive")
     return (
-        cases.join(_alive_counts(cases, sizes, keys), ["endpoint", *keys, "event_time"], "left")
-        .join(own, ["endpoint", "case_id"], "left")
+        ranked.filter(F.col("event_time").isNotNull())
+        .join(days, [*stratum, "event_time"])
         .select(
-            *cases.columns,
-            F.when(inside, F.col("own_rank")).alias("self_rank"),
-            (alive - inside.cast("long")).alias("n_candidates"),
+            *stratum,
+            F.col("person_id").alias("case_id"),
+            "event_time",
+            F.when(inside, F.col("rank")).alias("self_rank"),
+            (F.col("alive") - inside.cast("long")).alias("n_candidates"),
         )
     )
 
@@ -194,7 +195,6 @@ def _draws(k: int, seed: str) -> Column:
 
 def sample_controls(
     pool: DataFrame,
-    cases: DataFrame,
     keys: Sequence[str],
     k: int = 10,
     seed: str = "sequela",
@@ -204,20 +204,22 @@ def sample_controls(
 
     Cases with fewer than ``k`` candidates get all of them. The draw depends on
     the seed and the ids only, so a lost task draws the same controls again.
+    ``pick`` numbers the controls of a case from 0.
     """
     ranked, sizes = _numbered(pool, keys, salts)
-    asked = _candidates(ranked, sizes, cases, keys).withColumn("draw", F.explode(_draws(k, seed)))
+    asked = _candidates(ranked, sizes, pool, keys)
+    drawn = asked.select("*", F.posexplode(_draws(k, seed)).alias("pick", "draw"))
     past_self = F.coalesce(F.col("draw") >= F.col("self_rank"), F.lit(False))
-    chosen = asked.withColumn("rank", F.col("draw") + past_self.cast("long"))
+    chosen = drawn.withColumn("rank", F.col("draw") + past_self.cast("long"))
     controls = ranked.select(
         "endpoint",
         *keys,
         "rank",
         F.col("person_id").alias("control_id"),
-        F.col("event").alias("future_case"),
+        F.col("event_time").isNotNull().cast("int").alias("future_case"),
     )
     return chosen.join(controls, ["endpoint", *keys, "rank"]).select(
-        "endpoint", "case_id", "control_id", "event_time", *keys, "future_case"
+        "endpoint", "case_id", "control_id", "event_time", *keys, "future_case", "pick"
     )
 
 
@@ -230,16 +232,20 @@ def unmatched(cases: DataFrame, matched: DataFrame) -> DataFrame:
 def matched_sets(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row for each matched case and one for each of its controls.
 
+    The case row comes with the first control, so the sets need no second pass.
     Controls have ``event`` 0 even when they become cases later, and take the
     case's event date as index date.
     """
     shared = ["endpoint", "case_id", "event_time", *keys]
-    cases = matched.select(*shared).distinct()
-    return cases.select(
-        *shared, F.col("case_id").alias("person_id"), F.lit(1).alias("event")
-    ).unionByName(
-        matched.select(*shared, F.col("control_id").alias("person_id"), F.lit(0).alias("event"))
+
+    def member(person: str, event: int) -> Column:
+        return F.struct(F.col(person).alias("person_id"), F.lit(event).alias("event"))
+
+    control = member("control_id", 0)
+    members = F.when(F.col("pick") == 0, F.array(member("case_id", 1), control)).otherwise(
+        F.array(control)
     )
+    return matched.select(*shared, F.inline(members))
 
 
 def match_diagnostics(matched: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def first_event(ev: DataFrame) -> DataFrame:
     return picked.select("endpoint", "person_id", "r.*")
 
 
-def first_incident(
+def person_history(
     ev: DataFrame,
     begin: date,
     latest: Column,
@@ -113,10 +113,10 @@ def first_incident(
     lookback: int | None = None,
     years: int = 16,
 ) -> DataFrame:
-    """Study window, wash-out, age limit and first event as one aggregate.
+    """Per endpoint and person: whether a prior event exists, and the first adult study event.
 
-    Equal to ``first_event(min_age(washout(study_window(...))))`` with a single
-    shuffle and no join.
+    One aggregate in place of study window, wash-out join, age limit and first
+    event, so the events are shuffled once and combine before that.
     """
     start = F.col("start_date")
     is_prior = start < F.lit(begin)
@@ -127,12 +127,18 @@ def first_incident(
     )
     carry = [c for c in ev.columns if c not in ("endpoint", "person_id", "start_date", "code")]
     row = F.struct("start_date", "code", *carry)
-    people = ev.groupBy("endpoint", "person_id").agg(
-        F.max(is_prior).alias("had_prior"), F.min(F.when(in_study, row)).alias("r")
-    )
-    return people.filter(~F.col("had_prior") & F.col("r").isNotNull()).select(
-        "endpoint", "person_id", "r.*"
+    people = (
+        ev.filter(is_prior | in_study)
+        .groupBy("endpoint", "person_id")
+        .agg(F.max(is_prior).alias("had_prior"), F.min(F.when(in_study, row)).alias("r"))
     )
+    return people.select("endpoint", "person_id", "had_prior", "r.*")
+
+
+def first_incident(history: DataFrame) -> DataFrame:
+    """First incident events, as ``first_event`` gives them after the wash-out."""
+    kept = history.filter(~F.col("had_prior") & F.col("start_date").isNotNull())
+    return kept.drop("had_prior")
 
 
 def study_end(ev: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import date, timedelta
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sequela.config import FOLLOW_BANDS, StudyParams
 from sequela.functions.columns import days_between, key_uniform, short_number
@@ -199,7 +200,7 @@ def oe_summary(oe: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _poisson_draw(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for uniform, mean in pairs:
         yield pd.Series(poisson_quantiles(uniform.to_numpy(), mean.to_numpy()))
@@ -351,7 +352,7 @@ def _per_window(
     return wide.select("endpoint", F.col("t.doses").alias("doses"), F.inline(rows))
 
 
-@F.pandas_udf("lower double, upper double")
+@F.pandas_udf(T.StructType().add("lower", "double").add("upper", "double"))
 def _poisson_interval(events: pd.Series) -> pd.DataFrame:
     limits = [poisson_limits(int(x)) for x in events]
     return pd.DataFrame(limits, columns=["lower", "upper"])

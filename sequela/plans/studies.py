@@ -19,7 +19,7 @@ from sequela.operators import (
     sccs,
     status,
 )
-from sequela.sources.registers import positive_test_days, positive_tests
+from sequela.sources.registers import positive_test_days, positive_tests, staged
 from sequela.sources.testdata import PRODUCT_RULES, PRODUCTS, STUDY, Registers
 
 COVARIATES = ("age_year", "n_risk_gps", "n_tests_gp", "simd", "bmi", "diag_chd", "diag_stroke")
@@ -80,22 +80,38 @@ class Study:
         return outcome.min_age(outcome.washout(self.in_window, self.prior), self.p.min_age)
 
     @cached_property
-    def first(self) -> DataFrame:
-        """First incident event per endpoint and person."""
-        return outcome.first_incident(
+    def history(self) -> DataFrame:
+        return outcome.person_history(
             self.events, self.p.begin, self.latest,
             self.p.lag_days, self.p.lookback_days, self.p.min_age,
         )
 
+    @cached_property
+    def staged_history(self) -> DataFrame:
+        return staged(self.history)
+
+    @cached_property
+    def first(self) -> DataFrame:
+        """First incident event per endpoint and person."""
+        return outcome.first_incident(self.staged_history)
+
+    @cached_property
+    def prior_people(self) -> DataFrame:
+        return self.staged_history.filter("had_prior")
+
     # observed and expected
 
+    @cached_property
+    def oe_events(self) -> DataFrame:
+        return staged(self.incident.select("endpoint", "person_id", "start_date"))
+
     @cached_property
     def oe_ends(self) -> DataFrame:
-        return outcome.study_end(self.incident)
+        return outcome.study_end(self.oe_events)
 
     @cached_property
     def post(self) -> DataFrame:
-        return rates.first_post_exposure(self.incident, self.vacc, self.oe_ends)
+        return rates.first_post_exposure(self.oe_events, self.vacc, self.oe_ends)
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -123,19 +139,18 @@ class Study:
     @cached_property
     def pool(self) -> DataFrame:
         return matching.control_pool(
-            self.alive, self.prior, self.cases, list(self.p.endpoint_codes())
+            self.alive, self.prior_people, self.cases, list(self.p.endpoint_codes())
         )
 
     @cached_property
     def matched(self) -> DataFrame:
         return matching.sample_controls(
-            self.pool, self.cases, self.p.match_keys,
-            self.p.controls_per_case, self.p.seed, self.p.salts,
+            self.pool, self.p.match_keys, self.p.controls_per_case, self.p.seed, self.p.salts
         )
 
     @cached_property
     def sets(self) -> DataFrame:
-        return matching.matched_sets(self.matched, self.p.match_keys)
+        return staged(matching.matched_sets(self.matched, self.p.match_keys))
 
     @cached_property
     def cc_ends(self) -> DataFrame:
@@ -145,7 +160,7 @@ class Study:
     def exposed_sets(self) -> DataFrame:
         """Matched sets with exposure status at the index date."""
         banded = status.vacc_status(self.sets, self.vacc, self.cc_ends)
-        return status.collapse_status(status.product_at_index(banded))
+        return staged(status.collapse_status(status.product_at_index(banded)))
 
     @cached_property
     def model_sets(self) -> DataFrame:
@@ -177,37 +192,46 @@ class Study:
 
     @cached_property
     def sccs_rows(self) -> DataFrame:
-        return sccs.event_rows(self.sccs_study)
+        return staged(sccs.event_rows(self.sccs_study))
 
     @cached_property
     def sccs_ends(self) -> DataFrame:
-        return outcome.study_end(self.sccs_study)
+        return outcome.study_end(self.sccs_rows)
 
     def windows(self, include_uv: bool = False, fixed: bool = False) -> DataFrame:
         joined = sccs.sccs_events(self.sccs_rows, self.vacc, self.sccs_ends, include_uv)
         return sccs.sccs_windows(joined, self.p, fixed)
 
+    @cached_property
+    def all_windows(self) -> DataFrame:
+        """Windows of exposed people, and never-exposed people beside them."""
+        return staged(self.windows(include_uv=True))
+
+    @cached_property
+    def exposed_windows(self) -> DataFrame:
+        return self.all_windows.filter(F.col("vacc_type") != "uv")
+
     @cached_property
     def intervals(self) -> DataFrame:
         return sccs.split_intervals(self.windows())
 
     @cached_property
     def cuts(self) -> DataFrame:
-        return sccs.calendar_cuts(self.windows(include_uv=True))
+        return sccs.calendar_cuts(self.all_windows)
 
     @cached_property
     def spans(self) -> DataFrame:
-        return sccs.exposed_spans(self.windows(include_uv=True), self.cuts)
+        return sccs.exposed_spans(self.all_windows, self.cuts)
 
     @cached_property
     def uv_spans(self) -> DataFrame:
-        return sccs.unexposed_spans(self.windows(include_uv=True), self.cuts)
+        return sccs.unexposed_spans(self.all_windows, self.cuts)
 
     @cached_property
     def labelled(self) -> DataFrame:
-        ev = self.windows(include_uv=True)
         return sccs.label_sccs(
-            sccs.time_split(self.spans, ev), sccs.time_split(self.uv_spans, ev)
+            sccs.time_split(self.spans, self.all_windows),
+            sccs.time_split(self.uv_spans, self.all_windows),
         )
 
     # self-controlled, person-days
@@ -237,6 +261,10 @@ class Study:
     def two_dose(self) -> DataFrame:
         return exposure.require_dose2(self.analysis)
 
+    @cached_property
+    def staged_analysis(self) -> DataFrame:
+        return staged(self.analysis)
+
     @cached_property
     def panel(self) -> DataFrame:
         return persondays.full_panel(

@@ -10,6 +10,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def load_register(
@@ -51,19 +52,30 @@ def write_stage(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_stage(spark: SparkSession, path: str, endpoint: str | None = None) -> DataFrame:
+def read_stage(
+    spark: SparkSession, path: str, schema: StructType, endpoint: str | None = None
+) -> DataFrame:
     """Read a stage; naming an endpoint reads that endpoint's folder only."""
-    stage = spark.read.option("basePath", path).parquet(path)
-    stage = stage.withColumn("endpoint", F.col("endpoint").cast("string"))
+    stage = spark.read.schema(schema).parquet(path)
     return stage if endpoint is None else stage.filter(F.col("endpoint") == endpoint)
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files.
+
+    For tables that several branches of a plan read: they are built once, and a
+    lost executor costs a re-read, not the work before the stage.
+    """
+    spark = df.sparkSession
+    return read_stage(spark, write_stage(df, stage_root(spark)), df.schema)
+
+
 def write_results(df: DataFrame, path: str) -> str:
     """Write a result table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)
     return path
 
 
-def stack_results(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+def stack_results(spark: SparkSession, paths: Sequence[str], schema: StructType) -> DataFrame:
     """Read result tables of one layout and stack them."""
     return spark.read.schema(schema).option("header", True).csv(list(paths))
