@@ -536,7 +536,7 @@ def _series(s: Study) -> DataFrame:
 def l10_its_poisson(s: Study) -> DataFrame:
     steps = {"post_pb": s.p.begin, "post_az": s.p.shift(28)}
     fitted = None
-    daily = _series(s).persist()  # calendar days times endpoints
+    daily = registers.staged(_series(s))
     for endpoint in s.p.endpoint_names:
         series, _ = its_poisson(daily, steps, endpoint)
         fitted = series if fitted is None else fitted.unionByName(series)
