@@ -75,20 +75,26 @@ def control_pool(
     """Cohort members without a prior event, per endpoint.
 
     ``event`` marks those who are or become cases and ``event_time`` is the day
-    they do. The endpoint names are study configuration, so each person is
-    repeated by a literal list; prior events and cases arrive in one join.
+    they do. Prior events and cases arrive in one join per person, as a map with
+    at most one entry per endpoint; only then is the person repeated for the
+    endpoint names, which are study configuration.
     """
-    names = F.array(*[F.lit(e) for e in endpoints])
-    spread = cohort.select(F.explode(names).alias("endpoint"), *cohort.columns)
     marks = (
         prior.select("endpoint", "person_id", F.lit(None).cast("date").alias("event_time"))
         .unionByName(cases.select("endpoint", F.col("case_id").alias("person_id"), "event_time"))
         .groupBy("endpoint", "person_id")
-        .agg(F.max("event_time").alias("event_time"), F.lit(True).alias("marked"))
+        .agg(F.max("event_time").alias("event_time"))
+        .groupBy("person_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("endpoint", "event_time"))).alias("marks"))
+    )
+    names = F.array(*[F.lit(e) for e in endpoints])
+    spread = cohort.join(marks, "person_id", "left").select(
+        F.explode(names).alias("endpoint"), *cohort.columns, "marks"
     )
-    joined = spread.join(marks, ["endpoint", "person_id"], "left")
-    return joined.filter(F.col("marked").isNull() | F.col("event_time").isNotNull()).select(
-        *spread.columns, "event_time", F.col("event_time").isNotNull().cast("int").alias("event")
+    day = F.try_element_at("marks", F.col("endpoint"))
+    prior_only = F.map_contains_key("marks", F.col("endpoint")) & day.isNull()
+    return spread.filter(~F.coalesce(prior_only, F.lit(False))).select(
+        "endpoint", *cohort.columns, day.alias("event_time"), day.isNotNull().cast("int").alias("event")
     )
 
 
@@ -96,8 +102,13 @@ def _salt(salts: int) -> Column:
     return (key_hash("person_id", seed="salt") % salts).cast("int")
 
 
-def _numbered(pool: DataFrame, keys: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
-    """Pool members with their stratum rank, and the member counts per death date."""
+def number_pool(pool: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+    """Pool members with their ``rank`` in the stratum, latest death first.
+
+    The parts of a stratum are numbered apart and shifted by the running size
+    of the parts before them. The matching steps read the result three times:
+    stage it.
+    """
     stratum = ["endpoint", *keys]
     cell = [*stratum, "last_day", "salt"]
     marked = pool.select(
@@ -107,24 +118,20 @@ def _numbered(pool: DataFrame, keys: Sequence[str], salts: int) -> tuple[DataFra
         F.coalesce("death_date", F.lit(NEVER)).alias("last_day"),
         _salt(salts).alias("salt"),
     )
-    counts = marked.groupBy(*cell).agg(F.count("*").alias("n"))
     before = W.partitionBy(*stratum).orderBy(F.desc("last_day"), "salt")
-    offsets = counts.withColumn(
-        "offset", F.sum("n").over(before.rowsBetween(W.unboundedPreceding, -1))
-    ).select(*cell, F.coalesce("offset", F.lit(0)).alias("offset"))
+    offsets = (
+        marked.groupBy(*cell)
+        .agg(F.count("*").alias("n"))
+        .withColumn("offset", F.sum("n").over(before.rowsBetween(W.unboundedPreceding, -1)))
+        .select(*cell, F.coalesce("offset", F.lit(0)).alias("offset"))
+    )
     place = F.row_number().over(W.partitionBy(*cell).orderBy("person_id"))
-    ranked = (
+    return (
         marked.withColumn("place", place)
         .join(offsets, cell)
         .withColumn("rank", F.col("offset") + F.col("place") - 1)
-        .select(*stratum, "rank", "person_id", "event_time")
+        .select(*stratum, "rank", "person_id", "event_time", "last_day")
     )
-    return ranked, counts.groupBy(*stratum, "last_day").agg(F.sum("n").alias("n"))
-
-
-def number_pool(pool: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
-    """Pool members with their ``rank`` in the stratum, latest death first."""
-    return _numbered(pool, keys, salts)[0]
 
 
 def _alive_counts(cases: DataFrame, sizes: DataFrame, stratum: Sequence[str]) -> DataFrame:
@@ -144,33 +151,24 @@ def _alive_counts(cases: DataFrame, sizes: DataFrame, stratum: Sequence[str]) ->
     return summed.filter("asked").select(*stratum, F.col("day").alias("event_time"), "alive")
 
 
-def match_candidates(pool: DataFrame, keys: Sequence[str], salts: int = 32) -> DataFrame:
+def match_candidates(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The pool's cases with the number ``n_candidates`` of controls that fit.
 
     A control fits when it agrees on all keys, is alive on the event day and is
     not the case itself. ``self_rank`` is the case's own rank when it is among
     the living members of its stratum.
     """
-    ranked, sizes = _numbered(pool, keys, salts)
-    return _candidates(ranked, sizes, pool, keys)
-
-
-def _candidates(
-    ranked: DataFrame, sizes: DataFrame, pool: DataFrame, keys: Sequence[str]
-) -> DataFrame:
     stratum = ["endpoint", *keys]
-    days = _alive_counts(pool.filter(F.col("event_time").isNotNull()), sizes, stratum)
+    cases = ranked.filter(F.col("event_time").isNotNull())
+    sizes = ranked.groupBy(*stratum, "last_day").agg(F.count("*").alias("n"))
+    days = _alive_counts(cases, sizes, stratum)
     inside = F.col("rank") < F.col("alive")
-    return (
-        ranked.filter(F.col("event_time").isNotNull())
-        .join(days, [*stratum, "event_time"])
-        .select(
-            *stratum,
-            F.col("person_id").alias("case_id"),
-            "event_time",
-            F.when(inside, F.col("rank")).alias("self_rank"),
-            (F.col("alive") - inside.cast("long")).alias("n_candidates"),
-        )
+    return cases.join(days, [*stratum, "event_time"]).select(
+        *stratum,
+        F.col("person_id").alias("case_id"),
+        "event_time",
+        F.when(inside, F.col("rank")).alias("self_rank"),
+        (F.col("alive") - inside.cast("long")).alias("n_candidates"),
     )
 
 
@@ -194,11 +192,7 @@ def _draws(k: int, seed: str) -> Column:
 
 
 def sample_controls(
-    pool: DataFrame,
-    keys: Sequence[str],
-    k: int = 10,
-    seed: str = "sequela",
-    salts: int = 32,
+    ranked: DataFrame, keys: Sequence[str], k: int = 10, seed: str = "sequela"
 ) -> DataFrame:
     """Up to ``k`` random controls per case, without replacement within the case.
 
@@ -206,8 +200,7 @@ def sample_controls(
     the seed and the ids only, so a lost task draws the same controls again.
     ``pick`` numbers the controls of a case from 0.
     """
-    ranked, sizes = _numbered(pool, keys, salts)
-    asked = _candidates(ranked, sizes, pool, keys)
+    asked = match_candidates(ranked, keys)
     drawn = asked.select("*", F.posexplode(_draws(k, seed)).alias("pick", "draw"))
     past_self = F.coalesce(F.col("draw") >= F.col("self_rank"), F.lit(False))
     chosen = drawn.withColumn("rank", F.col("draw") + past_self.cast("long"))

@@ -124,38 +124,43 @@ def level_rates(panel: DataFrame, n_periods: int, merged: bool = False) -> DataF
     """Events, person-days and weekly rate for every level and period.
 
     Each product counts its own recipients, the infection levels count people
-    with a positive test, the periods count everyone. One pass: a day adds to
-    up to four levels. Levels without a day are listed with zeros.
+    with a positive test, the periods count everyone. Days are counted by their
+    joint levels first; each count then adds to up to four levels. Levels
+    without a day are listed with zeros.
     """
     sets = level_sets(merged)
-    entries = [
-        F.when(F.col("vacc_type") == product, F.struct(F.lit(col).alias("term"), F.col(col).alias("level")))
-        for col, product in LEVEL_SETS.items()
-    ]
-    entries.append(
-        F.when(
-            F.col("days3").isNotNull(),
-            F.struct(F.lit("expgr3").alias("term"), F.col("expgr3").alias("level")),
-        )
-    )
-    entries.append(
-        F.struct(F.lit("period").alias("term"), F.col("period").cast("string").alias("level"))
-    )
+    cells = panel.groupBy(
+        "endpoint", "vacc_type", *sets, "period", F.col("days3").isNotNull().alias("tested")
+    ).agg(F.sum("event").alias("event"), F.sum("interval").alias("personday"))
+
+    def entry(term: str) -> Column:
+        return F.struct(F.lit(term).alias("term"), F.col(term).cast("string").alias("level"))
+
+    entries = [F.when(F.col("vacc_type") == v, entry(c)) for c, v in LEVEL_SETS.items()]
+    entries += [F.when(F.col("tested"), entry("expgr3")), entry("period")]
     counted = (
-        panel.select(
-            "endpoint", "event", "interval", F.inline(F.array_compact(F.array(*entries)))
-        )
+        cells.select("endpoint", "event", "personday", F.inline(F.array_compact(F.array(*entries))))
         .groupBy("endpoint", "term", "level")
-        .agg(F.sum("event").alias("event"), F.sum("interval").alias("personday"))
+        .agg(F.sum("event").alias("event"), F.sum("personday").alias("personday"))
     )
     every = [(c, lv) for c, names in sets.items() for lv in names]
     every += [("period", str(i)) for i in range(1, n_periods + 1)]
     listed = F.array(
         *[F.struct(F.lit(c).alias("term"), F.lit(lv).alias("level")) for c, lv in every]
     )
-    dimension = panel.select("endpoint").distinct().select("endpoint", F.inline(listed))
-    full = dimension.join(counted, ["endpoint", "term", "level"], "left").fillna(
-        0, ["event", "personday"]
+    # one entry per level, so the map of an endpoint is as long as the level list
+    found = counted.groupBy("endpoint").agg(
+        F.map_from_entries(
+            F.collect_list(F.struct(F.struct("term", "level"), F.struct("event", "personday")))
+        ).alias("found")
+    )
+    hit = F.try_element_at("found", F.struct("term", "level"))
+    full = found.select("endpoint", "found", F.inline(listed)).select(
+        "endpoint",
+        "term",
+        "level",
+        F.coalesce(hit["event"], F.lit(0)).alias("event"),
+        F.coalesce(hit["personday"], F.lit(0)).alias("personday"),
     )
     return full.withColumn(
         "rate_week", F.try_divide(F.col("event"), F.col("personday")) * 7

@@ -176,7 +176,8 @@ def v2_age_band(s: Study) -> DataFrame:
 
 @query
 def v3_trim_future(s: Study) -> DataFrame:
-    return describe.count_by(s.consults, ["start_date"])
+    kept = outcome.trim_future(s.reg.consultations(), today=s.p.extract)
+    return describe.count_by(kept, ["start_date"])
 
 
 @query
@@ -270,7 +271,7 @@ def c4_control_pool(s: Study) -> DataFrame:
 
 @query
 def m1_match_candidates(s: Study) -> DataFrame:
-    found = matching.match_candidates(s.pool, s.p.match_keys, s.p.salts)
+    found = matching.match_candidates(s.ranked, s.p.match_keys)
     return found.drop("self_rank")
 
 
@@ -354,12 +355,12 @@ def r1_first_post_exposure(s: Study) -> DataFrame:
 
 @query
 def r2_exposure_followup(s: Study) -> DataFrame:
-    return rates.exposure_followup(s.vacc, s.reg.cohort(), s.post, s.oe_ends)
+    return rates.exposure_followup(s.doses, s.reg.cohort(), s.post, s.oe_ends)
 
 
 @query
 def r3_person_time(s: Study) -> DataFrame:
-    cells = rates.followup_cells(s.vacc, s.reg.cohort(), s.post, s.oe_ends)
+    cells = rates.followup_cells(s.doses, s.reg.cohort(), s.post, s.oe_ends)
     return rates.person_time(cells)
 
 
@@ -384,7 +385,7 @@ def r7_oe_summary(s: Study) -> DataFrame:
 
 
 def _simulated(s: Study) -> DataFrame:
-    return rates.simulate_oe(rates.oe_summary(s.oe), s.p.n_sims, s.p.seed)
+    return rates.simulate_oe(s.oe_cells, s.p.n_sims, s.p.seed)
 
 
 @query
@@ -410,19 +411,19 @@ def r10_oe_interval_overall(s: Study) -> DataFrame:
 
 @query
 def r11_oe_table(s: Study) -> DataFrame:
-    summary, sim = rates.oe_summary(s.oe), _simulated(s)
+    summary, sim = s.oe_cells, registers.staged(_simulated(s))
     by_age = rates.oe_interval(sim, ["endpoint", "vacc_type", "age_grp"])
     return rates.oe_table(summary, by_age, rates.oe_interval_overall(sim))
 
 
 @query
 def r12_dose2_incidence(s: Study) -> DataFrame:
-    return rates.dose2_incidence(s.analysis, s.vacc, s.reg.deaths(), s.p.end)
+    return rates.dose2_incidence(s.staged_analysis, s.doses, s.reg.deaths(), s.p.end)
 
 
 @query
 def r13_crude_rate(s: Study) -> DataFrame:
-    return rates.crude_rate(s.analysis, s.vacc, s.reg.deaths(), s.p.end)
+    return rates.crude_rate(s.staged_analysis, s.doses, s.reg.deaths(), s.p.end)
 
 
 # models

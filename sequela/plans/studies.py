@@ -52,11 +52,17 @@ class Study:
         kept = exposure.drop_inconsistent(self.wide, PRODUCTS)
         return exposure.min_gap(exposure.collapse_same_day(kept), self.p.min_gap_days)
 
+    @cached_property
+    def doses(self) -> DataFrame:
+        """The wide table, staged for flows that join it more than once."""
+        return staged(self.vacc)
+
     # outcomes
 
     @cached_property
     def consults(self) -> DataFrame:
-        return outcome.trim_future(self.reg.consultations(), today=self.p.extract)
+        """The cleaned register; its events, prior events and last day are all read from it."""
+        return staged(outcome.trim_future(self.reg.consultations(), today=self.p.extract))
 
     @cached_property
     def latest(self) -> Column:
@@ -111,7 +117,7 @@ class Study:
 
     @cached_property
     def post(self) -> DataFrame:
-        return rates.first_post_exposure(self.oe_events, self.vacc, self.oe_ends)
+        return rates.first_post_exposure(self.oe_events, self.doses, self.oe_ends)
 
     @cached_property
     def hist(self) -> DataFrame:
@@ -119,12 +125,17 @@ class Study:
 
     @cached_property
     def oe(self) -> DataFrame:
-        cells = rates.followup_cells(self.vacc, self.reg.cohort(), self.post, self.oe_ends)
+        cells = rates.followup_cells(self.doses, self.reg.cohort(), self.post, self.oe_ends)
         population = rates.weighted_population(self.reg.cohort())
         return rates.expected_events(
             rates.person_time(cells), self.hist, population, self.p.hist_days
         )
 
+    @cached_property
+    def oe_cells(self) -> DataFrame:
+        """Observed and expected per endpoint, product and age band."""
+        return staged(rates.oe_summary(self.oe))
+
     # matched case-control
 
     @cached_property
@@ -142,10 +153,14 @@ class Study:
             self.alive, self.prior_people, self.cases, list(self.p.endpoint_codes())
         )
 
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return staged(matching.number_pool(self.pool, self.p.match_keys, self.p.salts))
+
     @cached_property
     def matched(self) -> DataFrame:
         return matching.sample_controls(
-            self.pool, self.p.match_keys, self.p.controls_per_case, self.p.seed, self.p.salts
+            self.ranked, self.p.match_keys, self.p.controls_per_case, self.p.seed
         )
 
     @cached_property
@@ -249,7 +264,7 @@ class Study:
     def analysis(self) -> DataFrame:
         joined = outcome.analysis_set(
             self.dose2_events,
-            exposure.exposure_until(self.vacc, self.p.end),
+            exposure.exposure_until(self.doses, self.p.end),
             self.reg.deaths(),
             positive_test_days(self.reg.tests()),
             self.p.begin,
@@ -267,8 +282,9 @@ class Study:
 
     @cached_property
     def panel(self) -> DataFrame:
+        """Days of the two-dose people; unfolded anew by each reader, from staged people."""
         return persondays.full_panel(
-            self.two_dose, self.p.begin, self.p.end, self.p.period_days
+            exposure.require_dose2(self.staged_analysis), self.p.begin, self.p.end, self.p.period_days
         )
 
     @property

@@ -47,8 +47,9 @@ def stage_root(spark: SparkSession) -> str:
 
 
 def write_stage(df: DataFrame, path: str) -> str:
-    """Write a stage with one folder per endpoint."""
-    df.write.mode("overwrite").partitionBy("endpoint").parquet(path)
+    """Write a stage, with one folder per endpoint where rows have one."""
+    folders = [c for c in df.columns if c == "endpoint"]
+    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
     return path
 
 
@@ -56,7 +57,7 @@ def read_stage(
     spark: SparkSession, path: str, schema: StructType, endpoint: str | None = None
 ) -> DataFrame:
     """Read a stage; naming an endpoint reads that endpoint's folder only."""
-    stage = spark.read.schema(schema).parquet(path)
+    stage = spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
     return stage if endpoint is None else stage.filter(F.col("endpoint") == endpoint)
 
 

@@ -43,6 +43,10 @@ def _tables(spark, n=600, seed=3):
     return pool, case_df, eligible, {c for _, c, *_ in cases}
 
 
+def _ranked(pool):
+    return matching.number_pool(pool, KEYS, 4)
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return _tables(spark)
@@ -50,7 +54,7 @@ def tables(spark):
 
 def test_candidate_counts_equal_all_pairs(tables):
     pool, _, eligible, _ = tables
-    got = {r.case_id: r.n_candidates for r in matching.match_candidates(pool, KEYS, 4).collect()}
+    got = {r.case_id: r.n_candidates for r in matching.match_candidates(_ranked(pool), KEYS).collect()}
     assert got == {c: len(e) for c, e in eligible.items()}
 
 
@@ -64,7 +68,7 @@ def test_ranks_are_dense_within_a_stratum(tables):
 
 def test_controls_are_eligible_distinct_and_as_many_as_possible(tables):
     pool, cases, eligible, case_ids = tables
-    matched = matching.sample_controls(pool, KEYS, 5, "s", 4)
+    matched = matching.sample_controls(_ranked(pool), KEYS, 5, "s")
     chosen = {}
     for r in matched.collect():
         assert r.control_id in eligible[r.case_id]
@@ -79,32 +83,31 @@ def test_controls_are_eligible_distinct_and_as_many_as_possible(tables):
 
 def test_draws_do_not_depend_on_partitioning_or_row_order(tables, collect):
     pool = tables[0]
-    one = matching.sample_controls(pool.coalesce(1), KEYS, 5, "s", 4)
-    many = matching.sample_controls(pool.repartition(7, "band"), KEYS, 5, "s", 4)
+    one = matching.sample_controls(_ranked(pool.coalesce(1)), KEYS, 5, "s")
+    many = matching.sample_controls(_ranked(pool.repartition(7, "band")), KEYS, 5, "s")
     assert collect(one) == collect(many)
-    other = matching.sample_controls(pool, KEYS, 5, "t", 4)
+    other = matching.sample_controls(_ranked(pool), KEYS, 5, "t")
     assert collect(one) != collect(other)
 
 
 def test_every_candidate_is_equally_likely(spark):
     people = [(i, "F", 0, None) for i in range(13)]
     cohort = spark.createDataFrame(people, "person_id long, sex string, band int, death_date date")
-    case = spark.createDataFrame(
-        [("a", 4, BEGIN, "F", 0)], "endpoint string, case_id long, event_time date, sex string, band int"
+    names = [f"e{i}" for i in range(400)]
+    cases = spark.createDataFrame(
+        [(e, 4, BEGIN, "F", 0) for e in names],
+        "endpoint string, case_id long, event_time date, sex string, band int",
     )
     none = spark.createDataFrame([], "endpoint string, person_id long")
-    pool = matching.control_pool(cohort, none, case, ["a"]).cache()
-    parts = [matching.sample_controls(pool, KEYS, 3, f"s{i}", 2).select("control_id") for i in range(40)]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionAll(p)
-    seen = Counter(r.control_id for r in union.collect())
-    assert sum(seen.values()) == 120 and 4 not in seen and len(seen) == 12
-    assert sum((n - 10) ** 2 / 10 for n in seen.values()) < 31.3  # chi-square, 11 df, 0.1 %
+    pool = matching.control_pool(cohort, none, cases, names)
+    drawn = matching.sample_controls(_ranked(pool), KEYS, 3, "s").collect()
+    seen = Counter(r.control_id for r in drawn)
+    assert sum(seen.values()) == 1200 and 4 not in seen and len(seen) == 12
+    assert sum((n - 100) ** 2 / 100 for n in seen.values()) < 31.3  # chi-square, 11 df, 0.1 %
 
 
 def test_sets_have_one_case_row_and_keep_future_cases_as_controls(tables):
-    matched = matching.sample_controls(tables[0], KEYS, 5, "s", 4)
+    matched = matching.sample_controls(_ranked(tables[0]), KEYS, 5, "s")
     sets = matching.matched_sets(matched, KEYS).collect()
     cases = [r for r in sets if r.event == 1]
     assert len(cases) == len({r.case_id for r in sets})
@@ -125,7 +128,7 @@ def test_death_on_the_event_day_excludes_a_control(spark, collect):
     )
     none = spark.createDataFrame([], "endpoint string, person_id long")
     pool = matching.control_pool(cohort, none, case, ["a"])
-    assert collect(matching.sample_controls(pool, KEYS, 10), "control_id") == [(3,)]
+    assert collect(matching.sample_controls(_ranked(pool), KEYS, 10), "control_id") == [(3,)]
 
 
 def test_matching_age_groups(spark):
