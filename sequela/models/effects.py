@@ -8,17 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sequela.config import HOSP_LEVELS
+from sequela.functions.stats import normal_quantile
 from sequela.models.clogit import Fit, coef_table, fit, lr_test, strata_table
 from sequela.models.kernel import Term
 from sequela.operators.describe import crude_table
 
 
-def effect_table(coefs: DataFrame) -> DataFrame:
-    """Ratios with 1.96 standard error limits; the reference level is 1 / 1 / 1."""
+# 95 % limits of the matched-set tables; tables that quote a model's own
+# confidence interval use the exact normal quantile.
+Z_ROUNDED = 1.96
+Z_EXACT = normal_quantile(0.975)
+
+
+def effect_table(coefs: DataFrame, z: float = Z_ROUNDED) -> DataFrame:
+    """Ratios with limits ``z`` standard errors away; the reference level is 1 / 1 / 1."""
     reference = (F.col("coef") == 0) & F.col("se").isNull()
 
     def ratio(sign: int):
-        return F.when(reference, 1.0).otherwise(F.exp(F.col("coef") + sign * 1.96 * F.col("se")))
+        return F.when(reference, 1.0).otherwise(F.exp(F.col("coef") + sign * z * F.col("se")))
 
     return coefs.select(
         *[c for c in coefs.columns if c not in ("coef", "se", "p")],
@@ -102,7 +109,7 @@ def screen_covariates(
     shared = [t.name for t in (exposure, *base)]
     models = {"none": shared, **{c.name: [*shared, c.name] for c in candidates}}
     fits = fit(strata_table(sets, by, ["case_id"], terms), terms, models)
-    return effect_table(coef_table(sets.sparkSession, fits, by)).withColumnRenamed(
+    return effect_table(coef_table(sets.sparkSession, fits, by), Z_EXACT).withColumnRenamed(
         "model", "candidate"
     )
 
@@ -131,7 +138,7 @@ def extra_models(
     fits += fit(
         strata_table(never, by, ["case_id"], terms), terms, {"never_positive": [t.name for t in terms]}
     )
-    return effect_table(coef_table(sets.sparkSession, fits, by))
+    return effect_table(coef_table(sets.sparkSession, fits, by), Z_EXACT)
 
 
 def lr_table(

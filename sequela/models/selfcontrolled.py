@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sequela.config import SCCS_LEVELS, VT_LEVELS
 from sequela.models.clogit import Fit, coef_table, fit, strata_from_arrays, strata_table
-from sequela.models.effects import effect_table
+from sequela.models.effects import Z_EXACT, effect_table
 from sequela.models.kernel import Term
 from sequela.operators.persondays import level_rates, level_sets
 from sequela.operators.sccs import interval_rates, intervals_array
@@ -30,7 +30,7 @@ def sccs_fit(windows: DataFrame, intervals: DataFrame) -> DataFrame:
     """Rates and rate ratios per endpoint, product and level, joined by level name."""
     by = ["endpoint", "vacc_type"]
     spark = windows.sparkSession
-    effects = effect_table(coef_table(spark, interval_fits(windows, by), by)).select(
+    effects = effect_table(coef_table(spark, interval_fits(windows, by), by), Z_EXACT).select(
         *by, F.col("level").alias("expgr"), "est",
         F.when(F.col("level") != SCCS_LEVELS[0], F.col("lcl")).alias("lcl"),
         F.when(F.col("level") != SCCS_LEVELS[0], F.col("ucl")).alias("ucl"),
@@ -75,7 +75,7 @@ def sccs_models(labelled: DataFrame) -> DataFrame:
     product = coef_table(spark, fits["product"], ["endpoint", "subset"])
     rest = coef_table(spark, fits["uv"] + fits["joint"], ["endpoint"])
     return effect_table(
-        product.drop("model").withColumnRenamed("subset", "model").unionByName(rest)
+        product.drop("model").withColumnRenamed("subset", "model").unionByName(rest), Z_EXACT
     )
 
 

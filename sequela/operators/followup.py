@@ -42,8 +42,12 @@ def attach_admissions(df: DataFrame, spells: DataFrame, begin: date) -> DataFram
     open_or_later = spells.filter(
         F.col("emergency") & (left.isNull() | (left > F.lit(begin)))
     ).select("person_id", "admission_date", "discharge_date")
+    # inner and anti join in place of a left join: the inner join can split a
+    # person with very many spells over tasks
+    admitted = df.join(open_or_later, "person_id")
+    others = df.join(open_or_later.select("person_id").distinct(), "person_id", "left_anti")
     days = days_between(F.col("admission_date"), F.col("start_date"))
-    return df.join(open_or_later, "person_id", "left").withColumn(
+    return admitted.unionByName(others, allowMissingColumns=True).withColumn(
         "days_adm", F.when(days >= 0, days).when(days >= -7, 0)
     )
 

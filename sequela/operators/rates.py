@@ -244,7 +244,7 @@ def simulate_oe(cells: DataFrame, n_sims: int, seed: str, chunk: int = 1000) ->
 
 
 def oe_interval(sim: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Median, mean and 95 % limits of ratio and difference.
+    """Median, mean and 95 % limits of simulated ratio and difference, beside the observed ones.
 
     Exact percentiles: a group holds one value per simulation.
     """
@@ -255,6 +255,7 @@ def oe_interval(sim: DataFrame, by: Sequence[str]) -> DataFrame:
             F.avg(col).alias(f"mean_{name}"),
             F.percentile(col, F.lit(0.025)).alias(f"q025_{name}"),
             F.percentile(col, F.lit(0.975)).alias(f"q975_{name}"),
+            F.max(f"data_{name}").alias(f"data_{name}"),
         ]
     return sim.groupBy(*by).agg(*aggs)
 
@@ -262,12 +263,14 @@ def oe_interval(sim: DataFrame, by: Sequence[str]) -> DataFrame:
 def oe_interval_overall(sim: DataFrame) -> DataFrame:
     """Totals over the ages within each simulation, then the interval by product."""
     totals = sim.groupBy("endpoint", "vacc_type", "sim").agg(
-        F.sum("sim_obs").alias("sim_obs"), F.sum("sim_exp_pre").alias("sim_exp_pre")
+        *[F.sum(c).alias(c) for c in ("event", "exp_events", "sim_obs", "sim_exp_pre")]
     )
     ratios = totals.withColumns(
         {
             "o_e": F.try_divide(F.col("sim_obs"), F.col("sim_exp_pre")),
             "o_minus_e": F.col("sim_obs") - F.col("sim_exp_pre"),
+            "data_oe": F.try_divide(F.col("event"), F.col("exp_events")),
+            "data_o_minus_e": F.col("event") - F.col("exp_events"),
         }
     )
     return oe_interval(ratios, ["endpoint", "vacc_type"])

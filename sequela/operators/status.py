@@ -93,25 +93,24 @@ def hospital_status(
 ) -> DataFrame:
     """Add ``hosp``: in hospital, discharged shortly before, or no admission.
 
-    Found once per person, at the person's first index date, and shared by all
+    People without a spell, with later spells or long past ones have no
+    admission. Found once per person, at the person's first index date, and shared by all
     of the person's rows.
     """
     people = person_index(df)
     left = F.col("discharge_date")
     recent = spells.filter(left.isNull() | (left >= F.lit(begin - timedelta(days=lookback))))
-    near = recent.select("person_id", "admission_date", "discharge_date").join(
-        people.select("person_id").distinct(), "person_id", "left_semi"
-    )
-    kinds = people.join(near, "person_id", "left").select(
-        "endpoint", "person_id", _spell_kind(lookback).alias("kind")
-    )
+    # an inner join, which can split a person with very many spells over tasks
+    kinds = people.join(
+        recent.select("person_id", "admission_date", "discharge_date"), "person_id"
+    ).select("endpoint", "person_id", _spell_kind(lookback).alias("kind"))
     per_person = kinds.groupBy("endpoint", "person_id").agg(
         F.max(F.col("kind") == "in_hosp").alias("inside"),
         F.max(F.col("kind") == "before").alias("before"),
     )
     hosp = when_chain([(F.col("inside"), "in_hosp"), (F.col("before"), "before")], "no_adm")
-    return df.join(
-        per_person.select("endpoint", "person_id", hosp.alias("hosp")), ["endpoint", "person_id"]
+    return df.join(per_person, ["endpoint", "person_id"], "left").select(
+        *df.columns, hosp.alias("hosp")
     )
 
 

@@ -280,7 +280,8 @@ CTES: dict[str, str] = {
                     LEFT JOIN cumulative b ON b.m = d.events_pre))""",
     "simtot": """
         SELECT endpoint, vacc_type, sim, sum(sim_obs) / nullif(sum(sim_exp_pre), 0) AS o_e,
-               sum(sim_obs) - sum(sim_exp_pre) AS o_minus_e
+               sum(sim_obs) - sum(sim_exp_pre) AS o_minus_e,
+               sum(event) / nullif(sum(exp_events), 0) AS data_oe, sum(event) - sum(exp_events) AS data_o_minus_e
         FROM simrows GROUP BY endpoint, vacc_type, sim""",
     # self-controlled
     "sstudy": f"""
@@ -470,6 +471,23 @@ CTES: dict[str, str] = {
                sum(CASE WHEN s.m > 0 AND s.u > 0 THEN 1 ELSE 0 END) AS n_varied,
                sum(-ln(s.m + s.u)) AS loglik_0
         FROM xnewton t JOIN xsum s USING (endpoint) WHERE t.i = 15 GROUP BY t.endpoint, t.b""",
+    # the same for person-days: any risk day of either dose
+    "dsum": """
+        SELECT endpoint, person_id, sum(r)::DOUBLE AS m, sum(1 - r)::DOUBLE AS u, sum(r * event)::DOUBLE AS xe
+        FROM (SELECT endpoint, person_id, event,
+                     CAST(lev NOT IN ('Baseline', 'Dose1 clearance', 'Dose2 clearance') AS BIGINT) AS r FROM panel)
+        GROUP BY endpoint, person_id HAVING sum(event) > 0""",
+    "dnewton": """
+        SELECT DISTINCT endpoint, 0 AS i, 0.0::DOUBLE AS b FROM dsum
+        UNION ALL
+        SELECT t.endpoint, t.i + 1, t.b + sum(s.xe - s.m * exp(t.b) / (s.m * exp(t.b) + s.u))
+                 / sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u)))
+        FROM dnewton t JOIN dsum s USING (endpoint) WHERE t.i < 15
+        GROUP BY t.endpoint, t.i, t.b""",
+    "dfit": """
+        SELECT t.endpoint, t.b,
+               1 / sqrt(sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u)))) AS se
+        FROM dnewton t JOIN dsum s USING (endpoint) WHERE t.i = 15 GROUP BY t.endpoint, t.b""",
     # two-parameter fits: strata s, cells (c in {1, 2}) with weight len and event ev
     "cell2": """
         SELECT endpoint AS g, case_id AS s, 1 AS w,
@@ -508,7 +526,7 @@ for _name, _cells in (("newton2", "cell2"), ("newtonk", "cellk")):
 for _name in ("newton2", "newtonk"):
     CTES[f"fit_{_name}"] = f"SELECT g, b1, b2, sqrt(v1) AS se1, sqrt(v2) AS se2 FROM {_name} WHERE i = 20"
 
-RECURSIVE = ("floyd", "limits", "xnewton", "newton2", "newtonk")
+RECURSIVE = ("floyd", "limits", "xnewton", "dnewton", "newton2", "newtonk")
 
 
 def _needed(sql: str) -> list[str]:
@@ -661,11 +679,12 @@ def _interval(source: str, by: str) -> str:
         cols += [
             f"quantile_cont({col}, 0.5) AS med_{name}", f"avg({col}) AS mean_{name}",
             f"quantile_cont({col}, 0.025) AS q025_{name}", f"quantile_cont({col}, 0.975) AS q975_{name}",
+            f"max(data_{name}) AS data_{name}",
         ]
     return f"SELECT {by}, {', '.join(cols)} FROM {source} GROUP BY {by}"
 
 
-_LIMITS = [f"{q}_{n}" for n in ("oe", "o_minus_e") for q in ("med", "mean", "q025", "q975")]
+_LIMITS = [f"{q}_{n}" for n in ("oe", "o_minus_e") for q in ("med", "mean", "q025", "q975", "data")]
 _ROUNDED = ", ".join(r4(c, c) for c in _LIMITS)
 oracle("r9_oe_interval", f"""SELECT endpoint, vacc_type, age_grp, {_ROUNDED}
   FROM ({_interval('simrows', 'endpoint, vacc_type, age_grp')})""")
@@ -676,7 +695,7 @@ _SHOWN = ", ".join(
     for c in ("exp_events", "data_oe", "q025_oe", "q975_oe", "data_o_minus_e", "q025_o_minus_e", "q975_o_minus_e")
 )
 oracle("r11_oe_table", f"""SELECT endpoint, vacc_type, age_grp, n, event, {_SHOWN} FROM (
-  SELECT o.endpoint, o.vacc_type, o.age_grp, n, event, exp_events, coalesce(data_oe, 1.0) AS data_oe, data_o_minus_e,
+  SELECT o.endpoint, o.vacc_type, o.age_grp, n, event, exp_events, coalesce(o.data_oe, 1.0) AS data_oe, o.data_o_minus_e,
          q025_oe, q975_oe, q025_o_minus_e, q975_o_minus_e
   FROM oesum o LEFT JOIN ({_interval('simrows', 'endpoint, vacc_type, age_grp')}) i USING (endpoint, vacc_type, age_grp)
   UNION ALL
@@ -720,9 +739,9 @@ oracle("l8_lr_test", f"""SELECT endpoint, {r4('loglik', 'loglik_1')}, {r4('logli
   {r4('2 * (loglik - loglik_0)', 'chi2')}, 1 AS df, {r4(normal_p('sqrt(greatest(2 * (loglik - loglik_0), 0))'), 'p')}
   FROM xfit""")
 oracle("l9_effectiveness", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level,
-  {r4('exp(b)', 'or_raw')}, {r4('exp(b - 1.96 * se)', 'or_lcl_raw')}, {r4('exp(b + 1.96 * se)', 'or_ucl_raw')},
-  {r4('(1 - exp(b)) * 100', 've_raw')}, {r4('(1 - exp(b + 1.96 * se)) * 100', 've_lcl_raw')},
-  {r4('(1 - exp(b - 1.96 * se)) * 100', 've_ucl_raw')} FROM xfit""")
+  {r4('exp(b)', 'or_raw')}, {r4('exp(b - 1.959963984540054 * se)', 'or_lcl_raw')}, {r4('exp(b + 1.959963984540054 * se)', 'or_ucl_raw')},
+  {r4('(1 - exp(b)) * 100', 've_raw')}, {r4('(1 - exp(b + 1.959963984540054 * se)) * 100', 've_lcl_raw')},
+  {r4('(1 - exp(b - 1.959963984540054 * se)) * 100', 've_ucl_raw')} FROM xfit""")
 oracle("k1_sccs_windows", "SELECT * FROM wins")
 oracle("k2_sccs_windows_fixed", f"""SELECT *, {BEGIN} - 104 AS pre_start, date_vacc_1 - 14 AS pre_end,
   CASE WHEN date_vacc_1 > a_end THEN a_end ELSE date_vacc_1 END AS risk_start,
@@ -736,8 +755,8 @@ oracle("k4_time_split_rates", f"SELECT endpoint, vt, period, expgr, {_TRATES} FR
 oracle("k5_sccs_fit", f"""SELECT r.*, {r4('f.est', 'est')}, {r4('f.lcl', 'lcl')}, {r4('f.ucl', 'ucl')}
   FROM (SELECT endpoint, vacc_type, expgr, {_RATES} FROM ivs GROUP BY ALL) r
   LEFT JOIN (SELECT g, 'Pre.Vacc' AS expgr, 1.0 AS est, NULL AS lcl, NULL AS ucl FROM fit_newtonk
-    UNION ALL SELECT g, 'Clearance', exp(b1), exp(b1 - 1.96 * se1), exp(b1 + 1.96 * se1) FROM fit_newtonk
-    UNION ALL SELECT g, 'Risk', exp(b2), exp(b2 - 1.96 * se2), exp(b2 + 1.96 * se2) FROM fit_newtonk) f
+    UNION ALL SELECT g, 'Clearance', exp(b1), exp(b1 - 1.959963984540054 * se1), exp(b1 + 1.959963984540054 * se1) FROM fit_newtonk
+    UNION ALL SELECT g, 'Risk', exp(b2), exp(b2 - 1.959963984540054 * se2), exp(b2 + 1.959963984540054 * se2) FROM fit_newtonk) f
   ON f.g = r.endpoint || '|' || r.vacc_type AND f.expgr = r.expgr""")
 oracle("k6_time_split", "SELECT * FROM tsplit WHERE vacc_type <> 'uv'")
 oracle("k7_event_days_in_window", """SELECT d.* FROM sdays d JOIN spans s USING (endpoint, person_id)
@@ -803,6 +822,24 @@ oracle("o1_cooccurrence", """SELECT f.endpoint, f.person_id, f.start_date, f.cod
   FROM (SELECT * FROM firsts WHERE endpoint = 'any_a') f
   LEFT JOIN (SELECT person_id, min(start_date) AS other_date FROM ev WHERE endpoint = 'any_b' GROUP BY person_id) o
   USING (person_id)""")
+oracle("o1_cooccurrence_status", """SELECT f.vacc_status, CASE WHEN f.vacc_status = 'uv' THEN 'uv' ELSE f.product END AS vacc_type,
+  f.other_week, count(*) AS n FROM (
+    SELECT CASE WHEN d1 IS NULL THEN 'uv' WHEN d2 >= 7 THEN 'v2_7+' WHEN d2 >= 1 THEN 'v2_0:6'
+                WHEN d1 <= 0 THEN 'uv' WHEN d1 <= 6 THEN 'v1_0:6' WHEN d1 <= 13 THEN 'v1_7:13'
+                WHEN d1 <= 20 THEN 'v1_14:20' WHEN d1 <= 27 THEN 'v1_21:27' WHEN d1 <= 34 THEN 'v1_28:34'
+                WHEN d1 <= 41 THEN 'v1_35:41' ELSE 'v1_42+' END AS vacc_status, product,
+           CASE WHEN gap IS NULL THEN 'no_other_event' WHEN gap < 0 THEN 'before' WHEN gap <= 7 THEN 'other_1_week'
+                WHEN gap <= 14 THEN 'other_2_weeks' WHEN gap <= 21 THEN 'other_3_weeks' ELSE 'other_later' END AS other_week
+    FROM (SELECT v.vacc_type AS product, p.start_date - v.date_vacc_1 AS d1,
+                 CASE WHEN v.date_vacc_2 < e.a_end THEN p.start_date - v.date_vacc_2 END AS d2,
+                 o.other_date - p.start_date AS gap
+          FROM firsts p JOIN cc_ends e USING (endpoint)
+          LEFT JOIN vacc v ON v.person_id = p.person_id AND v.date_vacc_1 < e.a_end
+          LEFT JOIN (SELECT person_id, min(start_date) AS other_date FROM ev WHERE endpoint = 'any_b' GROUP BY person_id) o
+            ON o.person_id = p.person_id
+          WHERE p.endpoint = 'any_a')) f GROUP BY ALL""")
+oracle("p9_pd_model_binary", f"""SELECT endpoint, 'at_risk' AS model, 'at_risk' AS term, '' AS level,
+  {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')} FROM dfit""")
 oracle("q1_crosstab", """SELECT endpoint, vacc_type, days_adm, count(*) AS n, 'kept' AS nulls FROM fsum GROUP BY ALL
   UNION ALL SELECT endpoint, vacc_type, days_adm, count(*), 'dropped' FROM fsum WHERE days_adm IS NOT NULL GROUP BY ALL""")
 oracle("q2_freq_of_freq", """SELECT endpoint, times, count(*) AS n

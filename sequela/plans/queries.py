@@ -524,7 +524,7 @@ def l8_lr_test(s: Study) -> DataFrame:
 @query
 def l9_effectiveness(s: Study) -> DataFrame:
     coefs = coef_table(s.reg.spark, _exposed_fits(s), ["endpoint"])
-    return effects.effectiveness(effects.effect_table(coefs), "raw")
+    return effects.effectiveness(effects.effect_table(coefs, effects.Z_EXACT), "raw")
 
 
 def _series(s: Study) -> DataFrame:
@@ -678,6 +678,17 @@ def p8_level_rates(s: Study) -> DataFrame:
     return persondays.level_rates(s.panel, s.n_periods)
 
 
+@query
+def p9_pd_model_binary(s: Study) -> DataFrame:
+    """One exposure only: any risk day of either dose."""
+    risk = F.col("expgr").rlike("[0-9]+-[0-9]+$") | F.col("expgr2").rlike("[0-9]+-[0-9]+$")
+    at_risk = Term("at_risk")
+    panel = s.panel.withColumn("at_risk", risk.cast("int"))
+    strata = strata_table(panel, ["endpoint"], ["person_id"], [at_risk])
+    fits = fit(strata, [at_risk], {"at_risk": ["at_risk"]})
+    return coef_table(s.reg.spark, fits, ["endpoint"])
+
+
 def _panel_28(spark: SparkSession, folder: str) -> Study:
     return Study.over(spark, folder, period_days=28)
 
@@ -770,14 +781,27 @@ def f8_product_at_event(s: Study) -> DataFrame:
     return followup.product_at_event(s.first, s.vacc)
 
 
-@query
-def o1_cooccurrence(s: Study) -> DataFrame:
+def _cooccurring(s: Study) -> DataFrame:
     def of(df: DataFrame, name: str) -> DataFrame:
         return df.filter(F.col("endpoint") == name)
 
     return followup.cooccurrence(of(s.first, "any_a"), of(s.events, "any_b"))
 
 
+@query
+def o1_cooccurrence(s: Study) -> DataFrame:
+    return _cooccurring(s)
+
+
+@query
+def o1_cooccurrence_status(s: Study) -> DataFrame:
+    """Second outcome by exposure status at the first outcome."""
+    banded = status.vacc_status(_cooccurring(s), s.vacc, s.cc_ends, "start_date")
+    return describe.crosstab(
+        status.product_at_index(banded), ["vacc_status", "vacc_type", "other_week"]
+    )
+
+
 @query
 def q1_crosstab(s: Study) -> DataFrame:
     kept = describe.crosstab(s.followed, ["endpoint", "vacc_type", "days_adm"], keep_null=True)

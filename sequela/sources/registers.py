@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -37,10 +36,14 @@ def positive_test_days(tests: DataFrame, positive: str = "POSITIVE") -> DataFram
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Folder for stages: the shared one the cluster names, else a new local one."""
+    """New folder for a stage: under the shared one the cluster names, else a local one.
+
+    All stages of an application lie under its id, to be removed with it.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return os.path.join(shared, f"stage-{uuid.uuid4().hex}")
+        app = spark.sparkContext.applicationId
+        return "/".join([shared.rstrip("/"), f"stages-{app}", uuid.uuid4().hex])
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="stage-")
