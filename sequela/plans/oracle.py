@@ -41,14 +41,11 @@ def hash_int(text: str, digits: int) -> str:
 
 
 def normal_p(z: str) -> str:
-    """Two-sided normal tail by the rational approximation 7.1.26 of Abramowitz and Stegun."""
-    x = f"(abs({z}) / sqrt(2.0))"
-    t = f"(1.0 / (1.0 + 0.3275911 * {x}))"
-    poly = "0.0"
-    # Fixed values of the approximation.
-    for a in ("1.061405429", "-1.453152027", "1.421413741", "-0.284496736", "0.254829592"):
-        poly = f"(({poly} + {a}) * {t})"
-    return f"({poly} * exp(-{x} * {x}))"
+    """Two-sided normal tail from the series of the error function, whose terms are all positive."""
+    x = f"least(greatest(abs({z}) / sqrt(2.0), 1e-300), 8.0)"
+    term = f"exp(2 * k * ln(2.0) + (2 * k + 1) * ln({x}) + lgamma(k + 1) - lgamma(2 * k + 2))"
+    total = f"list_sum(list_transform(range(0, 250), lambda k: {term}))"
+    return f"CASE WHEN ({z}) IS NOT NULL THEN 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {total} END"
 
 
 CTES: dict[str, str] = {
