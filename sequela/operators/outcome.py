@@ -121,7 +121,8 @@ def person_history(
     start = F.col("start_date")
     is_prior = start < F.lit(begin)
     if lookback is not None:
-        is_prior = is_prior & (start >= F.lit(begin - timedelta(days=lookback)))
+        # a plain lower bound reaches the scan, the combined condition does not
+        ev = ev.filter(start >= F.lit(begin - timedelta(days=lookback)))
     in_study = (
         (start >= F.lit(begin)) & (start <= F.date_sub(latest, lag)) & (F.col("age") >= years)
     )
