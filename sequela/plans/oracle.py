@@ -485,6 +485,40 @@ CTES: dict[str, str] = {
         SELECT t.endpoint, t.b,
                1 / sqrt(sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u)))) AS se
         FROM dnewton t JOIN dsum s USING (endpoint) WHERE t.i = 15 GROUP BY t.endpoint, t.b""",
+    # exact ties with one 0/1 covariate: the sum over all subsets of d rows is a
+    # polynomial in exp(b) whose coefficients are elementary symmetric sums
+    "trows": """
+        SELECT endpoint, person_id, CAST(expgr = 'Risk' AS BIGINT) AS x, interval::DOUBLE AS w, event,
+               row_number() OVER (PARTITION BY endpoint, person_id, expgr = 'Risk' ORDER BY t_start) AS k
+        FROM labelled WHERE vacc_type <> 'uv'""",
+    "tsize": """
+        SELECT endpoint, person_id, sum(event)::BIGINT AS d, sum(event * x)::DOUBLE AS s
+        FROM trows GROUP BY ALL HAVING sum(event) > 0 AND sum(event) < count(*)""",
+    "symsum": """
+        SELECT endpoint, person_id, d, v.x, 0 AS k,
+               list_transform(range(0, d + 1), lambda j: CASE WHEN j = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS e
+        FROM tsize, (VALUES (0), (1)) v(x)
+        UNION ALL
+        SELECT p.endpoint, p.person_id, p.d, p.x, p.k + 1,
+               list_transform(range(0, p.d + 1),
+                 lambda j: p.e[j + 1] + CASE WHEN j > 0 THEN r.w * p.e[j] ELSE 0.0::DOUBLE END)
+        FROM symsum p JOIN trows r
+          ON r.endpoint = p.endpoint AND r.person_id = p.person_id AND r.x = p.x AND r.k = p.k + 1""",
+    "poly": """
+        SELECT t.endpoint, t.person_id, t.s, j, a.e[j + 1] * b.e[t.d - j + 1] AS coef
+        FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM tsize) t
+        JOIN (SELECT endpoint, person_id, arg_max(e, k) AS e FROM symsum WHERE x = 1 GROUP BY ALL) a USING (endpoint, person_id)
+        JOIN (SELECT endpoint, person_id, arg_max(e, k) AS e FROM symsum WHERE x = 0 GROUP BY ALL) b USING (endpoint, person_id)""",
+    "tnewton": """
+        SELECT DISTINCT endpoint, 0 AS i, 0.0::DOUBLE AS b, 0.0::DOUBLE AS v FROM poly
+        UNION ALL
+        SELECT endpoint, i + 1, b + sum(s - m) / sum(q - m * m), 1 / sum(q - m * m)
+        FROM (SELECT t.endpoint, t.i, t.b, p.person_id, p.s,
+                     sum(j * coef * exp(t.b * j)) / sum(coef * exp(t.b * j)) AS m,
+                     sum(j * j * coef * exp(t.b * j)) / sum(coef * exp(t.b * j)) AS q
+              FROM tnewton t JOIN poly p USING (endpoint) WHERE t.i < 20
+              GROUP BY t.endpoint, t.i, t.b, p.person_id, p.s)
+        GROUP BY endpoint, i, b""",
     # two-parameter fits: strata s, cells (c in {1, 2}) with weight len and event ev
     "cell2": """
         SELECT endpoint AS g, case_id AS s, 1 AS w,
@@ -523,7 +557,7 @@ for _name, _cells in (("newton2", "cell2"), ("newtonk", "cellk")):
 for _name in ("newton2", "newtonk"):
     CTES[f"fit_{_name}"] = f"SELECT g, b1, b2, sqrt(v1) AS se1, sqrt(v2) AS se2 FROM {_name} WHERE i = 20"
 
-RECURSIVE = ("floyd", "limits", "xnewton", "dnewton", "newton2", "newtonk")
+RECURSIVE = ("floyd", "limits", "xnewton", "dnewton", "symsum", "tnewton", "newton2", "newtonk")
 
 
 def _needed(sql: str) -> list[str]:
@@ -729,6 +763,8 @@ _TWO = """SELECT g AS endpoint, 'raw' AS model, 'vacc_type' AS term, 'uv' AS lev
   UNION ALL SELECT g, 'raw', 'vacc_type', 'PB', b2, se2 FROM fit_newton2"""
 oracle("l2_clogit_product", f"""SELECT endpoint, model, term, level, {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')}
   FROM ({_TWO})""")
+oracle("l3_clogit_exact_risk", f"""SELECT endpoint, 'risk' AS model, 'risk' AS term, '' AS level,
+  {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')} FROM (SELECT endpoint, b, sqrt(v) AS se FROM tnewton WHERE i = 20)""")
 oracle("l4_effect_table", f"""SELECT endpoint, model, term, level, {r4('exp(b)', 'est')},
   {r4("CASE WHEN level = 'uv' THEN 1 ELSE exp(b - 1.96 * se) END", 'lcl')},
   {r4("CASE WHEN level = 'uv' THEN 1 ELSE exp(b + 1.96 * se) END", 'ucl')}, {r4(_P, 'p')} FROM ({_TWO})""")

@@ -478,6 +478,18 @@ def l3_clogit_exact(s: Study) -> DataFrame:
     return _fit_rows(s.reg.spark, fit(strata, [expgr], {"expgr": ["expgr"]}, "exact"), ["endpoint"])
 
 
+@query
+def l3_clogit_exact_risk(s: Study) -> DataFrame:
+    """Risk time against all other time of exposed people, several events per person."""
+    risk = Term("risk")
+    exposed = s.labelled.filter(F.col("vacc_type") != "uv").withColumn(
+        "risk", (F.col("expgr") == "Risk").cast("int")
+    )
+    log_days = F.log(F.col("interval").cast("double"))
+    strata = strata_table(exposed, ["endpoint"], ["person_id"], [risk], offset=log_days)
+    return coef_table(s.reg.spark, fit(strata, [risk], {"risk": ["risk"]}, "exact"), ["endpoint"])
+
+
 @query
 def l4_effect_table(s: Study) -> DataFrame:
     strata = strata_table(s.exposed_sets, ["endpoint"], ["case_id"], [PRODUCT])

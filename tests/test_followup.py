@@ -94,3 +94,18 @@ def test_poisson_series_recovers_group_means(spark):
     assert fitted[D(1998, 6, 1)].fit == pytest.approx(4, abs=1e-5)
     assert fitted[D(1998, 6, 28)].fit == pytest.approx(9, abs=1e-5)
     assert all(r.lcl < r.fit < r.ucl for r in fitted.values())
+
+
+def test_a_person_with_very_many_spells_keeps_them_all(spark):
+    spells = spark.range(500).selectExpr(
+        "cast(1 as long) person_id", "date_add(date'1998-02-01', cast(id as int)) admission_date",
+        "cast(null as date) discharge_date", "true emergency",
+    )
+    ev = _ev(spark, [(1, DAY), (2, DAY)])
+    joined = followup.attach_admissions(ev, spells, D(1998, 1, 1))
+    assert joined.filter("person_id = 1").count() == 500
+    assert joined.filter("person_id = 2 and admission_date is null").count() == 1
+    first = followup.first_spell(followup.admission_status(joined)).collect()
+    assert {r.person_id: r.days_adm for r in first} == {1: 0, 2: None}
+    # day 0 covers the week before the event; its earliest admission is taken
+    assert [r.admission_date for r in first if r.person_id == 1] == [DAY - T(7)]
