@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sequela.functions.stats import chi2_tail, two_sided_p
 from sequela.models.kernel import Term, step_sums
-from sequela.sources.registers import staged
+from sequela.sources.stages import stage
 
 SEP = "|"
 ROWS_PER_BLOCK = 20_000
@@ -267,7 +267,7 @@ def fit(
     chosen = {m: tuple(by_name[n] for n in names) for m, names in models.items()}
     exact = ties == "exact"
     # staged, so that its partitions follow its size and a lost one is read again
-    kept = staged(strata).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = stage(strata).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         groups = [r.g for r in kept.select("g").distinct().collect()]
         states: dict[tuple[str, str], _Newton] = {}

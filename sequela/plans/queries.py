@@ -28,6 +28,7 @@ from sequela.operators import (
 )
 from sequela.plans.studies import COVARIATES, Study
 from sequela.sources import registers
+from sequela.sources.stages import new_folder, stage
 from sequela.sources.testdata import PRODUCT_RULES, PRODUCTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,14 +85,14 @@ def s3_positive_test_days(s: Study) -> DataFrame:
 def s4_write_stage(s: Study) -> DataFrame:
     spark = s.reg.spark
     first = outcome.first_incident(s.history)
-    path = registers.write_stage(first, registers.stage_root(spark))
+    path = registers.write_stage(first, new_folder(spark))
     return registers.read_stage(spark, path, first.schema)
 
 
 @query
 def s5_stack_results(s: Study) -> DataFrame:
     spark = s.reg.spark
-    root = registers.stage_root(spark)
+    root = new_folder(spark)
     table = tidy(sccs.interval_rates(s.intervals, ["endpoint", "vacc_type", "expgr"]))
     paths = [
         registers.write_results(table.filter(F.col("vacc_type") == v), f"{root}/{v}")
@@ -411,7 +412,7 @@ def r10_oe_interval_overall(s: Study) -> DataFrame:
 
 @query
 def r11_oe_table(s: Study) -> DataFrame:
-    summary, sim = s.oe_cells, registers.staged(_simulated(s))
+    summary, sim = s.oe_cells, stage(_simulated(s))
     by_age = rates.oe_interval(sim, ["endpoint", "vacc_type", "age_grp"])
     return rates.oe_table(summary, by_age, rates.oe_interval_overall(sim))
 
@@ -549,7 +550,7 @@ def _series(s: Study) -> DataFrame:
 def l10_its_poisson(s: Study) -> DataFrame:
     steps = {"post_pb": s.p.begin, "post_az": s.p.shift(28)}
     fitted = None
-    daily = registers.staged(_series(s))
+    daily = stage(_series(s))
     for endpoint in s.p.endpoint_names:
         series, _ = its_poisson(daily, steps, endpoint)
         fitted = series if fitted is None else fitted.unionByName(series)

@@ -19,7 +19,8 @@ from sequela.operators import (
     sccs,
     status,
 )
-from sequela.sources.registers import positive_test_days, positive_tests, staged
+from sequela.sources.registers import positive_test_days, positive_tests
+from sequela.sources.stages import stage
 from sequela.sources.testdata import PRODUCT_RULES, PRODUCTS, STUDY, Registers
 
 COVARIATES = ("age_year", "n_risk_gps", "n_tests_gp", "simd", "bmi", "diag_chd", "diag_stroke")
@@ -55,14 +56,14 @@ class Study:
     @cached_property
     def doses(self) -> DataFrame:
         """The wide table, staged for flows that join it more than once."""
-        return staged(self.vacc)
+        return stage(self.vacc)
 
     # outcomes
 
     @cached_property
     def consults(self) -> DataFrame:
         """The cleaned register; its events, prior events and last day are all read from it."""
-        return staged(outcome.trim_future(self.reg.consultations(), today=self.p.extract))
+        return stage(outcome.trim_future(self.reg.consultations(), today=self.p.extract))
 
     @cached_property
     def latest(self) -> Column:
@@ -94,7 +95,7 @@ class Study:
 
     @cached_property
     def staged_history(self) -> DataFrame:
-        return staged(self.history)
+        return stage(self.history)
 
     @cached_property
     def first(self) -> DataFrame:
@@ -109,7 +110,7 @@ class Study:
 
     @cached_property
     def oe_events(self) -> DataFrame:
-        return staged(self.incident.select("endpoint", "person_id", "start_date"))
+        return stage(self.incident.select("endpoint", "person_id", "start_date"))
 
     @cached_property
     def oe_ends(self) -> DataFrame:
@@ -134,7 +135,7 @@ class Study:
     @cached_property
     def oe_cells(self) -> DataFrame:
         """Observed and expected per endpoint, product and age band."""
-        return staged(rates.oe_summary(self.oe))
+        return stage(rates.oe_summary(self.oe))
 
     # matched case-control
 
@@ -155,7 +156,7 @@ class Study:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return staged(matching.number_pool(self.pool, self.p.match_keys, self.p.salts))
+        return stage(matching.number_pool(self.pool, self.p.match_keys, self.p.salts))
 
     @cached_property
     def matched(self) -> DataFrame:
@@ -165,7 +166,7 @@ class Study:
 
     @cached_property
     def sets(self) -> DataFrame:
-        return staged(matching.matched_sets(self.matched, self.p.match_keys))
+        return stage(matching.matched_sets(self.matched, self.p.match_keys))
 
     @cached_property
     def cc_ends(self) -> DataFrame:
@@ -175,7 +176,7 @@ class Study:
     def exposed_sets(self) -> DataFrame:
         """Matched sets with exposure status at the index date."""
         banded = status.vacc_status(self.sets, self.vacc, self.cc_ends)
-        return staged(status.collapse_status(status.product_at_index(banded)))
+        return stage(status.collapse_status(status.product_at_index(banded)))
 
     @cached_property
     def model_sets(self) -> DataFrame:
@@ -207,7 +208,7 @@ class Study:
 
     @cached_property
     def sccs_rows(self) -> DataFrame:
-        return staged(sccs.event_rows(self.sccs_study))
+        return stage(sccs.event_rows(self.sccs_study))
 
     @cached_property
     def sccs_ends(self) -> DataFrame:
@@ -220,7 +221,7 @@ class Study:
     @cached_property
     def all_windows(self) -> DataFrame:
         """Windows of exposed people, and never-exposed people beside them."""
-        return staged(self.windows(include_uv=True))
+        return stage(self.windows(include_uv=True))
 
     @cached_property
     def exposed_windows(self) -> DataFrame:
@@ -278,7 +279,7 @@ class Study:
 
     @cached_property
     def staged_analysis(self) -> DataFrame:
-        return staged(self.analysis)
+        return stage(self.analysis)
 
     @cached_property
     def panel(self) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -35,20 +33,6 @@ def positive_test_days(tests: DataFrame, positive: str = "POSITIVE") -> DataFram
     )
 
 
-def stage_root(spark: SparkSession) -> str:
-    """New folder for a stage: under the shared one the cluster names, else a local one.
-
-    All stages of an application lie under its id, to be removed with it.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        app = spark.sparkContext.applicationId
-        return "/".join([shared.rstrip("/"), f"stages-{app}", uuid.uuid4().hex])
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="stage-")
-
-
 def write_stage(df: DataFrame, path: str) -> str:
     """Write a stage, with one folder per endpoint where rows have one."""
     folders = [c for c in df.columns if c == "endpoint"]
@@ -64,16 +48,6 @@ def read_stage(
     return stage if endpoint is None else stage.filter(F.col("endpoint") == endpoint)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from the files.
-
-    For tables that several branches of a plan read: they are built once, and a
-    lost executor costs a re-read, not the work before the stage.
-    """
-    spark = df.sparkSession
-    return read_stage(spark, write_stage(df, stage_root(spark)), df.schema)
-
-
 def write_results(df: DataFrame, path: str) -> str:
     """Write a result table as CSV with a header."""
     df.write.mode("overwrite").option("header", True).csv(path)

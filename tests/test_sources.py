@@ -1,6 +1,6 @@
 from datetime import date
 
-from sequela.sources import registers
+from sequela.sources import registers, stages
 
 D = date
 
@@ -31,7 +31,7 @@ def test_reading_one_endpoint_prunes_the_stage(spark, collect, tmp_path):
     one = registers.read_stage(spark, path, df.schema, "a")
     assert collect(one, "x") == [(1,)]
     assert "PartitionFilters: [isnotnull(endpoint" in one._jdf.queryExecution().executedPlan().toString()
-    empty = registers.staged(df.filter("x > 5"))
+    empty = stages.stage(df.filter("x > 5"))
     assert empty.count() == 0 and set(empty.columns) == {"endpoint", "x"}
 
 
