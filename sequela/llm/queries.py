@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sequela.llm import mixing, records
+from sequela.llm import (
+    decontaminate,
+    extraction,
+    linededup,
+    mixing,
+    perplexity,
+    records,
+    recurrent,
+    setjoin,
+    severity,
+    urlrules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +28,78 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, with the item and the aligned passage."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document."""
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op3_recurrent_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of each document under the recurrent model and under word counts."""
+    return recurrent.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return perplexity.judge(docs, perplexity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of shared shingles."""
+    return setjoin.join_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back from the binary records that were written."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return records.token_records(table(spark, sf_dir, "documents"), path)
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op2_source_mix, op6_token_records)}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated runs of lines that are removed from each document."""
+    return linededup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on each page's URL, by fixed rules and by rules mined from labelled pages."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("number"), (F.col("quality") == 0).alias("bad"))
+    return urlrules.judge(pages, urlrules.mine(pages, labels))
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page; pages whose URL names a document are labelled by its text."""
+    pages = table(spark, sf_dir, "pages")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("number"), F.col("text").alias("main"))
+    numbered = pages.select("page_id", urlrules.page_number(F.col("url")).alias("number"))
+    truth = numbered.join(docs, "number").select("page_id", "main")
+    return extraction.extract(pages, extraction.fit(pages, truth))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity grade of each document."""
+    docs = table(spark, sf_dir, "documents")
+    return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_benchmark_leaks,
+        op2_source_mix,
+        op3_recurrent_score,
+        op4_quality_rules,
+        op5_ngram_join,
+        op6_token_records,
+        op7_line_dedup,
+        op8_url_rules,
+        op9_main_text,
+        op10_toxicity,
+    )
+}
 ORACLES: dict[str, str] = {}

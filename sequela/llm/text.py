@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -59,3 +62,39 @@ def running_totals(
 def _before(df: DataFrame, keys: Sequence[str], order: str, name: str) -> DataFrame:
     window = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return df.withColumn(name, F.coalesce(F.sum("_v").over(window), F.lit(0)))
+
+
+def map_columns(
+    df: DataFrame,
+    keep: Sequence[str],
+    inputs: Sequence[Column],
+    extra: str,
+    make: Callable[[], Callable[..., Sequence[Sequence]]],
+) -> DataFrame:
+    """``keep`` columns of ``df``, untouched, beside new columns computed in Python.
+
+    ``make()`` is called once in a task. What it returns gets the inputs of a batch of rows as
+    lists and returns the columns of the schema ``extra`` as lists of the same length.
+    """
+    kept = df.select(*keep).schema if keep else StructType()
+    added = StructType.fromDDL(extra)
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
+    names = [f"k{i}" for i in range(len(keep))] + [f"x{i}" for i in range(len(added))]
+    picked = df.select(
+        *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)],
+        *[c.alias(f"i{i}") for i, c in enumerate(inputs)],
+    )
+    schema = StructType()
+    for field, name in zip([*kept.fields, *added.fields], names):
+        schema.add(name, field.dataType)
+    n_keep = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            columns = [batch.column(i) for i in range(batch.num_columns)]
+            made = f(*[c.to_pylist() for c in columns[n_keep:]])
+            arrays = [pa.array(v, k) for v, k in zip(made, kinds)]
+            yield pa.RecordBatch.from_arrays([*columns[:n_keep], *arrays], names=names)
+
+    return picked.mapInArrow(run, schema).toDF(*keep, *added.names)
