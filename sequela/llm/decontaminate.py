@@ -20,7 +20,7 @@ from sequela.llm.text import lower_ascii, map_columns, words
 from sequela.sources.stages import stage
 
 N = 3  # words in a seed
-STRETCH = 4  # neighbouring n-grams of an item, of which the rarest is a seed
+STRETCH = 2  # neighbouring n-grams of an item, of which the rarest is a seed
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SHARE = 0.5  # of an item's best score
 MIN_MATCHES = 5  # words of an alignment that are equal

@@ -43,6 +43,9 @@ ROLES = {
     "share": "share social sharing follow",
     "form": "form login signup search register",
 }
+#: Roles of elements; a header is the page's own only outside of the article.
+TAG_ROLES = {"nav": "menu", "menu": "menu", "aside": "side", "footer": "foot", "form": "form", "dialog": "notice"}
+TEXT_TAGS = frozenset(("article", "main"))
 ROLE_OF = {word: role for role, listed in ROLES.items() for word in listed.split()}
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -110,7 +113,12 @@ class BlockParser(HTMLParser):
             self.parts.append(" ")
         if tag not in VOID_TAGS:
             names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-            self._push(tag, frozenset(ROLE_OF[w] for w in map(str.lower, _NAME.findall(names)) if w in ROLE_OF))
+            roles = {ROLE_OF[w] for w in map(str.lower, _NAME.findall(names)) if w in ROLE_OF}
+            if tag in TAG_ROLES:
+                roles.add(TAG_ROLES[tag])
+            if tag == "header" and not TEXT_TAGS & {t for t, _ in self.open}:
+                roles.add("head")
+            self._push(tag, frozenset(roles))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK_TAGS:
@@ -143,7 +151,7 @@ def block_features(block: Block) -> list[str]:
     text = block.text
     n = len(text.split())
     linked = block.linked / len(text)
-    inside = "article" in block.tags or "main" in block.tags
+    inside = bool(TEXT_TAGS & block.tags)
     found = [f"tag={t}" for t in block.tags if t in BLOCK_TAGS and t not in ("html", "body")]
     found += [f"role={r}" for r in block.roles]
     found += [

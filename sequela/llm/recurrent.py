@@ -485,7 +485,7 @@ def _averaged(units: DataFrame, shared, flat: np.ndarray) -> np.ndarray:
     if not len(total):
         return flat
     total = total.sort_values("block")
-    return np.concatenate([v / w for v, w in zip(total["values"], total["weight"])]).astype(np.float32)
+    return np.concatenate([np.asarray(v) / w for v, w in zip(total["values"], total["weight"])]).astype(np.float32)
 
 
 def network_scores(units: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
@@ -527,7 +527,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
         "row", F.col("w.rest").alias("token"), F.col("w.times").alias("times")
     )
     # words outside the dictionary are no more frequent than its last one
-    known = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") <= int(vocab.count.min()) if len(vocab.count) else 0)
+    rare = int(vocab.count.min()) if len(vocab.count) else 0
+    known = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") <= rare)
     far = (
         words.join(known, "token")
         .groupBy("row")
