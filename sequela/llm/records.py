@@ -14,12 +14,15 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +35,13 @@ from sequela.sources.stages import new_folder, stage
 MASK_DELTA = 0xA282EAD8
 END_ID = 0
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 600_000  # in each of two generations; about 100 MB each
+JOINED_PIECES = 500  # encoded as one string
+TEXTS_AT_ONCE = 4_000  # of which new pieces are gathered
 # length and its checksum; a payload before its ids
 _HEAD, _DOC = "<QI", "<qBBI"
-# white space before a space, or any other than space and line feed: such texts are encoded whole
-_ODD = re.compile(r"\s |[^\S \n]")
+# white space before a space, or any but space and line feed: such texts are encoded whole
+_ODD = "[ \\n] |[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 MANIFEST = "shard long, file string, records long, ids long"
 READ = "shard long, doc_id long, n_tokens long, inside long, ids_crc32 long"
@@ -50,8 +55,9 @@ class Encoder:
     """Encodes texts to little-endian bytes of ids.
 
     The vocabulary's splitter never joins a character to white space after it, so a text whose
-    white space is single spaces and line feeds can be cut before each space and its pieces encoded
-    alone, each distinct piece once. Other texts go to the library whole.
+    white space is single spaces and line feeds can be cut before each space, and its pieces be
+    encoded alone, each distinct piece once. New pieces are encoded many at a time, as one string
+    that is cut by the lengths of its tokens. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -61,29 +67,94 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         # the strings of special tokens are ordinary text
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocab) <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        batch = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        # a byte-level token has a character for each of its bytes
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.bytes_of[i] = len(token)
+        self.begins: dict[str, bytes] = {}  # pieces at the begin of a text
+        self.pieces: dict[str, bytes] = {}  # pieces after a space, without it
+        self.older: dict[str, bytes] = {}  # pieces of the generation before
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        batch = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, self.kind).tobytes() for e in batch]
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        cut = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-        known = self.pieces
-        new = [x for x in dict.fromkeys(cut) if x not in known]
-        if new:
-            if len(known) + len(new) > CACHED_PIECES:
-                known.clear()
-                new = list(dict.fromkeys(cut))
-            known.update(zip(new, self._encode(new)))
-        return b"".join([known[x] for x in cut])
+    def _joined(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of pieces after a space, all encoded as one text."""
+        text = " " + " ".join(pieces)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.cumsum([1 + len(x.encode()) for x in pieces])
+        reached = np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(reached, ends)
+        if len(reached) == 0 or cuts[-1] >= len(reached) or not np.array_equal(reached[cuts], ends):
+            yield from zip(pieces, self._whole([" " + x for x in pieces]))
+            return
+        data, start = ids.tobytes(), 0
+        for piece, stop in zip(pieces, ((cuts + 1) * self.width).tolist()):
+            yield piece, data[start:stop]
+            start = stop
+
+    def _learn(self, begins: list[str], pieces: list[str]) -> None:
+        if len(self.begins) > CACHED_PIECES:
+            self.begins.clear()
+        if len(self.pieces) > CACHED_PIECES:  # pieces that are still in use come over from the older ones
+            self.older, self.pieces = self.pieces, {}
+        new = [x for x in dict.fromkeys(begins) if x not in self.begins]
+        self.begins.update(zip(new, self._whole(new)))
+        new = [x for x in pieces if x not in self.pieces]
+        if self.older:
+            self.pieces.update({x: self.older[x] for x in new if x in self.older})
+            new = [x for x in new if x not in self.pieces]
+        # a piece that is empty or ends in white space would meet the next one's space
+        alone = [x for x in new if not x or x[-1].isspace()]
+        self.pieces.update(zip(alone, self._whole([" " + x for x in alone])))
+        rest = [x for x in new if x and not x[-1].isspace()]
+        for i in range(0, len(rest), JOINED_PIECES):
+            self.pieces.update(self._joined(rest[i : i + JOINED_PIECES]))
+
+    def encode(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """Ids of each text, in order; a null text is empty."""
+        for i in range(0, len(texts), TEXTS_AT_ONCE):
+            some = pc.fill_null(texts[i : i + TEXTS_AT_ONCE], "")
+            odd = pc.match_substring_regex(some, _ODD)
+            whole = iter(self._whole(some.filter(odd).to_pylist()))
+            cut = iter(self._by_pieces(some.filter(pc.invert(odd))))
+            for is_odd in odd.to_pylist():
+                yield next(whole if is_odd else cut)
+
+    def _by_pieces(self, texts: pa.StringArray) -> list[bytes]:
+        if not len(texts):
+            return []
+        lists = pc.split_pattern(texts, " ")
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        values = lists.flatten()
+        begins = values.take(pa.array(first[:-1])).to_pylist()
+        coded = values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        self._learn(begins, pieces)
+        # distinct pieces, then each text's begin, one after the other
+        data = [*map(self.pieces.__getitem__, pieces), *map(self.begins.__getitem__, begins)]
+        code = coded.indices.to_numpy(zero_copy_only=False).copy()
+        code[first[:-1]] = len(pieces) + np.arange(len(begins))
+        taken = pa.array(data, pa.binary()).take(pa.array(code))
+        _, offsets, ids = taken.buffers()
+        cuts = np.frombuffer(offsets, np.int32, len(code) + 1)[first].tolist()
+        ids = memoryview(ids) if ids else memoryview(b"")
+        return [bytes(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder that a Python worker keeps from task to task.
+
+    Functions reach the workers by value, so the module's own globals end with a task.
+    """
+    kept = sys.modules.setdefault("_sequela_encoders", ModuleType("_sequela_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
@@ -134,7 +205,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        enc, n, total = Encoder(tokenizer), 0, 0
+        enc, n, total = encoder(tokenizer), 0, 0
         fs, where = opened(folder)
         fs.create_dir(where, recursive=True)
         name = f"part-{shard:06d}-{attempt}"
@@ -142,8 +213,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         with fs.open_output_stream(f"{where}/{name}.rec") as out, fs.open_output_stream(f"{where}/{name}.idx") as index:
             offset = 0
             for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    data = enc.encode(text) + end
+                encoded = enc.encode(batch.column(1))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoded):
+                    data = ids + end
                     record = frame(doc_id, data, enc.width)
                     out.write(record)
                     index.write(struct.pack("<QQ", offset, len(record)))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -29,9 +30,10 @@ def library():
 @pytest.mark.parametrize("text", TEXTS)
 def test_pieces_encode_like_the_whole(text):
     enc = records.Encoder(PATH)
+    texts = [text, None, *TEXTS, text + " " + text]
     for _ in range(2):
-        got = np.frombuffer(enc.encode(text), enc.kind).tolist()
-        assert got == library().encode(text, add_special_tokens=False).ids
+        got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(pa.array(texts))]
+        assert got == [library().encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_frames_come_back_and_damage_is_seen():
