@@ -46,6 +46,11 @@ VS_TYPE_LEVELS = (
 PRODUCT_LEVELS = ("uv", "AZ", "PB")
 HOSP_LEVELS = ("no_adm", "before", "in_hosp")
 
+# First positive test around the index date, reference first.
+POSITIVE_LEVELS = (
+    "never", "28+ days", "14-27 days", "0-13 days", "1-6 post event", "7+ post event",
+)
+
 # Person-time bands after the first dose, (label, over, up to).
 FOLLOW_BANDS = (
     ("0-7", 0, 7),
@@ -87,7 +92,9 @@ class StudyParams:
     endpoint_groups: dict[str, tuple[str, ...]] = field(default_factory=dict)
     endpoint_names: tuple[str, ...] = ()
     lag_days: int = 7
+    # days before the study that prior events are looked for; None for all of them
     lookback_days: int | None = None
+    dose2_lookback_days: int | None = None
     min_age: int = 16
     min_gap_days: int = 18
     controls_per_case: int = 10

@@ -9,12 +9,12 @@ driver only solves the small systems.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +22,16 @@ from sequela.functions.stats import chi2_tail, two_sided_p
 from sequela.models.kernel import Term, step_sums
 from sequela.sources.stages import stage
 
-SEP = "|"
 ROWS_PER_BLOCK = 20_000
-MAX_SE = 100.0
+# a coefficient whose standard error is that many times what its column's own spread
+# would give is not in the data: the likelihood still rises along it
+MAX_SCALED_SE = 1e3
 
 
 @dataclass
 class Fit:
-    """One model of one group. Coefficients that cannot be estimated are None."""
+    """One model of one group. Coefficients that cannot be estimated are None, and all are None
+    where the steps did not converge."""
 
     group: tuple[str, ...]
     model: str
@@ -58,18 +60,26 @@ class Fit:
 
 
 def _encoded(terms: Sequence[Term]) -> list[Column]:
-    """Level position from 1 (0 = missing) for factors, the value for numbers (NaN = missing)."""
+    """Level position from 1 (0 = missing) for factors, the value for numbers (NaN = missing).
+
+    A value that is not among a factor's levels is an error, not a missing one.
+    """
     cols = []
     for term in terms:
         if term.levels:
-            levels = F.array(*[F.lit(level) for level in term.levels])
-            code = F.coalesce(F.array_position(levels, F.col(term.name).cast("string")), F.lit(0))
-            cols.append(code.cast("double"))
+            cols.append(F.coalesce(_level_code(F.col(term.name).cast("string"), term), F.lit(0.0)))
         else:
             cols.append(F.coalesce(F.col(term.name).cast("double"), F.lit(float("nan"))))
     return cols
 
 
+def _level_code(value: Column, term: Term) -> Column:
+    """Position of the value among the term's levels; null for null."""
+    code = F.array_position(F.array(*[F.lit(level) for level in term.levels]), value)
+    unknown = F.raise_error(F.concat(F.lit(f"undeclared level of {term.name}: "), value))
+    return F.when(code > 0, code.cast("double")).when(value.isNotNull(), unknown.cast("double"))
+
+
 def strata_table(
     df: DataFrame,
     by: Sequence[str],
@@ -110,8 +120,7 @@ def strata_from_arrays(
 
     def encode(x: Column) -> Column:
         codes = [
-            F.array_position(F.array(*[F.lit(lv) for lv in t.levels]), x[t.name]).cast("double")
-            for t in terms
+            F.coalesce(_level_code(x[t.name], t), F.lit(0.0)) for t in terms
         ]
         return F.array(
             x["event"].cast("double"), F.lit(1.0), F.log(x[offset].cast("double")), *codes
@@ -127,7 +136,8 @@ def strata_from_arrays(
 
 
 def _folded_strata(per_stratum: DataFrame, by: Sequence[str]) -> DataFrame:
-    key = F.concat_ws(SEP, *by) if by else F.lit("")
+    # JSON, so that names may hold any character and nulls stay nulls
+    key = F.to_json(F.array(*[F.col(b).cast("string") for b in by])) if by else F.lit("[]")
     return (
         per_stratum.select(key.alias("g"), "pattern", "w")
         .groupBy("g", "pattern")
@@ -206,19 +216,26 @@ def _step_job(
 
 
 def _solve(info: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Newton direction, covariance and estimable columns; a column that earlier ones explain is not."""
+    """Newton direction, covariance and estimable columns; a column that earlier ones explain is not.
+
+    Columns are scaled by their information, so their units do not matter.
+    """
     p = len(grad)
     usable = np.zeros(p, dtype=bool)
-    work = info.copy()
+    scale = np.sqrt(np.maximum(np.diag(info), 0))
+    inverse_scale = np.divide(1.0, scale, out=np.zeros(p), where=scale > 0)
+    work = info * inverse_scale[:, None] * inverse_scale[None, :]
+    scaled = work.copy()
     for j in range(p):
-        if work[j, j] > 1e-9 * max(info[j, j], 1e-12) and info[j, j] > 1e-10:
+        if work[j, j] > 1e-9:
             usable[j] = True
             factor = work[:, j] / work[j, j]
             factor[: j + 1] = 0.0
             work -= factor[:, None] * work[j][None, :]
     step, cov = np.zeros(p), np.zeros((p, p))
     if usable.any():
-        inverse = np.linalg.inv(info[np.ix_(usable, usable)])
+        back = inverse_scale[usable]
+        inverse = np.linalg.inv(scaled[np.ix_(usable, usable)]) * back[:, None] * back[None, :]
         cov[np.ix_(usable, usable)] = inverse
         step[usable] = inverse @ grad[usable]
     return step, cov, usable
@@ -231,6 +248,7 @@ class _Newton:
     beta: np.ndarray
     dropped: np.ndarray
     null: float = float("nan")
+    start_info: np.ndarray = field(default_factory=lambda: np.zeros(0))
     last: tuple[np.ndarray, float] | None = None
     halvings: int = 0
     done: bool = False
@@ -244,6 +262,9 @@ class _Newton:
                 self.halvings += 1
                 self.beta = (self.beta + self.last[0]) / 2
                 return
+            # no better point along the step: stay at the last one, unconverged
+            self.beta, self.done = self.last[0], True
+            return
         small = self.last is not None and abs(loglik - self.last[1]) <= tol * max(abs(loglik), 1e-8)
         self.sums = sums
         if small or sums[1] == 0 or p == 0:
@@ -267,26 +288,23 @@ def fit(
     chosen = {m: tuple(by_name[n] for n in names) for m, names in models.items()}
     exact = ties == "exact"
     # staged, so that its partitions follow its size and a lost one is read again
-    kept = stage(strata).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        groups = [r.g for r in kept.select("g").distinct().collect()]
-        states: dict[tuple[str, str], _Newton] = {}
-        for g in groups:
-            for m, ts in chosen.items():
-                p = sum(t.width for t in ts)
-                states[g, m] = _Newton(np.zeros(p), np.zeros(p, dtype=bool))
-        if states:
-            start = {k: (s.beta, s.dropped) for k, s in states.items()}
-            for (g, m), sums in _step_job(kept, terms, chosen, start, exact).items():
-                _drop_empty(states[g, m], chosen[m], sums)
-        for _ in range(max_iter):
-            open_ = {k: (s.beta, s.dropped) for k, s in states.items() if not s.done}
-            if not open_:
-                break
-            for key, sums in _step_job(kept, terms, chosen, open_, exact).items():
-                states[key].advance(sums, tol)
-    finally:
-        kept.unpersist()
+    kept = stage(strata)
+    groups = [r.g for r in kept.select("g").distinct().collect()]
+    states: dict[tuple[str, str], _Newton] = {}
+    for g in groups:
+        for m, ts in chosen.items():
+            p = sum(t.width for t in ts)
+            states[g, m] = _Newton(np.zeros(p), np.zeros(p, dtype=bool))
+    if states:
+        start = {k: (s.beta, s.dropped) for k, s in states.items()}
+        for (g, m), sums in _step_job(kept, terms, chosen, start, exact).items():
+            _drop_empty(states[g, m], chosen[m], sums)
+    for _ in range(max_iter):
+        open_ = {k: (s.beta, s.dropped) for k, s in states.items() if not s.done}
+        if not open_:
+            break
+        for key, sums in _step_job(kept, terms, chosen, open_, exact).items():
+            states[key].advance(sums, tol)
     return [_finish(g, m, chosen[m], s) for (g, m), s in sorted(states.items())]
 
 
@@ -294,6 +312,7 @@ def _drop_empty(state: _Newton, terms: Sequence[Term], sums: np.ndarray) -> None
     """Mark levels without an event, whose coefficient has no finite estimate."""
     p = len(state.beta)
     state.null = sums[2]
+    state.start_info = np.diag(sums[3 + 3 * p :].reshape(p, p))
     factor = np.array([bool(t.levels) for t in terms for _ in range(t.width)], dtype=bool)
     state.dropped = factor & (sums[3 + p : 3 + 2 * p] == 0)
     if not state.dropped.any():
@@ -305,9 +324,10 @@ def _finish(g: str, m: str, terms: tuple[Term, ...], state: _Newton) -> Fit:
     sums = state.sums if len(state.sums) else np.zeros(3 + 3 * p + p * p)
     _, cov, usable = _solve(sums[3 + 3 * p :].reshape(p, p), sums[3 : 3 + p])
     se = np.sqrt(np.clip(np.diag(cov), 0, None))
-    good = usable & ~state.dropped & (se < MAX_SE)
+    spread = np.sqrt(np.clip(state.start_info, 0, None)) if len(state.start_info) else np.zeros(p)
+    good = usable & ~state.dropped & (se * spread < MAX_SCALED_SE) & state.converged
     return Fit(
-        group=tuple(g.split(SEP)),
+        group=tuple(json.loads(g)),
         model=m,
         terms=terms,
         coef=[float(b) if ok else None for b, ok in zip(state.beta, good)],
@@ -326,9 +346,9 @@ def coef_table(spark: SparkSession, fits: Sequence[Fit], by: Sequence[str]) -> D
     for f in fits:
         for term, level, coef, se in f.rows():
             p = None if coef is None or not se else two_sided_p(coef / se)
-            rows.append((*f.group, f.model, term, level, coef, se, p))
+            rows.append((*f.group, f.model, term, level, coef, se, p, f.converged))
     schema = ", ".join([*(f"{b} string" for b in by), "model string, term string, level string"])
-    return spark.createDataFrame(rows, schema + ", coef double, se double, p double")
+    return spark.createDataFrame(rows, schema + ", coef double, se double, p double, converged boolean")
 
 
 def lr_test(larger: Fit, smaller: Fit) -> tuple[float, int, float]:

@@ -79,7 +79,7 @@ def nested_models(
         part = effects.filter(F.col("model") == m).select(
             *by,
             F.col("level").alias(var.name),
-            *[F.col(c).alias(f"{c}_{m}") for c in ("est", "lcl", "ucl", "p")],
+            *[F.col(c).alias(f"{c}_{m}") for c in ("est", "lcl", "ucl", "p", "converged")],
         )
         table = table.join(part, [*by, var.name], "left")
     return table
@@ -150,8 +150,9 @@ def lr_table(
     for group in sorted({f.group for f in fits}):
         big, small = found[group, larger], found[group, smaller]
         chi2, df, p = lr_test(big, small)
-        rows.append((*group, big.loglik, small.loglik, chi2, df, p))
+        done = big.converged and small.converged
+        rows.append((*group, big.loglik, small.loglik, *((chi2, df, p) if done else (None,) * 3), done))
     schema = ", ".join(f"{b} string" for b in by)
     return spark.createDataFrame(
-        rows, schema + ", loglik_1 double, loglik_0 double, chi2 double, df long, p double"
+        rows, schema + ", loglik_1 double, loglik_0 double, chi2 double, df long, p double, converged boolean"
     )

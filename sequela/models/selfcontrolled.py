@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sequela.config import SCCS_LEVELS, VT_LEVELS
 from sequela.models.clogit import Fit, coef_table, fit, strata_from_arrays, strata_table
-from sequela.models.effects import Z_EXACT, effect_table
+from sequela.models.effects import Z_EXACT, effect_table, lr_table
 from sequela.models.kernel import Term
 from sequela.operators.persondays import level_rates, level_sets
 from sequela.operators.sccs import interval_rates, intervals_array
@@ -34,6 +34,7 @@ def sccs_fit(windows: DataFrame, intervals: DataFrame) -> DataFrame:
         *by, F.col("level").alias("expgr"), "est",
         F.when(F.col("level") != SCCS_LEVELS[0], F.col("lcl")).alias("lcl"),
         F.when(F.col("level") != SCCS_LEVELS[0], F.col("ucl")).alias("ucl"),
+        "converged",
     )
     return interval_rates(intervals, [*by, "expgr"]).join(effects, [*by, "expgr"], "left")
 
@@ -79,6 +80,12 @@ def sccs_models(labelled: DataFrame) -> DataFrame:
     )
 
 
+def time_split_tests(labelled: DataFrame) -> DataFrame:
+    """Likelihood-ratio test of the period beside product by level, per endpoint."""
+    joint = time_split_fits(labelled)["joint"]
+    return lr_table(labelled.sparkSession, joint, "vt_period", "vt", ["endpoint"])
+
+
 def panel_terms(n_periods: int, merged: bool = False) -> dict[str, Term]:
     sets = level_sets(merged)
     terms = {c: Term(c, tuple(names)) for c, names in sets.items()}
@@ -87,19 +94,23 @@ def panel_terms(n_periods: int, merged: bool = False) -> dict[str, Term]:
 
 
 def pd_model(
-    panel: DataFrame, names: Sequence[str], n_periods: int, merged: bool = False
+    panel: DataFrame,
+    terms: Sequence[Term],
+    n_periods: int,
+    merged: bool = False,
+    everyone: bool = False,
+    model: str | None = None,
 ) -> DataFrame:
-    """Person-day model with the named exposures and period, Efron ties.
+    """Person-day model of the given terms, Efron ties, beside each level's counts.
 
     Each day has the same length, so the offset is 0 and equal days of a person
-    fold into one row with a count.
+    fold into one row with a count. ``everyone``: the counts of each level are of
+    all people of the panel, as the model's are; else each product counts its own
+    recipients and the infection those who tested positive.
     """
-    available = panel_terms(n_periods, merged)
-    terms = [available[n] for n in names]
+    names = [t.name for t in terms]
     strata = strata_table(panel, ["endpoint"], ["person_id"], terms)
-    fits = fit(strata, terms, {"+".join(names): list(names)})
+    fits = fit(strata, terms, {model or "+".join(names): names})
     coefs = coef_table(panel.sparkSession, fits, ["endpoint"])
-    rates = level_rates(panel, n_periods, merged)
-    return rates.filter(F.col("term").isin(*names)).join(
-        coefs, ["endpoint", "term", "level"], "left"
-    )
+    rates = level_rates(panel, n_periods, merged, None if not everyone else terms)
+    return rates.filter(F.col("term").isin(*names)).join(coefs, ["endpoint", "term", "level"], "left")

@@ -26,6 +26,11 @@ def classify_product(
     return records.withColumns({"date": F.to_date("occurrence_time"), "vacc_type": named})
 
 
+def recorded_since(records: DataFrame, day: date) -> DataFrame:
+    """Records of a dose given on or after ``day``; a plain bound that reaches the scan."""
+    return records.filter(F.col("occurrence_time") >= F.lit(day).cast("timestamp_ntz"))
+
+
 def normalise_dose(records: DataFrame, first: Sequence[int] = (0, 3)) -> DataFrame:
     """Add ``dose``: the listed stages count as dose 1."""
     stage = F.col("stage")

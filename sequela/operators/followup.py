@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sequela.functions.columns import days_between, when_chain
 from sequela.operators.outcome import age_band, first_event, one_death
+from sequela.operators.status import spell_part
 
 
 def event_exposure(ev: DataFrame, vacc: DataFrame) -> DataFrame:
@@ -32,28 +33,31 @@ def attach_death(df: DataFrame, deaths: DataFrame) -> DataFrame:
     return df.join(one_death(deaths), "person_id", "left")
 
 
-def attach_admissions(df: DataFrame, spells: DataFrame, begin: date) -> DataFrame:
+def attach_admissions(df: DataFrame, spells: DataFrame, begin: date, salts: int = 8) -> DataFrame:
     """Emergency spells not over by ``begin``, with days from event to admission.
 
     Admissions up to a week before the event count as day 0, earlier ones have
-    no day. People without a spell keep one row.
+    no day. People without a spell keep one row. The spells of a person are
+    joined in parts, so that one with very many is spread over tasks.
     """
     left = F.col("discharge_date")
     open_or_later = spells.filter(
         F.col("emergency") & (left.isNull() | (left > F.lit(begin)))
-    ).select("person_id", "admission_date", "discharge_date")
-    # inner and anti join in place of a left join: the inner join can split a
-    # person with very many spells over tasks
-    admitted = df.join(open_or_later, "person_id")
-    others = df.join(open_or_later.select("person_id").distinct(), "person_id", "left_anti")
+    ).select("person_id", "admission_date", "discharge_date", spell_part(salts).alias("_part"))
+    have = open_or_later.select("person_id").distinct().withColumn("_any", F.lit(True))
+    parts = F.when(F.col("_any"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))
+    spread = df.join(have, "person_id", "left").withColumn("_part", F.explode(parts))
+    joined = spread.join(open_or_later.withColumn("_hit", F.lit(True)), ["person_id", "_part"], "left")
     days = days_between(F.col("admission_date"), F.col("start_date"))
-    return admitted.unionByName(others, allowMissingColumns=True).withColumn(
-        "days_adm", F.when(days >= 0, days).when(days >= -7, 0)
+    return (
+        joined.filter(F.col("_any").isNull() | F.col("_hit"))
+        .withColumn("days_adm", F.when(days >= 0, days).when(days >= -7, 0))
+        .select(*df.columns, "admission_date", "discharge_date", "days_adm")
     )
 
 
 def admission_status(df: DataFrame) -> DataFrame:
-    """Discharge status, and admission status within 7 days of the event."""
+    """Discharge status, and admission status within 7 days of the event; names are fixed values."""
     admitted, left, start = F.col("admission_date"), F.col("discharge_date"), F.col("start_date")
     no_adm = (admitted.isNull() & left.isNull(), "no_adm")
     discharge = [

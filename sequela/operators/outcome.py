@@ -147,12 +147,15 @@ def study_end(ev: DataFrame) -> DataFrame:
     return ev.groupBy("endpoint").agg(F.max("start_date").alias("a_end"))
 
 
-def attrition(ev: DataFrame, cohort: DataFrame, unmatched: DataFrame) -> DataFrame:
+def attrition(
+    ev: DataFrame, prior: DataFrame, cohort: DataFrame, unmatched: DataFrame
+) -> DataFrame:
     """Per endpoint: events, people, people outside the cohort, people without a control.
 
-    ``ev`` are the study events before the first one is picked.
+    ``ev`` are the study events before wash-out and choice of the first one. Events are counted
+    per person first, which combines before the shuffle; the wash-out then meets one row a person.
     """
-    people = ev.groupBy("endpoint", "person_id").agg(F.count("*").alias("n"))
+    people = washout(ev.groupBy("endpoint", "person_id").agg(F.count("*").alias("n")), prior)
     linked = people.join(
         cohort.select("person_id").distinct().withColumn("linked", F.lit(1)), "person_id", "left"
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sequela.config import DOSE_LEVELS, INFECTION_LEVELS, dose_level_names
 from sequela.functions.columns import days_between, last_rule, short_number
 from sequela.functions.stats import normal_quantile
+from sequela.models.kernel import Term
 
 LEVEL_SETS = {"expgr": "PB", "expgr2": "AZ"}
 
@@ -120,15 +121,19 @@ def level_sets(merged: bool = False) -> dict[str, list[str]]:
     return sets
 
 
-def level_rates(panel: DataFrame, n_periods: int, merged: bool = False) -> DataFrame:
+def level_rates(
+    panel: DataFrame, n_periods: int, merged: bool = False, terms: Sequence[Term] | None = None
+) -> DataFrame:
     """Events, person-days and weekly rate for every level and period.
 
     Each product counts its own recipients, the infection levels count people
-    with a positive test, the periods count everyone. Days are counted by their
-    joint levels first; each count then adds to up to four levels. Levels
-    without a day are listed with zeros.
+    with a positive test, the periods count everyone. With ``terms`` the levels
+    of these terms are counted over everyone instead; a number's level is ``""``
+    and counts the days on which it is not 0. Days are counted by their joint
+    levels first; each count then adds to one level per term. Levels without a
+    day are listed with zeros.
     """
-    sets = level_sets(merged)
+    sets = level_sets(merged) if terms is None else {t.name: list(t.levels) for t in terms if t.name != "period"}
     cells = panel.groupBy(
         "endpoint", "vacc_type", *sets, "period", F.col("days3").isNotNull().alias("tested")
     ).agg(F.sum("event").alias("event"), F.sum("interval").alias("personday"))
@@ -136,14 +141,22 @@ def level_rates(panel: DataFrame, n_periods: int, merged: bool = False) -> DataF
     def entry(term: str) -> Column:
         return F.struct(F.lit(term).alias("term"), F.col(term).cast("string").alias("level"))
 
-    entries = [F.when(F.col("vacc_type") == v, entry(c)) for c, v in LEVEL_SETS.items()]
-    entries += [F.when(F.col("tested"), entry("expgr3")), entry("period")]
+    if terms is None:
+        entries = [F.when(F.col("vacc_type") == v, entry(c)) for c, v in LEVEL_SETS.items()]
+        entries += [F.when(F.col("tested"), entry("expgr3")), entry("period")]
+    else:
+        entries = [
+            # a number's days at 0 belong to no level
+            entry(c) if names else F.when(F.col(c) != 0, F.struct(F.lit(c).alias("term"), F.lit("").alias("level")))
+            for c, names in sets.items()
+        ]
+        entries.append(entry("period"))
     counted = (
         cells.select("endpoint", "event", "personday", F.inline(F.array_compact(F.array(*entries))))
         .groupBy("endpoint", "term", "level")
         .agg(F.sum("event").alias("event"), F.sum("personday").alias("personday"))
     )
-    every = [(c, lv) for c, names in sets.items() for lv in names]
+    every = [(c, lv) for c, names in sets.items() for lv in names or ("",)]
     every += [("period", str(i)) for i in range(1, n_periods + 1)]
     listed = F.array(
         *[F.struct(F.lit(c).alias("term"), F.lit(lv).alias("level")) for c, lv in every]

@@ -25,7 +25,9 @@ def first_post_exposure(ev: DataFrame, vacc: DataFrame, ends: DataFrame) -> Data
     doses = vacc.select("person_id", "vacc_type", "date_vacc_1")
     days = days_between(F.col("start_date"), F.col("date_vacc_1"))
     after = (
+        # distinct days first: a person then has at most a row per endpoint and calendar day
         ev.select("endpoint", "person_id", "start_date")
+        .distinct()
         .join(doses, "person_id")
         .join(F.broadcast(ends), "endpoint")  # one row per endpoint
         .filter(

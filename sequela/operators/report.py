@@ -41,9 +41,8 @@ def report_table(effects: DataFrame, by: str, hide_unfitted: bool = False) -> Da
 def report_counts(attrition: DataFrame) -> DataFrame:
     """One sentence of counts per endpoint."""
     text = F.format_string(
-        "There are %d events in the study period with %d incident events. "
-        "%d people could not be linked to the cohort. "
-        "%d cases could not be matched.",
+        "%d study events of %d incident people; "
+        "%d of them are not in the cohort, and %d cases have no control.",
         "total_events", "total_unique_events", "no_link_to_cohort", "no_match",
     )
     return attrition.select("endpoint", text.alias("text"))

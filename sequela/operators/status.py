@@ -64,7 +64,7 @@ def collapse_status(df: DataFrame) -> DataFrame:
 
 
 def _spell_kind(lookback: int) -> Column:
-    """Where a spell lies relative to ``event_time``."""
+    """Where a spell lies relative to ``event_time``; the names are fixed values."""
     admitted, left, index = F.col("admission_date"), F.col("discharge_date"), F.col("event_time")
     return when_chain(
         [
@@ -88,8 +88,13 @@ def person_index(df: DataFrame) -> DataFrame:
     )
 
 
+def spell_part(salts: int) -> Column:
+    """Part of its person's spells that a spell belongs to."""
+    return F.pmod(F.xxhash64("admission_date", "discharge_date"), F.lit(salts)).cast("int")
+
+
 def hospital_status(
-    df: DataFrame, spells: DataFrame, begin: date, lookback: int = 14
+    df: DataFrame, spells: DataFrame, begin: date, lookback: int = 14, salts: int = 8
 ) -> DataFrame:
     """Add ``hosp``: in hospital, discharged shortly before, or no admission.
 
@@ -100,10 +105,13 @@ def hospital_status(
     people = person_index(df)
     left = F.col("discharge_date")
     recent = spells.filter(left.isNull() | (left >= F.lit(begin - timedelta(days=lookback))))
-    # an inner join, which can split a person with very many spells over tasks
-    kinds = people.join(
-        recent.select("person_id", "admission_date", "discharge_date"), "person_id"
-    ).select("endpoint", "person_id", _spell_kind(lookback).alias("kind"))
+    # spells in parts, so that a person with very many is spread over tasks; the parts are no
+    # grouping by person, so each task's result is combined before the rows meet per person
+    parts = recent.select("person_id", "admission_date", "discharge_date", spell_part(salts).alias("part"))
+    spread = people.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    kinds = spread.join(parts, ["person_id", "part"]).select(
+        "endpoint", "person_id", _spell_kind(lookback).alias("kind")
+    )
     per_person = kinds.groupBy("endpoint", "person_id").agg(
         F.max(F.col("kind") == "in_hosp").alias("inside"),
         F.max(F.col("kind") == "before").alias("before"),
@@ -115,7 +123,7 @@ def hospital_status(
 
 
 def test_timing(df: DataFrame, tests: DataFrame) -> DataFrame:
-    """Add ``positive_before_event``: when the first positive test was taken.
+    """Add ``positive_before_event``: when the first positive test was taken (POSITIVE_LEVELS).
 
     ``tests`` are positive tests; the first one of a person is used.
     """

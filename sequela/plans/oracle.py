@@ -32,8 +32,13 @@ def coarse(col: str) -> str:
     )
 
 
-def r4(expr: str, name: str) -> str:
-    return f"round({expr}, 4) + 0.0 AS {name}"
+def r8(expr: str, name: str) -> str:
+    return f"round({expr}, 8) + 0.0 AS {name}"
+
+
+def r6(expr: str, name: str) -> str:
+    """For numbers from iterations and simulations."""
+    return f"round({expr}, 6) + 0.0 AS {name}"
 
 
 def hash_int(text: str, digits: int) -> str:
@@ -60,26 +65,29 @@ CTES: dict[str, str] = {
                CAST(15 + c_custkey % 38 AS DOUBLE) AS bmi,
                CAST(c_custkey % 11 = 0 AS BIGINT) AS diag_chd,
                CAST(c_custkey % 13 = 0 AS BIGINT) AS diag_stroke,
-               CAST(least((14 + (c_custkey * 7) % 86) // 10, 8) AS BIGINT) AS match_age
+               CAST(CASE WHEN (15 + (c_custkey * 7) % 86) >= 100 THEN 100 WHEN (15 + (c_custkey * 7) % 86) >= 95 THEN 97
+                    WHEN (15 + (c_custkey * 7) % 86) >= 90 THEN 92
+                    WHEN (15 + (c_custkey * 7) % 86) >= 80 THEN (15 + (c_custkey * 7) % 86) // 2 * 2
+                    ELSE 15 + (c_custkey * 7) % 86 END AS BIGINT) AS match_age
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "deaths": """
         SELECT c_custkey AS person_id,
                CAST(DATE '1998-03-01' + CAST(c_custkey % 400 AS INT) AS DATE) AS death_date
         FROM customer WHERE c_acctbal < 0""",
-    "vrec": f"""
+    "vrec": """
         SELECT o_custkey AS person_id, o_orderkey AS rec_id, CAST(o_orderdate AS DATE) AS date,
                CASE WHEN o_orderkey % 20 = 0 THEN 'UNK'
                     WHEN (o_custkey + CASE WHEN o_orderkey % 25 = 0 THEN 1 ELSE 0 END) % 2 = 0
                     THEN 'PB' ELSE 'AZ' END AS type,
                CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 WHEN 'P' THEN 2 END AS stage
-        FROM orders WHERE o_orderdate >= {BEGIN}""",
+        FROM orders""",
     "vclass": """
         SELECT person_id, rec_id, date, type,
                CASE WHEN type LIKE '%PB%' THEN 'PB' WHEN type = 'AZ' THEN 'AZ' ELSE 'UNK' END AS vacc_type,
                stage, CASE WHEN stage IN (0, 3) THEN 1 ELSE stage END AS dose
         FROM vrec""",
-    "vfirst": """
-        SELECT person_id, dose, date, vacc_type, rec_id FROM vclass WHERE dose IN (1, 2)
+    "vfirst": f"""
+        SELECT person_id, dose, date, vacc_type, rec_id FROM vclass WHERE dose IN (1, 2) AND date >= {BEGIN}
         QUALIFY row_number() OVER (PARTITION BY person_id, dose ORDER BY date, rec_id) = 1""",
     "vwide": """
         SELECT a.person_id, a.vacc_type, a.date AS date_vacc_1,
@@ -110,7 +118,8 @@ CTES: dict[str, str] = {
     "win": f"""
         SELECT ev.* FROM ev, latest
         WHERE start_date >= {BEGIN} AND start_date <= latest - 7""",
-    "prior": f"SELECT * FROM ev WHERE start_date < {BEGIN} AND start_date >= {BEGIN} - 180",
+    "prior": f"SELECT * FROM ev WHERE start_date < {BEGIN}",
+    "recent": f"SELECT * FROM ev WHERE start_date < {BEGIN} AND start_date >= {BEGIN} - 180",
     "incident": """
         SELECT * FROM win w WHERE age >= 16 AND NOT EXISTS (
           SELECT 1 FROM prior p WHERE p.endpoint = w.endpoint AND p.person_id = w.person_id)""",
@@ -140,11 +149,14 @@ CTES: dict[str, str] = {
                    WHERE result = 'POSITIVE' AND specimen_date BETWEEN {BEGIN} AND {END}
                    GROUP BY person_id) t ON t.person_id = e.person_id
         WHERE e.age >= 16 AND NOT EXISTS (
-          SELECT 1 FROM prior p WHERE p.endpoint = e.endpoint AND p.person_id = e.person_id)""",
+          SELECT 1 FROM recent p WHERE p.endpoint = e.endpoint AND p.person_id = e.person_id)""",
     # matching
     "alive": f"""
         SELECT c.*, d.death_date FROM cohort c LEFT JOIN deaths d USING (person_id)
         WHERE d.death_date IS NULL OR d.death_date >= {BEGIN}""",
+    "late_alive": f"""
+        SELECT c.* FROM cohort c LEFT JOIN deaths USING (person_id)
+        WHERE death_date IS NULL OR death_date >= {BEGIN} + 90""",
     "cases": f"""
         SELECT f.endpoint, f.person_id AS case_id, f.start_date AS event_time, {KEYS}
         FROM firsts f JOIN alive a USING (person_id, sex)""",
@@ -230,8 +242,7 @@ CTES: dict[str, str] = {
         FROM (SELECT * FROM ev e
               WHERE start_date BETWEEN {BEGIN} - 68 AND {BEGIN} - 40
                 AND NOT EXISTS (SELECT 1 FROM ev x WHERE x.endpoint = e.endpoint
-                                AND x.person_id = e.person_id AND x.start_date < {BEGIN} - 68
-                                AND x.start_date >= {BEGIN} - 68 - 180)
+                                AND x.person_id = e.person_id AND x.start_date < {BEGIN} - 68)
               QUALIFY row_number() OVER (PARTITION BY endpoint, person_id ORDER BY start_date, code) = 1)
         WHERE age >= 16 GROUP BY ALL""",
     "popn": f"""
@@ -359,10 +370,11 @@ CTES: dict[str, str] = {
     "spine": f"""
         SELECT CAST(d AS DATE) AS date, CAST((CAST(d AS DATE) - {BEGIN}) // 7 + 1 AS BIGINT) AS period
         FROM (SELECT unnest(generate_series({BEGIN}, {END}, INTERVAL 1 DAY)) AS d)""",
-    "pdall": """
+    "pdany": """
         SELECT a.endpoint, a.person_id, a.vacc_type, s.date, s.period, a.death_date, a.start_date AS event_date,
                s.date - a.date_vacc_1 AS days, s.date - a.date_vacc_2 AS days2, s.date - a.specimen_date AS days3
-        FROM analysis a, spine s WHERE a.date_vacc_2 IS NOT NULL""",
+        FROM analysis a, spine s""",
+    "pdall": "SELECT * FROM pdany WHERE days2 IS NOT NULL",
     "pdlev": """
         SELECT *, CASE WHEN days2 BETWEEN 21 AND 27 THEN 'Dose2 21-27' WHEN days2 BETWEEN 14 AND 20 THEN 'Dose2 14-20'
                        WHEN days2 BETWEEN 7 AND 13 THEN 'Dose2 7-13' WHEN days2 BETWEEN 0 AND 6 THEN 'Dose2 0-6'
@@ -374,13 +386,14 @@ CTES: dict[str, str] = {
                     WHEN days3 BETWEEN 0 AND 6 THEN 'infection 0-6' WHEN days3 BETWEEN 7 AND 13 THEN 'infection 7-13'
                     WHEN days3 BETWEEN 14 AND 20 THEN 'infection 14-20'
                     WHEN days3 BETWEEN 21 AND 27 THEN 'infection 21-27' ELSE 'infection Baseline' END AS expgr3
-        FROM pdall""",
+        FROM pdany""",
     "pdx": """
         SELECT *, 'PB ' || CASE WHEN vacc_type = 'PB' THEN lev ELSE 'Baseline' END AS expgr,
                'AZ ' || CASE WHEN vacc_type = 'AZ' THEN lev ELSE 'Baseline' END AS expgr2,
                CAST(date = event_date AS BIGINT) AS event
         FROM pdlev""",
-    "panel": "SELECT * FROM pdx WHERE death_date IS NULL OR date <= death_date",
+    "panel": "SELECT * FROM pdx WHERE days2 IS NOT NULL AND (death_date IS NULL OR date <= death_date)",
+    "exposed_days": "SELECT * FROM pdx WHERE death_date IS NULL OR date <= death_date",
     # follow-up
     "adult": "SELECT * FROM win WHERE age >= 16",
     "afirst": """
@@ -584,12 +597,12 @@ def oracle(name: str, sql: str) -> None:
 
 
 oracle("s1_load_register", f"""SELECT person_id, sex, age_year, zone, simd, n_risk_gps, n_tests_gp,
-  {r4('weight', 'weight')}, {r4('bmi', 'bmi')}, diag_chd, diag_stroke FROM cohort""")
+  {r8('weight', 'weight')}, {r8('bmi', 'bmi')}, diag_chd, diag_stroke FROM cohort""")
 oracle("s2_positive_tests", f"SELECT * FROM tests WHERE result = 'POSITIVE' AND specimen_date >= {BEGIN}")
 oracle("s3_positive_test_days", "SELECT DISTINCT person_id, specimen_date FROM tests WHERE result = 'POSITIVE'")
 oracle("s4_write_stage", "SELECT endpoint, person_id, start_date, code, age, sex FROM firsts")
 _RATES = f"""sum(event * n)::BIGINT AS event, sum(interval * n)::BIGINT AS interval,
-  {r4('sum(event * n) / nullif(sum(interval * n), 0)::DOUBLE * 7', 'rate_week')}"""
+  {r8('sum(event * n) / nullif(sum(interval * n), 0)::DOUBLE * 7', 'rate_week')}"""
 oracle("s5_stack_results", f"SELECT endpoint, vacc_type, expgr, {_RATES} FROM ivs GROUP BY ALL")
 oracle("e1_classify_product", "SELECT person_id, rec_id, type, date, vacc_type FROM vclass")
 oracle("e2_normalise_dose", "SELECT rec_id, stage, dose FROM vclass")
@@ -616,9 +629,9 @@ oracle("v3_trim_extract", """SELECT start_date, count(*) AS n FROM reg
 oracle("v4_resolve_endpoints", "SELECT endpoint, code, start_date, count(*) AS n FROM ev GROUP BY ALL")
 oracle("v5_study_window", "SELECT endpoint, start_date, count(*) AS n FROM win GROUP BY ALL")
 oracle("v6_washout", """SELECT endpoint, person_id, start_date, count(*) AS n FROM win w
+  WHERE (endpoint, person_id) NOT IN (SELECT (endpoint, person_id) FROM recent) GROUP BY ALL""")
+oracle("v6_washout_unbounded", """SELECT endpoint, person_id, start_date, count(*) AS n FROM win w
   WHERE (endpoint, person_id) NOT IN (SELECT (endpoint, person_id) FROM prior) GROUP BY ALL""")
-oracle("v6_washout_unbounded", f"""SELECT endpoint, person_id, start_date, count(*) AS n FROM win w
-  WHERE (endpoint, person_id) NOT IN (SELECT (endpoint, person_id) FROM ev WHERE start_date < {BEGIN}) GROUP BY ALL""")
 oracle("v7_min_age", "SELECT endpoint, person_id, age, count(*) AS n FROM incident GROUP BY ALL")
 oracle("v8_first_event", "SELECT endpoint, person_id, start_date, code, age, sex FROM firsts")
 oracle("v8_first_incident", "SELECT endpoint, person_id, start_date, code, age, sex FROM firsts")
@@ -627,7 +640,7 @@ _ATTRITION = """SELECT i.endpoint, count(*) AS total_events, count(DISTINCT i.pe
   count(DISTINCT CASE WHEN a.person_id IS NULL THEN i.person_id END) AS no_link_to_cohort,
   (SELECT count(*) FROM cases k WHERE k.endpoint = i.endpoint AND NOT EXISTS (
      SELECT 1 FROM pairs p WHERE p.endpoint = k.endpoint AND p.case_id = k.case_id)) AS no_match
-  FROM incident i LEFT JOIN alive a ON a.person_id = i.person_id GROUP BY i.endpoint"""
+  FROM incident i LEFT JOIN late_alive a ON a.person_id = i.person_id GROUP BY i.endpoint"""
 oracle("v10_attrition", _ATTRITION)
 oracle("v11_analysis_set", "SELECT * FROM analysis")
 oracle("c1_matching_age", """SELECT age_year, CASE WHEN age_year + 1 >= 100 THEN 100 WHEN age_year + 1 >= 95 THEN 97
@@ -635,10 +648,9 @@ oracle("c1_matching_age", """SELECT age_year, CASE WHEN age_year + 1 >= 100 THEN
   count(*) AS n FROM (SELECT age_year FROM cohort) GROUP BY ALL""")
 oracle("c2_alive_at", f"""SELECT person_id, death_date FROM cohort LEFT JOIN deaths USING (person_id)
   WHERE death_date IS NULL OR death_date >= {BEGIN} + 90""")
-oracle("c3_link_cases", f"""SELECT f.endpoint, f.person_id, f.start_date, f.code, a.sex, a.zone, a.match_age,
+oracle("c3_link_cases", """SELECT f.endpoint, f.person_id, f.start_date, f.code, a.sex, a.zone, a.match_age,
   a.person_id IS NOT NULL AS linked
-  FROM firsts f LEFT JOIN (SELECT c.* FROM cohort c LEFT JOIN deaths USING (person_id)
-    WHERE death_date IS NULL OR death_date >= {BEGIN} + 90) a ON a.person_id = f.person_id""")
+  FROM firsts f LEFT JOIN late_alive a ON a.person_id = f.person_id""")
 oracle("c4_control_pool", f"SELECT endpoint, person_id, {KEYS}, death_date, event FROM pool")
 oracle("m1_match_candidates", f"""SELECT k.endpoint, k.case_id, k.event_time, {KEYS}, count(p.control_id) AS n_candidates
   FROM cases k LEFT JOIN (SELECT endpoint, case_id, control_id FROM pairs) p USING (endpoint, case_id) GROUP BY ALL""")
@@ -677,7 +689,7 @@ oracle("x5_test_timing", f"""SELECT {_SET}, CASE WHEN t.d IS NULL THEN 'never' W
   FROM sets LEFT JOIN (SELECT person_id, min(specimen_date) AS d FROM tests
     WHERE result = 'POSITIVE' AND specimen_date >= {BEGIN} GROUP BY person_id) t USING (person_id)""")
 oracle("x6_attach_covariates", f"""SELECT s.endpoint, s.case_id, s.person_id, s.event, c.age_year, c.n_risk_gps,
-  c.n_tests_gp, c.simd, {r4('c.bmi', 'bmi')}, c.diag_chd, c.diag_stroke,
+  c.n_tests_gp, c.simd, {r8('c.bmi', 'bmi')}, c.diag_chd, c.diag_stroke,
   c.age_year >= 65 AND c.person_id % 9 = 0 AS care_home, f.code AS event_code
   FROM sets s LEFT JOIN cohort c USING (person_id)
   LEFT JOIN firsts f ON f.endpoint = s.endpoint AND f.person_id = s.person_id""")
@@ -694,13 +706,13 @@ oracle("r1_first_post_exposure", """SELECT *, CAST(days_1 <= 7 AS BIGINT) AS day
 oracle("r2_exposure_followup", "SELECT * FROM followed")
 oracle("r3_person_time", "SELECT * FROM ptime")
 oracle("r4_historical_events", "SELECT * FROM hist")
-oracle("r5_weighted_population", f"SELECT age_grp, {r4('population', 'population')} FROM popn")
+oracle("r5_weighted_population", f"SELECT age_grp, {r8('population', 'population')} FROM popn")
 oracle("r6_expected_events", f"""SELECT endpoint, vacc_type, age_grp, period, n, event, pdays, events_pre,
-  {r4('population::DOUBLE', 'population')}, {r4('exp_events', 'exp_events')} FROM oe""")
-_OE = ", ".join(r4(f"{c}::DOUBLE", c) for c in ("exp_events", "events_pre", "population", "data_oe", "data_o_minus_e"))
+  {r8('population::DOUBLE', 'population')}, {r8('exp_events', 'exp_events')} FROM oe""")
+_OE = ", ".join(r8(f"{c}::DOUBLE", c) for c in ("exp_events", "events_pre", "population", "data_oe", "data_o_minus_e"))
 oracle("r7_oe_summary", f"SELECT endpoint, vacc_type, age_grp, event, pdays, n, {_OE} FROM oesum")
 oracle("r8_simulate_oe", f"""SELECT endpoint, vacc_type, age_grp, count(*) AS n_sims, sum(sim_obs)::BIGINT AS sum_obs,
-  max(sim_obs) AS max_obs, {r4('sum(sim_obs_pre)', 'sum_pre')}, {r4('sum(sim_exp_pre)', 'sum_exp')}
+  max(sim_obs) AS max_obs, {r6('sum(sim_obs_pre)', 'sum_pre')}, {r6('sum(sim_exp_pre)', 'sum_exp')}
   FROM simrows GROUP BY ALL""")
 
 
@@ -716,13 +728,13 @@ def _interval(source: str, by: str) -> str:
 
 
 _LIMITS = [f"{q}_{n}" for n in ("oe", "o_minus_e") for q in ("med", "mean", "q025", "q975", "data")]
-_ROUNDED = ", ".join(r4(c, c) for c in _LIMITS)
+_ROUNDED = ", ".join(r6(c, c) for c in _LIMITS)
 oracle("r9_oe_interval", f"""SELECT endpoint, vacc_type, age_grp, {_ROUNDED}
   FROM ({_interval('simrows', 'endpoint, vacc_type, age_grp')})""")
 oracle("r10_oe_interval_overall", f"""SELECT endpoint, vacc_type, {_ROUNDED}
   FROM ({_interval('simtot', 'endpoint, vacc_type')})""")
 _SHOWN = ", ".join(
-    r4(f"{c}::DOUBLE", c)
+    r6(f"{c}::DOUBLE", c)
     for c in ("exp_events", "data_oe", "q025_oe", "q975_oe", "data_o_minus_e", "q025_o_minus_e", "q975_o_minus_e")
 )
 oracle("r11_oe_table", f"""SELECT endpoint, vacc_type, age_grp, n, event, {_SHOWN} FROM (
@@ -742,7 +754,7 @@ def _short(col: str) -> str:
 
 
 oracle("r12_dose2_incidence", f"""SELECT endpoint, follow_up, n_events, doses,
-  {r4('rate', 'rate')}, {r4('lower', 'lower')}, {r4('upper', 'upper')},
+  {r6('rate', 'rate')}, {r6('lower', 'lower')}, {r6('upper', 'upper')},
   {_short('rate')} || ' (' || {_short('lower')} || ',' || {_short('upper')} || ')' AS rate_ci
   FROM (SELECT e.endpoint, e.follow_up, e.n_events, d.doses, round(e.n_events / (d.doses / 100000.0), 2) AS rate,
         round(CASE WHEN e.n_events = 0 THEN 0 ELSE (l.lo_a + l.lo_b) / 2 END / (d.doses / 100000.0), 2) AS lower,
@@ -750,31 +762,31 @@ oracle("r12_dose2_incidence", f"""SELECT endpoint, follow_up, n_events, doses,
         FROM d2ev e, d2den d, limits l WHERE l.x = e.n_events AND l.i = 60)""")
 oracle("r13_crude_rate", f"""SELECT endpoint, follow_up, n_events,
   CASE WHEN follow_up = 'all' THEN pdays ELSE pdays_28 END AS pdays,
-  {r4("n_events / nullif(CASE WHEN follow_up = 'all' THEN pdays ELSE pdays_28 END, 0)::DOUBLE * 10000000", 'rate')}
+  {r6("n_events / nullif(CASE WHEN follow_up = 'all' THEN pdays ELSE pdays_28 END, 0)::DOUBLE * 10000000", 'rate')}
   FROM d2ev, d2den""")
-_CRUDE = f"count(*) AS n, sum(event)::BIGINT AS events, {r4('sum(event) / count(*)::DOUBLE * 100', 'percent')}"
+_CRUDE = f"count(*) AS n, sum(event)::BIGINT AS events, {r8('sum(event) / count(*)::DOUBLE * 100', 'percent')}"
 oracle("l1_crude_table", f"""SELECT endpoint, vs_type AS level, {_CRUDE}, 'vs_type' AS var FROM xsets GROUP BY endpoint, vs_type
   UNION ALL SELECT endpoint, vacc_type, {_CRUDE}, 'vacc_type' FROM xsets GROUP BY endpoint, vacc_type""")
 _P = normal_p("b / se")
-oracle("l2_clogit", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level, {r4('b', 'coef')}, {r4('se', 'se')},
-  {r4(_P, 'p')}, n_strata, n_strata AS n_events, {r4('loglik', 'loglik')} FROM xfit""")
+oracle("l2_clogit", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level, {r6('b', 'coef')}, {r6('se', 'se')},
+  {r6(_P, 'p')}, true AS converged, n_strata, n_strata AS n_events, {r6('loglik', 'loglik')} FROM xfit""")
 _TWO = """SELECT g AS endpoint, 'raw' AS model, 'vacc_type' AS term, 'uv' AS level, 0.0 AS b, NULL::DOUBLE AS se FROM fit_newton2
   UNION ALL SELECT g, 'raw', 'vacc_type', 'AZ', b1, se1 FROM fit_newton2
   UNION ALL SELECT g, 'raw', 'vacc_type', 'PB', b2, se2 FROM fit_newton2"""
-oracle("l2_clogit_product", f"""SELECT endpoint, model, term, level, {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')}
+oracle("l2_clogit_product", f"""SELECT endpoint, model, term, level, {r6('b', 'coef')}, {r6('se', 'se')}, {r6(_P, 'p')}, true AS converged
   FROM ({_TWO})""")
 oracle("l3_clogit_exact_risk", f"""SELECT endpoint, 'risk' AS model, 'risk' AS term, '' AS level,
-  {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')} FROM (SELECT endpoint, b, sqrt(v) AS se FROM tnewton WHERE i = 20)""")
-oracle("l4_effect_table", f"""SELECT endpoint, model, term, level, {r4('exp(b)', 'est')},
-  {r4("CASE WHEN level = 'uv' THEN 1 ELSE exp(b - 1.96 * se) END", 'lcl')},
-  {r4("CASE WHEN level = 'uv' THEN 1 ELSE exp(b + 1.96 * se) END", 'ucl')}, {r4(_P, 'p')} FROM ({_TWO})""")
-oracle("l8_lr_test", f"""SELECT endpoint, {r4('loglik', 'loglik_1')}, {r4('loglik_0', 'loglik_0')},
-  {r4('2 * (loglik - loglik_0)', 'chi2')}, 1 AS df, {r4(normal_p('sqrt(greatest(2 * (loglik - loglik_0), 0))'), 'p')}
+  {r6('b', 'coef')}, {r6('se', 'se')}, {r6(_P, 'p')}, true AS converged FROM (SELECT endpoint, b, sqrt(v) AS se FROM tnewton WHERE i = 20)""")
+oracle("l4_effect_table", f"""SELECT endpoint, model, term, level, {r6('exp(b)', 'est')},
+  {r6("CASE WHEN level = 'uv' THEN 1 ELSE exp(b - 1.96 * se) END", 'lcl')},
+  {r6("CASE WHEN level = 'uv' THEN 1 ELSE exp(b + 1.96 * se) END", 'ucl')}, {r6(_P, 'p')}, true AS converged FROM ({_TWO})""")
+oracle("l8_lr_test", f"""SELECT endpoint, {r6('loglik', 'loglik_1')}, {r6('loglik_0', 'loglik_0')},
+  {r6('2 * (loglik - loglik_0)', 'chi2')}, 1 AS df, {r6(normal_p('sqrt(greatest(2 * (loglik - loglik_0), 0))'), 'p')}, true AS converged
   FROM xfit""")
-oracle("l9_effectiveness", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level,
-  {r4('exp(b)', 'or_raw')}, {r4('exp(b - 1.959963984540054 * se)', 'or_lcl_raw')}, {r4('exp(b + 1.959963984540054 * se)', 'or_ucl_raw')},
-  {r4('(1 - exp(b)) * 100', 've_raw')}, {r4('(1 - exp(b + 1.959963984540054 * se)) * 100', 've_lcl_raw')},
-  {r4('(1 - exp(b - 1.959963984540054 * se)) * 100', 've_ucl_raw')} FROM xfit""")
+oracle("l9_effectiveness", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level, true AS converged,
+  {r6('exp(b)', 'or_raw')}, {r6('exp(b - 1.959963984540054 * se)', 'or_lcl_raw')}, {r6('exp(b + 1.959963984540054 * se)', 'or_ucl_raw')},
+  {r6('(1 - exp(b)) * 100', 've_raw')}, {r6('(1 - exp(b + 1.959963984540054 * se)) * 100', 've_lcl_raw')},
+  {r6('(1 - exp(b - 1.959963984540054 * se)) * 100', 've_ucl_raw')} FROM xfit""")
 oracle("k1_sccs_windows", "SELECT * FROM wins")
 oracle("k2_sccs_windows_fixed", f"""SELECT *, {BEGIN} - 104 AS pre_start, date_vacc_1 - 14 AS pre_end,
   CASE WHEN date_vacc_1 > a_end THEN a_end ELSE date_vacc_1 END AS risk_start,
@@ -785,12 +797,14 @@ oracle("k3_split_intervals", "SELECT * FROM ivs")
 oracle("k4_sccs_rates", f"SELECT endpoint, vacc_type, expgr, {_RATES} FROM ivs GROUP BY ALL")
 _TRATES = _RATES.replace(" * n", "")
 oracle("k4_time_split_rates", f"SELECT endpoint, vt, period, expgr, {_TRATES} FROM labelled GROUP BY ALL")
-oracle("k5_sccs_fit", f"""SELECT r.*, {r4('f.est', 'est')}, {r4('f.lcl', 'lcl')}, {r4('f.ucl', 'ucl')}
-  FROM (SELECT endpoint, vacc_type, expgr, {_RATES} FROM ivs GROUP BY ALL) r
+oracle("k5_sccs_fit", f"""SELECT r.*, CASE WHEN f.g IS NOT NULL THEN true END AS converged, {r6('f.est', 'est')}, {r6('f.lcl', 'lcl')}, {r6('f.ucl', 'ucl')}
+  FROM (SELECT endpoint, vacc_type, expgr, {_RATES.replace(', 8)', ', 6)')} FROM ivs GROUP BY ALL) r
   LEFT JOIN (SELECT g, 'Pre.Vacc' AS expgr, 1.0 AS est, NULL AS lcl, NULL AS ucl FROM fit_newtonk
     UNION ALL SELECT g, 'Clearance', exp(b1), exp(b1 - 1.959963984540054 * se1), exp(b1 + 1.959963984540054 * se1) FROM fit_newtonk
     UNION ALL SELECT g, 'Risk', exp(b2), exp(b2 - 1.959963984540054 * se2), exp(b2 + 1.959963984540054 * se2) FROM fit_newtonk) f
   ON f.g = r.endpoint || '|' || r.vacc_type AND f.expgr = r.expgr""")
+oracle("k4_never_exposed_rates", f"""SELECT endpoint, period, {_TRATES} FROM labelled WHERE vacc_type = 'uv' GROUP BY ALL""")
+oracle("k4_level_rates", f"SELECT endpoint, expgr, vt_expgr, {_TRATES} FROM labelled GROUP BY ALL")
 oracle("k6_time_split", "SELECT * FROM tsplit WHERE vacc_type <> 'uv'")
 oracle("k7_event_days_in_window", """SELECT d.* FROM sdays d JOIN spans s USING (endpoint, person_id)
   WHERE s.vacc_type <> 'uv'""")
@@ -804,8 +818,8 @@ oracle("p1_date_spine", """SELECT s.date, s.period, coalesce(c.n, 0) AS n FROM s
   LEFT JOIN (SELECT start_date AS date, count(*) AS n FROM consult GROUP BY ALL) c USING (date)""")
 oracle("p2_person_days", """SELECT endpoint, person_id, period, count(*) AS n_days, sum(days)::BIGINT AS sum_days,
   sum(days2)::BIGINT AS sum_days2, sum(days3)::BIGINT AS sum_days3 FROM pdall GROUP BY ALL""")
-oracle("p3_dose_levels", "SELECT endpoint, person_id, expgr, expgr2, count(*) AS n FROM pdx GROUP BY ALL")
-oracle("p4_infection_levels", "SELECT endpoint, person_id, expgr3, count(*) AS n FROM pdx GROUP BY ALL")
+oracle("p3_dose_levels", "SELECT endpoint, person_id, expgr, expgr2, count(*) AS n FROM pdx WHERE days2 IS NOT NULL GROUP BY ALL")
+oracle("p4_infection_levels", "SELECT endpoint, person_id, expgr3, count(*) AS n FROM pdx WHERE days2 IS NOT NULL GROUP BY ALL")
 oracle("p5_until_death", "SELECT endpoint, person_id, count(*) AS n_days, max(date) AS last_day FROM panel GROUP BY ALL")
 oracle("p6_attach_event", "SELECT endpoint, date, count(*) AS n, sum(event)::BIGINT AS events FROM panel GROUP BY ALL")
 
@@ -817,24 +831,40 @@ def _merge(col: str) -> str:
 oracle("p7_merge_levels", f"""SELECT endpoint, {_merge('expgr')} AS expgr, {_merge('expgr2')} AS expgr2,
   {_merge('expgr3')} AS expgr3, event, count(*) AS n FROM (SELECT endpoint, expgr, expgr2, expgr3, event FROM panel)
   GROUP BY ALL""")
-oracle("p8_level_rates", f"""SELECT d.endpoint, d.term, d.level, coalesce(c.event, 0)::BIGINT AS event,
-  coalesce(c.personday, 0)::BIGINT AS personday, {r4('c.event / nullif(c.personday, 0)::DOUBLE * 7', 'rate_week')}
-  FROM (SELECT e.endpoint, l.term, l.level FROM (SELECT DISTINCT endpoint FROM panel) e, (
-          SELECT 'expgr' AS term, 'PB ' || lv AS level FROM (SELECT unnest(['Baseline','Dose1 clearance','Dose1 0-6',
-            'Dose1 7-13','Dose1 14-20','Dose1 21-27','Dose2 clearance','Dose2 0-6','Dose2 7-13','Dose2 14-20','Dose2 21-27']) AS lv)
-          UNION ALL SELECT 'expgr2', 'AZ ' || lv FROM (SELECT unnest(['Baseline','Dose1 clearance','Dose1 0-6',
-            'Dose1 7-13','Dose1 14-20','Dose1 21-27','Dose2 clearance','Dose2 0-6','Dose2 7-13','Dose2 14-20','Dose2 21-27']) AS lv)
-          UNION ALL SELECT 'expgr3', 'infection ' || lv FROM (SELECT unnest(['Baseline','clearance','0-6','7-13','14-20','21-27']) AS lv)
-          UNION ALL SELECT 'period', CAST(unnest(range(1, 50)) AS VARCHAR)) l) d
-  LEFT JOIN (SELECT endpoint, 'expgr' AS term, expgr AS level, sum(event) AS event, count(*) AS personday
-               FROM panel WHERE vacc_type = 'PB' GROUP BY ALL
-             UNION ALL SELECT endpoint, 'expgr2', expgr2, sum(event), count(*) FROM panel WHERE vacc_type = 'AZ' GROUP BY ALL
-             UNION ALL SELECT endpoint, 'expgr3', expgr3, sum(event), count(*) FROM panel WHERE days3 IS NOT NULL GROUP BY ALL
-             UNION ALL SELECT endpoint, 'period', CAST(period AS VARCHAR), sum(event), count(*) FROM panel GROUP BY ALL) c
-  USING (endpoint, term, level)""")
+_WEEKS = ("0-6", "7-13", "14-20", "21-27")
+
+
+def _listed(prefix: str, groups: tuple[str, ...], merged: bool) -> list[str]:
+    spans = ("0-27",) if merged else _WEEKS
+    return [f"{prefix} {g}{x}".replace("  ", " ") for g in groups for x in ("clearance", *spans)]
+
+
+def _level_rates(source: str, merged: bool = False) -> str:
+    doses = ("Dose1 ", "Dose2 ")
+    every = [("expgr", x) for x in ["PB Baseline", *_listed("PB", doses, merged)]]
+    every += [("expgr2", x) for x in ["AZ Baseline", *_listed("AZ", doses, merged)]]
+    every += [("expgr3", x) for x in ["infection Baseline", *_listed("infection", ("",), merged)]]
+    every += [("period", str(i)) for i in range(1, 50)]
+    values = ", ".join(f"('{t}', '{lv}')" for t, lv in every)
+    col = _merge if merged else str
+    return f"""SELECT d.endpoint, d.term, d.level, coalesce(c.event, 0)::BIGINT AS event,
+  coalesce(c.personday, 0)::BIGINT AS personday, {r8('c.event / nullif(c.personday, 0)::DOUBLE * 7', 'rate_week')}
+  FROM (SELECT e.endpoint, l.term, l.level FROM (SELECT DISTINCT endpoint FROM {source}) e,
+          (VALUES {values}) l(term, level)) d
+  LEFT JOIN (SELECT endpoint, 'expgr' AS term, {col('expgr')} AS level, sum(event) AS event, count(*) AS personday
+               FROM {source} WHERE vacc_type = 'PB' GROUP BY ALL
+             UNION ALL SELECT endpoint, 'expgr2', {col('expgr2')}, sum(event), count(*) FROM {source} WHERE vacc_type = 'AZ' GROUP BY ALL
+             UNION ALL SELECT endpoint, 'expgr3', {col('expgr3')}, sum(event), count(*) FROM {source} WHERE days3 IS NOT NULL GROUP BY ALL
+             UNION ALL SELECT endpoint, 'period', CAST(period AS VARCHAR), sum(event), count(*) FROM {source} GROUP BY ALL) c
+  USING (endpoint, term, level)"""
+
+
+oracle("p8_level_rates", _level_rates("panel"))
+oracle("p8_baseline_rates", _level_rates("exposed_days"))
+oracle("p8_merged_rates", _level_rates("exposed_days", merged=True))
 oracle("p12_event_days", """SELECT endpoint, person_id, date, period,
   CASE WHEN expgr2 <> 'AZ Baseline' THEN expgr2 WHEN expgr = 'PB Baseline' THEN 'Baseline' ELSE expgr END AS expgr_combined,
-  expgr3 FROM panel WHERE event = 1""")
+  expgr3 FROM exposed_days WHERE event = 1""")
 oracle("f1_event_exposure", "SELECT * FROM fexp")
 oracle("f2_attach_death", "SELECT a.*, d.death_date FROM afirst a LEFT JOIN deaths d USING (person_id)")
 oracle("f3_attach_admissions", "SELECT * FROM fadm")
@@ -871,14 +901,21 @@ oracle("o1_cooccurrence_status", """SELECT f.vacc_status, CASE WHEN f.vacc_statu
           LEFT JOIN (SELECT person_id, min(start_date) AS other_date FROM ev WHERE endpoint = 'any_b' GROUP BY person_id) o
             ON o.person_id = p.person_id
           WHERE p.endpoint = 'any_a')) f GROUP BY ALL""")
-oracle("p9_pd_model_binary", f"""SELECT endpoint, 'at_risk' AS model, 'at_risk' AS term, '' AS level,
-  {r4('b', 'coef')}, {r4('se', 'se')}, {r4(_P, 'p')} FROM dfit""")
+oracle("p9_pd_model_binary", f"""SELECT d.endpoint, 'at_risk' AS model, 'at_risk' AS term, '' AS level,
+  d.event, d.personday, {r6('d.event / nullif(d.personday, 0)::DOUBLE * 7', 'rate_week')},
+  {r6('b', 'coef')}, {r6('se', 'se')}, {r6(_P, 'p')}, true AS converged
+  FROM (SELECT endpoint, sum(CASE WHEN lev NOT IN ('Baseline', 'Dose1 clearance', 'Dose2 clearance') THEN event ELSE 0 END)::BIGINT AS event,
+               sum(CAST(lev NOT IN ('Baseline', 'Dose1 clearance', 'Dose2 clearance') AS BIGINT))::BIGINT AS personday
+        FROM panel GROUP BY endpoint) d JOIN dfit USING (endpoint)""")
 oracle("q1_crosstab", """SELECT endpoint, vacc_type, days_adm, count(*) AS n, 'kept' AS nulls FROM fsum GROUP BY ALL
   UNION ALL SELECT endpoint, vacc_type, days_adm, count(*), 'dropped' FROM fsum WHERE days_adm IS NOT NULL GROUP BY ALL""")
 oracle("q2_freq_of_freq", """SELECT endpoint, times, count(*) AS n
   FROM (SELECT endpoint, person_id, count(*) AS times FROM adult GROUP BY ALL) GROUP BY ALL""")
 oracle("q3_count_by", """SELECT endpoint, vacc_type, start_date - date_vacc_1 AS days, sum(n)::BIGINT AS n
   FROM wins GROUP BY ALL""")
+oracle("q3_count_by_day", "SELECT endpoint, start_date, sum(n)::BIGINT AS n FROM wins GROUP BY ALL")
+oracle("q3_count_by_age", "SELECT endpoint, age, sum(n)::BIGINT AS n FROM wins GROUP BY ALL")
+oracle("q3_count_by_dose_date", "SELECT endpoint, vacc_type, date_vacc_1, sum(n)::BIGINT AS n FROM wins GROUP BY ALL")
 oracle("q4_daily_series", """SELECT s.endpoint, s.start_date, coalesce(c.n, 0) AS n, s.start_date - DATE '1997-09-01' AS days,
   monthname(s.start_date) AS month
   FROM (SELECT endpoint, CAST(unnest(generate_series(DATE '1997-09-01', a_end, INTERVAL 1 DAY)) AS DATE) AS start_date
@@ -886,6 +923,6 @@ oracle("q4_daily_series", """SELECT s.endpoint, s.start_date, coalesce(c.n, 0) A
               WHERE start_date >= DATE '1997-09-01' AND start_date <= latest - 7 AND age >= 16 GROUP BY endpoint)) s
   LEFT JOIN (SELECT endpoint, start_date, count(*) AS n FROM ev, latest
              WHERE start_date <= latest - 7 AND age >= 16 GROUP BY ALL) c USING (endpoint, start_date)""")
-oracle("b2_report_counts", f"""SELECT endpoint, 'There are ' || total_events || ' events in the study period with '
-  || total_unique_events || ' incident events. ' || no_link_to_cohort || ' people could not be linked to the cohort. '
-  || no_match || ' cases could not be matched.' AS text FROM ({_ATTRITION})""")
+oracle("b2_report_counts", f"""SELECT endpoint, total_events || ' study events of ' || total_unique_events
+  || ' incident people; ' || no_link_to_cohort || ' of them are not in the cohort, and '
+  || no_match || ' cases have no control.' AS text FROM ({_ATTRITION})""")

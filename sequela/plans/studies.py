@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,7 +29,11 @@ COVARIATES = ("age_year", "n_risk_gps", "n_tests_gp", "simd", "bmi", "diag_chd",
 
 @dataclass(frozen=True)
 class Study:
-    """Lazy tables of one study over one set of registers."""
+    """Tables of one study over one set of registers, built when they are first asked for.
+
+    Tables that several flows read are staged: asking for them, or for what is built on
+    them, runs Spark jobs.
+    """
 
     reg: Registers
     p: StudyParams = STUDY
@@ -41,7 +46,7 @@ class Study:
 
     @cached_property
     def records(self) -> DataFrame:
-        raw = self.reg.vaccination_records()
+        raw = exposure.recorded_since(self.reg.vaccination_records(), self.p.begin)
         return exposure.normalise_dose(exposure.classify_product(raw, PRODUCT_RULES))
 
     @cached_property
@@ -81,6 +86,11 @@ class Study:
     def prior(self) -> DataFrame:
         return outcome.prior_events(self.events, self.p.begin, self.p.lookback_days)
 
+    @cached_property
+    def recent_prior(self) -> DataFrame:
+        """Prior events of the dose-2 study, which looks back a fixed time."""
+        return outcome.prior_events(self.events, self.p.begin, self.p.dose2_lookback_days)
+
     @cached_property
     def incident(self) -> DataFrame:
         """Study events of adults without a prior event; later events included."""
@@ -139,10 +149,26 @@ class Study:
 
     # matched case-control
 
+    def cohort_at(self, day: date) -> DataFrame:
+        """Cohort with matching ages, without people who died before ``day``."""
+        deaths = outcome.one_death(self.reg.deaths())
+        return matching.alive_at(matching.matching_age(self.reg.cohort()), deaths, day)
+
     @cached_property
     def alive(self) -> DataFrame:
-        deaths = outcome.one_death(self.reg.deaths())
-        return matching.alive_at(self.reg.match_cohort(), deaths, self.p.begin)
+        return self.cohort_at(self.p.begin)
+
+    @cached_property
+    def late_cohort(self) -> DataFrame:
+        """The cohort as a linkage 90 days into the study finds it."""
+        return self.cohort_at(self.p.shift(90))
+
+    @cached_property
+    def lost(self) -> DataFrame:
+        """Events, people, people without a cohort row and cases without a control."""
+        adults = outcome.min_age(self.in_window, self.p.min_age)
+        unmatched = matching.unmatched(self.cases, self.matched)
+        return outcome.attrition(adults, self.prior, self.late_cohort, unmatched)
 
     @cached_property
     def cases(self) -> DataFrame:
@@ -259,7 +285,7 @@ class Study:
         dated = self.events.filter(
             (start >= F.lit(self.p.begin)) & (start <= F.lit(self.p.end))
         )
-        return outcome.washout(outcome.first_event(dated), self.prior)
+        return outcome.washout(outcome.first_event(dated), self.recent_prior)
 
     @cached_property
     def analysis(self) -> DataFrame:
@@ -281,12 +307,18 @@ class Study:
     def staged_analysis(self) -> DataFrame:
         return stage(self.analysis)
 
+    def panel_of(self, people: DataFrame) -> DataFrame:
+        return persondays.full_panel(people, self.p.begin, self.p.end, self.p.period_days)
+
     @cached_property
     def panel(self) -> DataFrame:
         """Days of the two-dose people; unfolded anew by each reader, from staged people."""
-        return persondays.full_panel(
-            exposure.require_dose2(self.staged_analysis), self.p.begin, self.p.end, self.p.period_days
-        )
+        return self.panel_of(exposure.require_dose2(self.staged_analysis))
+
+    @cached_property
+    def exposed_panel(self) -> DataFrame:
+        """Days of all exposed people, those with one dose included."""
+        return self.panel_of(self.staged_analysis)
 
     @property
     def n_periods(self) -> int:

@@ -20,7 +20,7 @@ STUDY = StudyParams(
         "any_b": ("MEDIUM", "LARGE"),
     },
     endpoint_names=("any_a", "any_b", "ECONOMY", "STANDARD"),
-    lookback_days=180,
+    dose2_lookback_days=180,
 )
 
 PRODUCT_RULES = (("contains", "PB", "PB"), ("equals", "AZ", "AZ"))
@@ -61,12 +61,6 @@ class Registers:
         nation = self._load("nation", {"nation": "n_nationkey", "zone": "n_regionkey"}, "nation")
         return people.join(nation, "nation").drop("nation")
 
-    def match_cohort(self) -> DataFrame:
-        """Cohort with the matching age: ten-year bands, 80 and over as one."""
-        return self.cohort().withColumn(
-            "match_age", F.least(F.expr("age_year div 10"), F.lit(8)).cast("int")
-        )
-
     def vaccination_records(self) -> DataFrame:
         return self._load(
             "orders",
@@ -82,7 +76,7 @@ class Registers:
                 "stage": "case o_orderstatus when 'O' then 0 when 'F' then 1 when 'P' then 2 end",
             },
             "person_id",
-        ).filter(F.col("occurrence_time") >= F.lit(STUDY.begin).cast("timestamp_ntz"))
+        )
 
     def consultations(self) -> DataFrame:
         lines = self._load(

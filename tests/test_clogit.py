@@ -201,3 +201,39 @@ def test_groups_share_one_job_but_not_their_estimates(spark):
     alone = coef_table(spark, _fit(df.filter("g = 'a'"), [X]), ["g"]).collect()
     assert {r.g for r in both} == {"a", "b"}
     assert [r.coef for r in both if r.g == "a"] == pytest.approx([r.coef for r in alone], abs=1e-10)
+
+
+def test_the_unit_of_a_covariate_does_not_matter(spark):
+    rows = []
+    for i in range(60):
+        case, control = (1, 0) if i < 30 else (0, 1) if i < 42 else (1, 1)
+        rows += [("a", i, 1, case), ("a", i, 0, control)]
+    df = spark.createDataFrame(rows, "g string, s int, event int, x int")
+    one = _fit(df, [X])[0]
+    for unit in (1e-3, 1e-8, 1e6):
+        f = _fit(df.withColumn("x", F.col("x") * F.lit(unit)), [X])[0]
+        assert f.converged and f.coef[0] * unit == pytest.approx(one.coef[0], rel=1e-8)
+        assert f.se[0] * unit == pytest.approx(one.se[0], rel=1e-8)
+
+
+def test_an_undeclared_level_is_an_error(spark):
+    rows = [("a", s, e, "p" if (s + e) % 2 else "q") for s in range(10) for e in (0, 1)] + [("a", 3, 0, "new"), ("a", 3, 0, None)]
+    df = spark.createDataFrame(rows, "g string, s int, event int, c string")
+    with pytest.raises(Exception, match="undeclared level of c: new"):
+        _fit(df, [Term("c", ("p", "q"))])
+    assert _fit(df.filter("c is null or c <> 'new'"), [Term("c", ("p", "q"))])[0].n_strata == 10
+
+
+def test_a_fit_that_stops_early_is_marked_and_has_no_estimates(spark):
+    rows = _strata(random.Random(5), 60, False)
+    df = spark.createDataFrame(rows, "g string, s int, event int, x double, c string, o double")
+    early = fit(strata_table(df, ["g"], ["s"], [X]), [X], {"m": ["x"]}, max_iter=1)
+    assert [f.converged for f in early] == [False, False]
+    rows = coef_table(spark, early, ["g"]).collect()
+    assert [(r.coef, r.se, r.p, r.converged) for r in rows] == [(None, None, None, False)] * 2
+
+
+def test_group_names_may_hold_any_character(spark):
+    rows = [(g, s, e, (s + e) % 2) for g in ("a|b", None, '"') for s in range(8) for e in (0, 1)]
+    fits = _fit(spark.createDataFrame(rows, "g string, s int, event int, x int"), [X])
+    assert {f.group for f in fits} == {("a|b",), (None,), ('"',)}

@@ -74,8 +74,11 @@ def test_attrition(spark, collect):
                      ("a", 2, D(2021, 1, 1), "x", 40)])
     cohort = spark.createDataFrame([(1,)], "person_id long")
     lost = spark.createDataFrame([("a", 1)], "endpoint string, case_id long")
-    assert collect(outcome.attrition(ev, cohort, lost)) == [("a", 3, 2, 1, 1)]
-    none = outcome.attrition(ev, cohort, lost.filter(F.lit(False)))
+    prior = ev.limit(0)
+    assert collect(outcome.attrition(ev, prior, cohort, lost)) == [("a", 3, 2, 1, 1)]
+    washed = outcome.attrition(ev, ev.filter("person_id = 1"), cohort, lost)
+    assert collect(washed, "total_unique_events") == [(1,)]
+    none = outcome.attrition(ev, prior, cohort, lost.filter(F.lit(False)))
     assert collect(none, "no_match") == [(0,)]
 
 

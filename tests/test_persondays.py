@@ -1,5 +1,6 @@
 from datetime import date, timedelta
 
+from sequela.models import selfcontrolled
 from sequela.operators import persondays
 
 D, T = date, timedelta
@@ -78,3 +79,16 @@ def test_rate_ratio_text(spark):
     assert got["ref"].rr_ci == "1 (, )"
     assert got["x"].rr_ci == "2 (0.75, 5.33)"
     assert got["none"].rate_ratio is None
+
+
+def test_levels_of_one_exposure_add_up_to_the_periods(spark):
+    people = [
+        ("a", 1, "PB", V1, V2, None, None, V1 + T(3)), ("a", 2, "AZ", V1, V2, None, None, V1 + T(9)),
+        ("a", 3, "PB", V1, V2, V1, D(2021, 6, 1), V2), ("a", 4, "PB", V1, None, None, None, V1 + T(1)),
+    ]
+    panel = _panel(spark, people)
+    terms = [selfcontrolled.panel_terms(49)[n] for n in ("expgr", "period")]
+    rows = selfcontrolled.pd_model(panel, terms, 49, everyone=True).collect()
+    totals = {t: (sum(r.event for r in rows if r.term == t), sum(r.personday for r in rows if r.term == t)) for t in ("expgr", "period")}
+    assert totals["expgr"] == totals["period"] == (panel.filter("event = 1").count(), panel.count())
+    assert 4 in {r.person_id for r in persondays.event_days(panel).collect()}
