@@ -25,6 +25,11 @@ HEADLINE = (
     "p8_level_rates",
     "p10_pd_model_joint",
     "f6_hospital_summary",
+    "l6_screen_covariates",
+    "l7_extra_models",
+    "l10_its_poisson",
+    "k11_sccs_models",
+    "p11_rr_table",
 )
 
 
