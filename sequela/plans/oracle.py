@@ -57,7 +57,7 @@ CTES: dict[str, str] = {
     "cohort": """
         SELECT c_custkey AS person_id,
                CASE WHEN (c_custkey // 2) % 2 = 0 THEN 'F' ELSE 'M' END AS sex,
-               CAST(14 + (c_custkey * 7) % 86 AS BIGINT) AS age_year,
+               CAST(14 + 5 * ((c_custkey * 7) % 19) AS BIGINT) AS age_year,
                n_regionkey AS zone, c_mktsegment AS simd,
                CAST(c_custkey % 5 AS BIGINT) AS n_risk_gps,
                CAST(c_custkey % 3 AS BIGINT) AS n_tests_gp,
@@ -65,10 +65,10 @@ CTES: dict[str, str] = {
                CAST(15 + c_custkey % 38 AS DOUBLE) AS bmi,
                CAST(c_custkey % 11 = 0 AS BIGINT) AS diag_chd,
                CAST(c_custkey % 13 = 0 AS BIGINT) AS diag_stroke,
-               CAST(CASE WHEN (15 + (c_custkey * 7) % 86) >= 100 THEN 100 WHEN (15 + (c_custkey * 7) % 86) >= 95 THEN 97
-                    WHEN (15 + (c_custkey * 7) % 86) >= 90 THEN 92
-                    WHEN (15 + (c_custkey * 7) % 86) >= 80 THEN (15 + (c_custkey * 7) % 86) // 2 * 2
-                    ELSE 15 + (c_custkey * 7) % 86 END AS BIGINT) AS match_age
+               CAST(CASE WHEN (15 + 5 * ((c_custkey * 7) % 19)) >= 100 THEN 100 WHEN (15 + 5 * ((c_custkey * 7) % 19)) >= 95 THEN 97
+                    WHEN (15 + 5 * ((c_custkey * 7) % 19)) >= 90 THEN 92
+                    WHEN (15 + 5 * ((c_custkey * 7) % 19)) >= 80 THEN (15 + 5 * ((c_custkey * 7) % 19)) // 2 * 2
+                    ELSE 15 + 5 * ((c_custkey * 7) % 19) END AS BIGINT) AS match_age
         FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "deaths": """
         SELECT c_custkey AS person_id,
@@ -106,7 +106,7 @@ CTES: dict[str, str] = {
     "vacc": "SELECT * FROM vsame WHERE date_vacc_2 IS NULL OR date_vacc_2 > date_vacc_1 + 18",
     "reg": """
         SELECT o_custkey AS person_id, CAST(l_shipdate AS DATE) AS start_date, p_type AS code,
-               CAST(14 + (o_custkey * 7) % 86 AS BIGINT) AS age,
+               CAST(14 + 5 * ((o_custkey * 7) % 19) AS BIGINT) AS age,
                CASE WHEN (o_custkey // 2) % 2 = 0 THEN 'F' ELSE 'M' END AS sex
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
         WHERE l_returnflag = 'R'""",

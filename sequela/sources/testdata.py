@@ -26,7 +26,8 @@ STUDY = StudyParams(
 PRODUCT_RULES = (("contains", "PB", "PB"), ("equals", "AZ", "AZ"))
 PRODUCTS = ("AZ", "PB")
 
-_AGE = "cast(14 + ({id} * 7) % 86 as int)"
+# odd steps, so that age says nothing about the product, which goes by the parity of the id
+_AGE = "cast(14 + 5 * (({id} * 7) % 19) as int)"
 _SEX = "case when ({id} div 2) % 2 = 0 then 'F' else 'M' end"
 
 
