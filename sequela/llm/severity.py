@@ -17,15 +17,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sequela.llm.text import map_columns
+from sequela.llm.text import map_columns, most_frequent
 from sequela.sources.stages import stage
 
 SAMPLE = 8_000  # labelled documents of either class to learn from, about
 MAX_FEATURES = 4096
-MIN_TOXIC_DOCS = 8
+MIN_TOXIC_DOCS = 4
 MIN_ODDS = 20.0  # a feature's rate in toxic documents over its rate in others
 PREFIXES = (4, 5)  # lengths of word beginnings that are features of longer words
-STEPS, RIDGE = 400, 1e-3
+STEPS, RIDGE = 400, 1e-5
 TOKEN = re.compile(r"\w+")
 
 SCORED = "severity double, grade int, toxic boolean"
@@ -75,9 +75,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.groupBy("toxic").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 30)) / float(1 << 30)
-    picked = known.join(F.broadcast(counts), "toxic").filter(place * F.col("n") < size)
+    picked = known.join(F.broadcast(counts), "toxic").filter(place * F.col("n") < size)  # a row per class
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
-    return texts.join(picked.select("doc_id", "toxic"), "doc_id").select("toxic", "text")
+    # about ``size`` ids of either class, whatever the table's size, so the texts stay where they are
+    return texts.join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id").select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Ordinal:
@@ -107,10 +108,9 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Ordinal:
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter((F.col("toxic") >= MIN_TOXIC_DOCS) & (odds >= MIN_ODDS))
-        .orderBy(F.desc("toxic"), F.asc("clean"), F.asc("feature"))
-        .limit(MAX_FEATURES)
     )
-    names = [r["feature"] for r in chosen.collect()]
+    top, _ = most_frequent(stage(chosen, "features"), "toxic", MAX_FEATURES)
+    names = sorted(r["feature"] for r in top.select("feature").collect())
     known = {f: float(i) for i, f in enumerate(names)}
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

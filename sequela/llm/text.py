@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql.types import StructType
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+LARGEST = (1 << 63) - 1
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -98,3 +101,46 @@ def map_columns(
             yield pa.RecordBatch.from_arrays([*columns[:n_keep], *arrays], names=names)
 
     return picked.mapInArrow(run, schema).toDF(*keep, *added.names)
+
+
+def text_slices(texts: pa.StringArray, size: int = 1 << 24) -> Iterator[pa.StringArray]:
+    """The texts, nulls as empty ones, in slices of about ``size`` bytes."""
+    texts = pc.fill_null(texts, "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield texts[first:last]
+        first = last
+
+
+def coded_words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words with A-Z lower-cased, all words as numbers of these, and the texts' cuts.
+
+    Text i has the words ``codes[cuts[i]:cuts[i + 1]]``.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    listed = coded.dictionary.cast(pa.binary()).to_pylist()
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    # a text's first and last pieces are empty where it begins or ends in white space
+    word = np.array([len(x) > 0 for x in listed], bool)[code] if len(code) else np.zeros(0, bool)
+    offsets = lists.offsets.to_numpy()
+    before = np.concatenate([[0], np.cumsum(word)])
+    return listed, code[word], before[offsets - offsets[0]]
+
+
+def most_frequent(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, int]:
+    """Rows of the largest counts, ``limit`` at most, and the smallest count among them.
+
+    Counts are binned by their logarithm, so that the driver gets a number per bin, not each
+    task's candidates; of a bin that does not fit whole nothing is taken.
+    """
+    top = counts.groupBy(F.floor(F.log2(n) * 64).alias("bin")).agg(F.count("*").alias("k"), F.min(n).alias("least"))
+    rest, least = limit, LARGEST
+    for row in sorted(top.collect(), key=lambda r: -r["bin"]):
+        if row["k"] > rest:
+            break
+        rest, least = rest - row["k"], row["least"]
+    return counts.filter(F.col(n) >= least), least
