@@ -256,18 +256,20 @@ def labelled(html: str, main: str) -> tuple[list[list[str]], list[int]]:
     return [block_features(b) for b in found], marks
 
 
-def fit(pages: DataFrame, truth: DataFrame, sample: int = SAMPLE) -> Field:
-    """Train on about ``sample`` pages with known main text, and on the pages written here.
+def sampled(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """About ``sample`` of the pages with an id and html, by hash of the id."""
+    known = pages.filter("page_id is not null and html is not null")
+    place = F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
+    return known.filter(place < sample / max(1, known.count()))
+
 
-    ``truth``: page_id, main. The pages are chosen by hash of the id.
+def fit(pages: DataFrame, truth: DataFrame) -> Field:
+    """Train on ``pages`` (page_id, html), a bounded sample, and on the pages written here.
+
+    ``truth``: page_id, main; the main text of some of the pages.
     """
-    both = pages.filter("page_id is not null and html is not null").select("page_id", "html").join(
-        truth.filter("main is not null").select("page_id", "main"), "page_id"
-    )
-    n = max(1, both.count())
-    place = F.pmod(F.xxhash64("page_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
-    # the second bound only guards the driver against an uneven hash
-    rows = both.filter(place < sample / n).orderBy("page_id").limit(2 * sample).collect()
+    known = truth.filter("page_id is not null and main is not null").select("page_id", "main")
+    rows = pages.select("page_id", "html").join(known, "page_id").orderBy("page_id").limit(2 * SAMPLE).collect()
     examples = [labelled(r["html"], r["main"]) for r in rows]
     # a page of which no block was recognised says nothing
     examples = [x for x in examples if MAIN in x[1]]
