@@ -150,6 +150,7 @@ def lr_table(
     for group in sorted({f.group for f in fits}):
         big, small = found[group, larger], found[group, smaller]
         chi2, df, p = lr_test(big, small)
+        p = p if df > 0 else None
         done = big.converged and small.converged
         rows.append((*group, big.loglik, small.loglik, *((chi2, df, p) if done else (None,) * 3), done))
     schema = ", ".join(f"{b} string" for b in by)

@@ -473,14 +473,25 @@ CTES: dict[str, str] = {
                  / sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u)))
         FROM xnewton t JOIN xsum s USING (endpoint) WHERE t.i < 15
         GROUP BY t.endpoint, t.i, t.b""",
+    # where all events of the varied strata lie on one side there is no finite estimate, and the
+    # log likelihood is its limit
+    "xside": """
+        SELECT endpoint, sum(CASE WHEN m > 0 AND u > 0 THEN xe ELSE 0 END) AS ups,
+               sum(CASE WHEN m > 0 AND u > 0 THEN 1 ELSE 0 END) AS n_varied
+        FROM xsum GROUP BY endpoint""",
     "xfit": """
-        SELECT t.endpoint, t.b,
-               1 / sqrt(sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u)))) AS se,
-               count(*) AS n_strata,
-               sum(s.xe * t.b - ln(s.m * exp(t.b) + s.u)) AS loglik,
-               sum(CASE WHEN s.m > 0 AND s.u > 0 THEN 1 ELSE 0 END) AS n_varied,
-               sum(-ln(s.m + s.u)) AS loglik_0
-        FROM xnewton t JOIN xsum s USING (endpoint) WHERE t.i = 15 GROUP BY t.endpoint, t.b""",
+        SELECT endpoint, CASE WHEN ups > 0 AND ups < n_varied THEN b END AS b,
+               CASE WHEN ups > 0 AND ups < n_varied THEN 1 / sqrt(h) END AS se,
+               n_strata, CASE WHEN ups > 0 AND ups < n_varied THEN ll WHEN ups = 0 THEN ll_down ELSE ll_up END AS loglik,
+               loglik_0, CAST(ups > 0 AND ups < n_varied AS BIGINT) AS df
+        FROM (SELECT t.endpoint, t.b,
+                     sum(s.m * s.u * exp(t.b) / ((s.m * exp(t.b) + s.u) * (s.m * exp(t.b) + s.u))) AS h,
+                     count(*) AS n_strata, sum(s.xe * t.b - ln(s.m * exp(t.b) + s.u)) AS ll,
+                     sum(-ln(CASE WHEN s.m > 0 AND s.u > 0 THEN s.u ELSE s.m + s.u END)) AS ll_down,
+                     sum(-ln(CASE WHEN s.m > 0 AND s.u > 0 THEN s.m ELSE s.m + s.u END)) AS ll_up,
+                     sum(-ln(s.m + s.u)) AS loglik_0
+              FROM xnewton t JOIN xsum s USING (endpoint) WHERE t.i = 15 GROUP BY t.endpoint, t.b)
+        JOIN xside USING (endpoint)""",
     # the same for person-days: any risk day of either dose
     "dsum": """
         SELECT endpoint, person_id, sum(r)::DOUBLE AS m, sum(1 - r)::DOUBLE AS u, sum(r * event)::DOUBLE AS xe
@@ -781,7 +792,8 @@ oracle("l4_effect_table", f"""SELECT endpoint, model, term, level, {r6('exp(b)',
   {r6("CASE WHEN level = 'uv' THEN 1 ELSE exp(b - 1.96 * se) END", 'lcl')},
   {r6("CASE WHEN level = 'uv' THEN 1 ELSE exp(b + 1.96 * se) END", 'ucl')}, {r6(_P, 'p')}, true AS converged FROM ({_TWO})""")
 oracle("l8_lr_test", f"""SELECT endpoint, {r6('loglik', 'loglik_1')}, {r6('loglik_0', 'loglik_0')},
-  {r6('2 * (loglik - loglik_0)', 'chi2')}, 1 AS df, {r6(normal_p('sqrt(greatest(2 * (loglik - loglik_0), 0))'), 'p')}, true AS converged
+  {r6('2 * (loglik - loglik_0)', 'chi2')}, df,
+  {r6(f"CASE WHEN df > 0 THEN {normal_p('sqrt(greatest(2 * (loglik - loglik_0), 0))')} END", 'p')}, true AS converged
   FROM xfit""")
 oracle("l9_effectiveness", f"""SELECT endpoint, 'raw' AS model, 'exposed' AS term, '' AS level, true AS converged,
   {r6('exp(b)', 'or_raw')}, {r6('exp(b - 1.959963984540054 * se)', 'or_lcl_raw')}, {r6('exp(b + 1.959963984540054 * se)', 'or_ucl_raw')},
