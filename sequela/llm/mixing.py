@@ -28,6 +28,7 @@ SLOTS = 1024  # slots of an output shard
 SEED = 20
 ROUNDS = 16  # of the permutation
 MAX_SOURCES = 10_000
+TASK_SLOTS = 100_000  # slots that a task places
 BUCKETS = 1 << 20  # of a source, in which its documents are laid one after the other
 
 
@@ -225,6 +226,8 @@ def _slots(spark, plan: list[dict], slots: int, seed: int) -> DataFrame:
     before = running_totals(drawn, ["source_id"], "shard", "n")
     numbered = (
         drawn.join(before, ["source_id", "shard"])
+        # few rows, each of many slots: spread by the slots that they unfold to
+        .repartition(math.ceil(total / TASK_SLOTS), "shard", "source_id")
         .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         .select("shard", "source_id", (F.col("before") + F.col("k")).alias("j"))
     )
