@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sequela.llm.text import WORD, running_totals
+from sequela.llm.text import WORD
 from sequela.sources.stages import stage
 
 MIN_WORDS = 10  # in a run of lines that is a repeat
@@ -48,30 +48,35 @@ def _ranked(pairs: DataFrame, cols: list[str]) -> DataFrame:
     return stage(spread.withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
-def suffix_array(lines: DataFrame) -> DataFrame:
-    """Suffixes that start at repeated lines: row, pos, length, rank.
+def suffix_array(lines: DataFrame, depth: int = LAST) -> DataFrame:
+    """Suffixes that start at repeated lines: row, place, pos, length, rank.
 
-    ``length`` counts lines up to the break. Equal suffixes have equal ranks.
+    ``length`` counts lines up to the break. Suffixes that agree in their first ``depth`` lines, or
+    in all, have equal ranks; those that differ there are in order.
     """
-    flat = lines.select("row", F.posexplode("lines").alias("pos", "line")).select("row", "pos", F.col("line.id").alias("id"))
+    place = F.coalesce("doc_id", F.lit(LAST)).alias("place")  # documents without an id come last
+    flat = lines.select("row", place, F.posexplode("lines").alias("pos", "line")).select(
+        "row", "place", "pos", F.col("line.id").alias("id")
+    )
     twice = flat.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     names = _ranked(twice.select("id"), ["id"])
     in_doc = W.partitionBy("row").orderBy("pos")  # a document's lines
     run = F.col("pos") - F.row_number().over(in_doc)
     to_break = F.max("pos").over(W.partitionBy("row", "run")) - F.col("pos") + 1
-    now = flat.join(names, "id").withColumn("run", run).select("row", "pos", to_break.alias("length"), "rank")
+    now = flat.join(names, "id").withColumn("run", run).select("row", "place", "pos", to_break.alias("length"), "rank")
     now = stage(now, "suffixes")
     classes, step = names.count(), 1
-    while True:
+    while step < depth:
         # within a run the suffix ``step`` lines on is the step-th next; past the break is -1
         ahead = F.when(F.col("length") > step, F.lead("rank", step).over(in_doc)).otherwise(F.lit(-1))
         pairs = stage(now.withColumn("second", ahead).withColumnRenamed("rank", "first"), "pairs")
         names = _ranked(pairs.select("first", "second"), ["first", "second"])
-        now = stage(pairs.join(names, ["first", "second"]).select("row", "pos", "length", "rank"), "suffixes")
+        now = stage(pairs.join(names, ["first", "second"]).select("row", "place", "pos", "length", "rank"), "suffixes")
         found = names.count()
         if found == classes:
-            return now
+            break
         classes, step = found, 2 * step
+    return now
 
 
 def neighbours(suffixes: DataFrame, lines: DataFrame) -> DataFrame:
@@ -117,7 +122,9 @@ def intervals(order: DataFrame) -> DataFrame:
     """Intervals of neighbours that share ``need`` lines: rank, need, interval."""
     cut = F.when(F.col("shared") >= F.col("need"), 0).otherwise(1)
     order = stage(order.withColumn("cut", cut), "order")
-    before = running_totals(order, [], "part", "cut")
+    # a row per part of the array
+    parts = order.groupBy("part").agg(F.sum("cut").alias("cuts"))
+    before = parts.select("part", (F.sum("cuts").over(W.orderBy("part")) - F.col("cuts")).alias("before"))
     inside = W.partitionBy("part").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     return (
         order.withColumn("inside", F.sum("cut").over(inside))
@@ -139,10 +146,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _removed(lines: DataFrame) -> DataFrame:
-    suffixes = suffix_array(lines)
-    copies = suffixes.join(intervals(neighbours(suffixes, lines)), "rank").join(
-        lines.select("row", F.coalesce("doc_id", F.lit(LAST)).alias("place")), "row"
-    )
+    # no more lines are compared below, so the array need not tell longer runs apart
+    suffixes = suffix_array(lines, MIN_WORDS)
+    copies = suffixes.join(intervals(neighbours(suffixes, lines)), "rank")
     copies = stage(copies.select("interval", "need", F.struct("place", "row", "pos").alias("at")), "copies")
     first = copies.groupBy("interval").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = copies.join(first, "interval").filter("at > first")
