@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sequela.llm.text import coded_words, most_frequent, text_slices
 from sequela.sources.stages import stage
 
 END = b" "  # no word holds a space
@@ -61,24 +62,30 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[str, Counter] = {}
-            for text, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counter = found.setdefault(group, Counter())
-                counter.update(_words(text))
-                counter[END] += 1
-            for group, counter in found.items():
+            groups = batch.column(1).dictionary_encode()
+            named, group = groups.dictionary, groups.indices.to_numpy(zero_copy_only=False)
+            first = 0
+            for part in text_slices(batch.column(0), 1 << 26):
+                own = group[first : first + len(part)]
+                first += len(part)
+                listed, code, cuts = with_ends(*coded_words(part))
+                both = np.repeat(own, np.diff(cuts)).astype(np.int64) * len(listed) + code
+                pair, n = np.unique(both, return_counts=True)
+                tokens = pa.array(listed, pa.binary()).take(pa.array(pair % len(listed)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(counter), pa.binary()), pa.array([group] * len(counter)), pa.array(list(counter.values()), pa.int64())],
-                    names=["token", "group", "n"],
+                    [tokens, named.take(pa.array(pair // len(listed))), pa.array(n)], names=["token", "group", "n"]
                 )
 
     raw = docs.select("text", "group").mapInArrow(run, "token binary, group string, n long")
     return raw.groupBy("token", "group").agg(F.sum("n").alias("n"))
 
 
-def _words(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased; ``bytes.lower`` leaves all else as it is."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+def with_ends(listed: list[bytes], code: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The same with the end token after each text."""
+    n = len(cuts) - 1
+    out = np.full(len(code) + n, len(listed), np.int64)
+    out[np.arange(len(code)) + np.repeat(np.arange(n), np.diff(cuts))] = code
+    return [*listed, END], out, cuts + np.arange(n + 1)
 
 
 # --- vocabulary ---------------------------------------------------------------------------
@@ -96,6 +103,7 @@ class Vocabulary:
     unit_class: np.ndarray  # by unit
     start: np.ndarray  # initial log weight of each unit
     n_words: int  # units that are words
+    least: int  # smallest count in the dictionary; words outside have a smaller one
     tokens: int = 0
     distinct: int = 0
     tail_log: np.ndarray | None = None  # log10(tokens + words + 1) of each tail class, by unit
@@ -113,7 +121,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     place = {g: i for i, g in enumerate(groups)}
     main = F.max(F.struct("n", "group"))
     by_word = counts.groupBy("token").agg(F.sum("n").alias("n"), main["group"].alias("group"))
-    top = by_word.orderBy(F.desc("n"), "token").limit(DICTIONARY).toPandas()
+    rows, least = most_frequent(stage(by_word, "words"), "n", DICTIONARY)
+    top = rows.toPandas().sort_values(["n", "token"], ascending=[False, True])
     ending = F.expr(f"substring(token, greatest(length(token) - {SUFFIX - 1}, 1), {SUFFIX})")
     by_ending = (
         counts.select(ending.alias("ending"), "group", "n")
@@ -121,10 +130,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         .agg(F.sum("n").alias("n"))
         .groupBy("ending")
         .agg(F.sum("n").alias("n"), main["group"].alias("group"))
-        .orderBy(F.desc("n"), "ending")
-        .limit(SUFFIXES)
-        .toPandas()
     )
+    by_ending = most_frequent(stage(by_ending, "endings"), "n", SUFFIXES)[0].toPandas()
     tokens = [bytes(t) for t in top["token"]]
     count = top["n"].to_numpy(np.int64)
     group = [place.get(g, len(groups)) for g in top["group"]]
@@ -144,7 +151,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     start = np.log(np.concatenate([count[:n_words] + 0.0, tail_mass]))
     suffixes = {bytes(t): n_words + place.get(g, len(groups)) for t, g in zip(by_ending["ending"], by_ending["group"])}
     ids = {t: i for i, t in enumerate(tokens)}
-    return Vocabulary(ids, unit, count, suffixes, n_words + len(groups), np.array(unit_class), start, n_words)
+    return Vocabulary(ids, unit, count, suffixes, n_words + len(groups), np.array(unit_class), start, n_words, least)
 
 
 def with_totals(vocab: Vocabulary, counts: DataFrame) -> Vocabulary:
@@ -181,6 +188,35 @@ UNITED = (
 )
 
 
+def united_part(v: Vocabulary, texts: pa.StringArray) -> list[pa.Array]:
+    """The computed columns of ``united`` for some texts."""
+    listed, code, cuts = with_ends(*coded_words(texts))
+    n, sizes = len(texts), np.diff(cuts)
+    doc = np.repeat(np.arange(n), sizes)
+    # by distinct word
+    ids = np.array([v.ids.get(x, -1) for x in listed], np.int64)
+    far = ids < 0
+    unit = np.where(far, 0, v.unit[ids] if len(v.unit) else 0)
+    for i in np.flatnonzero(far).tolist():
+        unit[i] = v.tail_unit(listed[i])
+    logs = np.where(far, 0.0, np.log10(v.count[ids] + 1.0) if len(v.count) else 0.0)
+    tail = np.where(unit >= v.n_words, logs - v.tail_log[unit], 0.0)
+    # by document
+    outside = far[code]
+    pair, times = np.unique(doc[outside] * len(listed) + code[outside], return_counts=True)
+    rest = pa.array(listed, pa.binary()).take(pa.array(pair % len(listed)))
+    rest_cuts = pa.array(np.searchsorted(pair // len(listed), np.arange(n + 1)).astype(np.int32))
+    return [
+        pa.array(sizes.astype(np.int64)),
+        pa.array(np.bincount(doc, ~outside, n).astype(np.int64)),
+        pa.array(np.bincount(doc, logs[code], n)),
+        pa.array(np.bincount(doc, tail[code], n)),
+        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(unit[code].astype(np.int16))),
+        pa.ListArray.from_arrays(rest_cuts, rest),
+        pa.ListArray.from_arrays(rest_cuts, pa.array(times.astype(np.int32))),
+    ]
+
+
 def united(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """A row per document: its units, sums over dictionary words, and its words beyond them.
 
@@ -188,38 +224,15 @@ def united(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     classes' shares add; ``rest`` and ``times`` are the distinct words outside the dictionary.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    names = [f.split()[0] for f in UNITED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        get, logs = v.ids.get, np.log10(v.count + 1.0)
-        known_word = v.count > 0
-        is_tail = v.unit >= v.n_words
         for batch in batches:
-            doc_ids = batch.column(0)
-            rows = ([], [], [], [], [], [], [])
-            for text in batch.column(2).to_pylist():
-                toks = _words(text)
-                toks.append(END)
-                ids = np.array([get(t, -1) for t in toks], np.int32)
-                inside = ids >= 0
-                units = np.where(inside, v.unit[ids] if len(v.unit) else 0, 0)
-                outside: Counter = Counter()
-                for i in np.flatnonzero(~inside).tolist():
-                    outside[toks[i]] += 1
-                    units[i] = v.tail_unit(toks[i])
-                own = ids[inside]
-                tail = own[is_tail[own]]
-                far = units[~inside]
-                rows[0].append(len(toks))
-                rows[1].append(int(known_word[own].sum()))
-                rows[2].append(float(logs[own].sum()))
-                rows[3].append(float(logs[tail].sum() - v.tail_log[v.unit[tail]].sum() - v.tail_log[far].sum()))
-                rows[4].append(units.astype(np.int16))
-                rows[5].append(list(outside))
-                rows[6].append(list(outside.values()))
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int16()), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            arrays = [doc_ids, batch.column(1), *[pa.array(r, k) for r, k in zip(rows, kinds)]]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in UNITED.split(", ")])
+            first = 0
+            for part in text_slices(batch.column(2)):
+                own = [batch.column(i)[first : first + len(part)] for i in (0, 1)]
+                first += len(part)
+                yield pa.RecordBatch.from_arrays([*own, *united_part(shared.value, part)], names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, UNITED)
 
@@ -526,9 +539,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = made.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select(
         "row", F.col("w.rest").alias("token"), F.col("w.times").alias("times")
     )
-    # words outside the dictionary are no more frequent than its last one
-    rare = int(vocab.count.min()) if len(vocab.count) else 0
-    known = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") <= rare)
+    known = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") < vocab.least)
     far = (
         words.join(known, "token")
         .groupBy("row")
