@@ -42,7 +42,6 @@ GROUPS = 15  # languages, or what the group column holds, with classes of their
 HIDDEN = 16
 LANES = 256  # documents that are read side by side
 WINDOW = 32  # steps that gradients reach back
-LEARN_EVERY = 4  # of each so many windows one is learned from; all are read
 ROUNDS = 3
 RATE = 0.1
 BLOCK = 4096  # weights that are averaged as one row
@@ -433,14 +432,11 @@ def score_batch(net: Network, values: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def train_batch(net: Network, seen: np.ndarray, values: np.ndarray, offsets: np.ndarray) -> int:
-    """Go through the documents once, with Adagrad steps; returns the tokens read."""
+    """Go through the documents once, with an Adagrad step for each window; returns the tokens read."""
     page = laid(values, offsets)
     h = np.zeros((page.units.shape[1], HIDDEN), np.float32)
-    for k, at in enumerate(range(0, len(page.units), WINDOW)):
+    for at in range(0, len(page.units), WINDOW):
         units, fresh = page.units[at : at + WINDOW].astype(np.int64), page.fresh[at : at + WINDOW]
-        if k % LEARN_EVERY:
-            _, h = net.steps(units, fresh, h)
-            continue
         live = page.doc[at : at + WINDOW] >= 0
         h, grads = net.gradients(units, fresh, live, h)
         scale = 1 / max(1, int(live.sum()))

@@ -94,6 +94,17 @@ def test_training_learns_a_pattern():
     assert R.score_batch(net, *packed(docs)).mean() > before / 4
 
 
+def test_every_window_is_learned_from():
+    units = len(small_net().unit_class)
+    for window in range(6):
+        net = small_net()
+        before = net.w["x"].copy()
+        text = [0] * (6 * R.WINDOW)
+        text[window * R.WINDOW + 3] = units - 1  # only there
+        R.train_batch(net, np.full(len(net.flat), 1e-8, np.float32), *packed([text]))
+        assert (net.w["x"][units - 1] != before[units - 1]).any()
+
+
 def test_lanes_hold_every_document_once():
     sizes = np.array([5, 0, 700, 3, 3, 90])
     dealt = R.lanes(sizes, 3)
