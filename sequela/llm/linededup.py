@@ -80,17 +80,25 @@ def suffix_array(lines: DataFrame, depth: int = LAST) -> DataFrame:
 
 
 def neighbours(suffixes: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct suffixes in order: part, rank, shared, need.
+    """Distinct suffixes in order: part, rank, first, n, shared, need, most.
 
-    ``need``: lines from the suffix's first on that have ``MIN_WORDS`` words; null if its run has
-    fewer. ``shared``: the longest common prefix with the suffix before it, in lines. As a line has
-    a word or more, neither is of interest beyond ``MIN_WORDS`` lines, and no more are compared.
+    ``first`` is the earliest of a suffix's ``n`` copies. ``need``: lines from the suffix's first on
+    that have ``MIN_WORDS`` words; null if its run has fewer. ``most``: lines up to where those after
+    the first one have ``MIN_WORDS`` words themselves, or ``need`` if that is more. ``shared``: the
+    longest common prefix with the suffix before it, in lines.
+
+    A line lies in a repeated run of ``MIN_WORDS`` words or more if and only if it lies in a repeated
+    run of ``need`` to ``most`` lines: in the one that starts at the line, or, where the long run ends
+    too early for that, in the one of fewest lines that ends where the long run does. As a line has a
+    word or more, ``most`` is at most ``MIN_WORDS``, and no more lines are compared.
     """
-    reps = suffixes.groupBy("rank").agg(F.min(F.struct("row", "pos", "length")).alias("at"))
-    body = reps.select("rank", "at.row", "at.pos", "at.length").join(lines.select("row", "lines"), "row")
+    reps = suffixes.groupBy("rank").agg(
+        F.min(F.struct("row", "pos", "length")).alias("at"), F.min(F.struct("place", "row", "pos")).alias("first"), F.count("*").alias("n")
+    )
+    body = reps.select("rank", "first", "n", "at.row", "at.pos", "at.length").join(lines.select("row", "lines"), "row")
     own = F.slice("lines", F.col("pos") + 1, F.least("length", F.lit(MIN_WORDS)))
     runs = body.select(
-        "rank", F.transform(own, lambda s: s["id"]).alias("ids"), F.transform(own, lambda s: s["n_words"]).alias("sizes")
+        "rank", "first", "n", F.transform(own, lambda s: s["id"]).alias("ids"), F.transform(own, lambda s: s["n_words"]).alias("sizes")
     )
     runs = runs.repartitionByRange("rank").sortWithinPartitions("rank").withColumn("part", F.spark_partition_id())
     runs = stage(runs, "runs")
@@ -113,24 +121,39 @@ def neighbours(suffixes: DataFrame, lines: DataFrame) -> DataFrame:
             F.struct((acc["lines"] + 1).alias("lines"), (acc["words"] + n).alias("words"))
         ),
     )
-    return both.select("part", "rank", shared.cast("int").alias("shared"), upto.alias("upto")).select(
-        "part", "rank", "shared", F.when(F.col("upto.words") >= MIN_WORDS, F.col("upto.lines")).alias("need")
+    after = F.aggregate(
+        F.slice("sizes", 2, MIN_WORDS),
+        F.struct(F.lit(1).alias("lines"), F.lit(0).alias("words")),
+        lambda acc, n: F.struct(
+            (acc["lines"] + F.when(acc["words"] + n < MIN_WORDS, 1).otherwise(0)).alias("lines"), (acc["words"] + n).alias("words")
+        ),
+    )
+    return both.select("part", "rank", "first", "n", shared.cast("int").alias("shared"), upto.alias("upto"), after.alias("after")).select(
+        "part",
+        "rank",
+        "first",
+        "n",
+        "shared",
+        F.when(F.col("upto.words") >= MIN_WORDS, F.col("upto.lines")).alias("need"),
+        F.greatest("after.lines", "upto.lines").alias("most"),
     )
 
 
 def intervals(order: DataFrame) -> DataFrame:
-    """Intervals of neighbours that share ``need`` lines: rank, need, interval."""
-    cut = F.when(F.col("shared") >= F.col("need"), 0).otherwise(1)
-    order = stage(order.withColumn("cut", cut), "order")
+    """Intervals of neighbours that share ``size`` lines, for each size from need to most: rank, first, n, size, interval."""
+    sizes = range(1, MIN_WORDS + 1)
+    order = stage(order, "order")
+    cut = {k: F.when(F.col("shared") >= k, 0).otherwise(1) for k in sizes}
     # a row per part of the array
-    parts = order.groupBy("part").agg(F.sum("cut").alias("cuts"))
-    before = parts.select("part", (F.sum("cuts").over(W.orderBy("part")) - F.col("cuts")).alias("before"))
+    parts = order.groupBy("part").agg(*[F.sum(cut[k]).alias(f"c{k}") for k in sizes])
+    upto = W.orderBy("part")
+    before = parts.select("part", F.array(*[F.sum(f"c{k}").over(upto) - F.col(f"c{k}") for k in sizes]).alias("before"))
     inside = W.partitionBy("part").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    counted = order.withColumn("inside", F.array(*[F.sum(cut[k]).over(inside) for k in sizes])).filter("need is not null")
     return (
-        order.withColumn("inside", F.sum("cut").over(inside))
-        .join(before, "part")
-        .filter("need is not null")
-        .select("rank", "need", (F.col("before") + F.col("inside")).alias("interval"))
+        counted.join(before, "part")
+        .withColumn("size", F.explode(F.sequence("need", "most")))
+        .select("rank", "first", "n", "size", (F.element_at("before", F.col("size")) + F.element_at("inside", F.col("size"))).alias("interval"))
     )
 
 
@@ -148,11 +171,19 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _removed(lines: DataFrame) -> DataFrame:
     # no more lines are compared below, so the array need not tell longer runs apart
     suffixes = suffix_array(lines, MIN_WORDS)
-    copies = suffixes.join(intervals(neighbours(suffixes, lines)), "rank")
-    copies = stage(copies.select("interval", "need", F.struct("place", "row", "pos").alias("at")), "copies")
-    first = copies.groupBy("interval").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = copies.join(first, "interval").filter("at > first")
-    gone = later.select(F.col("at.row").alias("row"), F.explode(F.expr("sequence(at.pos, at.pos + need - 1)")).alias("pos"))
+    runs = stage(intervals(neighbours(suffixes, lines)), "intervals")
+    firsts = runs.groupBy("size", "interval").agg(F.min("first").alias("earliest"))
+    known = (
+        runs.join(firsts, ["size", "interval"])
+        .filter("n > 1 or earliest < first")
+        .groupBy("rank")
+        .agg(F.collect_list(F.struct("size", "earliest")).alias("firsts"))
+    )
+    # of each copy go the most lines that stand earlier too
+    at = F.struct("place", "row", "pos")
+    size = F.array_max(F.transform(F.filter("firsts", lambda f: f["earliest"] < at), lambda f: f["size"]))
+    later = suffixes.join(known, "rank").select("row", "pos", size.alias("size")).filter("size is not null")
+    gone = later.select("row", F.explode(F.expr("sequence(pos, pos + size - 1)")).alias("pos"))
     island = F.col("pos") - F.row_number().over(W.partitionBy("row").orderBy("pos"))
     spans = gone.distinct().withColumn("island", island).groupBy("row", "island").agg(
         F.min("pos").alias("a"), F.max("pos").alias("b"), F.count("*").alias("n")

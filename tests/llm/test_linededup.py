@@ -57,6 +57,40 @@ def test_removed_lines_equal_a_plain_search(documents, seed):
         assert got[doc].n_removed == len(want.get(doc, ())) and got[doc].n_lines == len(lines)
 
 
+def maximal(rows):
+    """Removed line numbers of each document: whole common runs of any two places, from MIN_WORDS words on."""
+    lines = []
+    for doc, (_, text) in enumerate(sorted(rows)):
+        lines += [(doc, no, line.strip(" "), len(line.split())) for no, line in enumerate(text.split("\n")) if line.split()]
+    gone = {}
+    for i, (doc, *_rest) in enumerate(lines):
+        for j in range(i):
+            k = 0
+            while i + k < len(lines) and (lines[i + k][0], lines[j + k][0]) == (doc, lines[j][0]) and lines[i + k][2] == lines[j + k][2]:
+                k += 1
+            if sum(n for *_, n in lines[i : i + k]) >= L.MIN_WORDS:
+                gone.setdefault(doc, set()).update(no for _, no, *_ in lines[i : i + k])
+    return gone
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_whole_maximal_runs_go(documents, seed):
+    rows = corpus(seed)
+    want = maximal(rows)
+    assert sum(map(len, want.values())) > sum(map(len, plain(rows).values()))  # some end in lines of few words
+    for r in L.repeated_lines(documents(rows)).collect():
+        lines = rows[r.doc_id][1].split("\n")
+        spans = [n for s in r.removed for n in range(s["first"], s["last"] + 1) if lines[n].split()]
+        assert sorted(spans) == sorted(want.get(r.doc_id, ())) and r.n_removed == len(spans)
+
+
+def test_short_last_lines_of_a_repeat_go(documents):
+    run = " ".join(f"w{i}" for i in range(60)) + "\na b c d e"
+    rows = [(i, f"{run}\nown line of document {i}") for i in range(4)]
+    got = {r.doc_id: [tuple(s) for s in r.removed] for r in L.repeated_lines(documents(rows)).collect()}
+    assert got == {0: [], 1: [(0, 1)], 2: [(0, 1)], 3: [(0, 1)]}
+
+
 def test_suffix_array_is_sorted_and_groups_equal_suffixes(documents):
     rows = corpus(7)
     lines = L.line_table(documents(rows))
