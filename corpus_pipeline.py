@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sequela.llm import decontaminate, mixing, perplexity, records, setjoin
 from sequela.sources.stages import stage
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # of near copies: words in a shingle, least Jaccard index in hundredths
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of copies and near copies."""
-    return setjoin.one_of_each(docs)
+    return setjoin.one_of_each(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

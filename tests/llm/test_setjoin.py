@@ -1,6 +1,7 @@
 import random
 from itertools import combinations
 
+import corpus_pipeline
 import pytest
 
 from sequela.llm import setjoin
@@ -108,6 +109,20 @@ def test_one_of_each_keeps_the_smallest(documents):
     assert sorted((r.doc_id for r in out.collect()), key=str) == [2, 4, 9, None]
 
 
+def test_the_pipeline_takes_five_words_and_eighty_percent(spark, documents):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, *(f"x{i}" for i in range(20))]))]
+    rows += [(10 + i, text) for i, text in corpus(5, 80)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} or {tuple(t.split())} for i, t in rows}
+    label = {i: i for i in sets}
+    for a, b in combinations(sorted(sets), 2):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = {i: low if v == high else v for i, v in label.items()}
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, documents(rows), "").collect()}
+    assert label[2] == 1 and kept == set(label.values())
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
