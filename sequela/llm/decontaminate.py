@@ -1,26 +1,25 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-N-grams of the test items are looked up in the documents. In every stretch of an item the n-gram
-that the documents hold least often becomes a seed, so an item always keeps seeds, however often
-it was copied. A seed in a document marks the passage around it, and the passage is aligned with
+N-grams of the test items are looked up in the documents, and each that is found there is a seed,
+however often the documents hold it. A seed in a document marks the passage around it. A passage
+that has too few of the item's words for a sufficient score is left out; any other is aligned with
 the item word by word. The alignment's score, as a share of the best one an item can have, tells
 copies, edited ones included, from chance.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sequela.llm.text import lower_ascii, map_columns, words
 from sequela.sources.stages import stage
 
 N = 3  # words in a seed
-STRETCH = 2  # neighbouring n-grams of an item, of which the rarest is a seed
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SHARE = 0.5  # of an item's best score
 MIN_MATCHES = 5  # words of an alignment that are equal
@@ -39,23 +38,6 @@ def grams(words_col: str, n: int = N):
     return F.when(F.size(words_col) >= n, gram).otherwise(none)
 
 
-def seeds(items: DataFrame, hits: DataFrame) -> DataFrame:
-    """Seeds of the items: item, gram, item_place.
-
-    ``hits``: gram and the number of its places in the documents. An n-gram that is nowhere is no
-    seed of use, but it ranks as the rarest; ties go to the earlier place.
-    """
-    counted = items.join(hits, "gram", "left").na.fill({"n": 0})
-    within = W.partitionBy("item", "stretch").orderBy(F.asc("n"), F.asc("item_place"))
-    # stretches overlap by half, so that a seed lost to an edit leaves its neighbour's
-    spread = counted.withColumn(
-        "stretch",
-        F.explode(F.array(F.expr(f"item_place div {STRETCH}") * 2, F.expr(f"(item_place + {STRETCH // 2}) div {STRETCH}") * 2 + 1)),
-    )
-    found = spread.filter("n > 0").withColumn("rank", F.row_number().over(within)).filter("rank = 1")
-    return found.select("item", "gram", "item_place").distinct()
-
-
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -88,11 +70,10 @@ def find_leaks(
         .join(listed, "gram"),
         "places",
     )
-    chosen = seeds(item_grams, places.groupBy("gram").agg(F.count("*").alias("n")))
     # a seed puts the item's begin at place - item_place; the passage starts a quarter of the
     # item before the cell that this falls in and ends a quarter after the next cell
     passages = (
-        places.join(chosen, "gram")
+        places.join(item_grams, "gram")
         .select(
             "id",
             "item.item_id",
@@ -125,7 +106,7 @@ def find_leaks(
         ["id", "item_id", "begin"],
         [F.col("passage"), F.col("item")],
         "score long, matches long, from_ long, to_ long, best long",
-        lambda: aligned_batch,
+        lambda: lambda passages, rows: aligned_batch(passages, rows, min_share),
     )
     found = aligned.filter((F.col("matches") >= F.least(F.lit(MIN_MATCHES), F.expr("best div 2"))) & (F.col("score") >= min_share * F.col("best")))
     top = found.groupBy("id", "item_id").agg(
@@ -141,11 +122,24 @@ def find_leaks(
     )
 
 
-def aligned_batch(passages: Sequence[list[str]], items: Sequence[list[str]]) -> list[list[int]]:
-    rows = [(*smith_waterman(p, i), MATCH * len(i)) for p, i in zip(passages, items)]
+def aligned_batch(passages: Sequence[list[str]], items: Sequence[list[str]], min_share: float = 0.0) -> list[list[int]]:
+    """Columns of the alignments' results and best scores; zeros for passages that can't reach ``min_share``."""
+    rows = []
+    for p, i in zip(passages, items):
+        best = MATCH * len(i)
+        # a score is MATCH for each equal word at most
+        able = MATCH * common_words(p, i) >= min_share * best
+        rows.append((*(smith_waterman(p, i) if able else (0, 0, 0, 0)), best))
     return [list(c) for c in zip(*rows)] if rows else [[] for _ in range(5)]
 
 
+def common_words(a: Sequence[str], b: Sequence[str]) -> int:
+    """Words that both have, repeated ones as often as both have them."""
+    known = Counter(b)
+    found = Counter(x for x in a if x in known)
+    return sum(min(n, known[x]) for x, n in found.items())
+
+
 def smith_waterman(passage: Sequence[str], item: Sequence[str]) -> tuple[int, int, int, int]:
     """Best local alignment: score, equal words, and the passage's first and last aligned place."""
     n = len(passage)

@@ -93,6 +93,18 @@ def test_all_pairs_by_brute_force(documents, items):
         assert not grams(docs[d][1].split()) & grams(rows[i][1].split())
 
 
+def test_edited_copies_beside_many_clean_ones(documents, items):
+    """Every fourth word changed, from any place on, whatever the clean copies are."""
+    table, rows = items
+    docs = [(i, f"x{i} {rows[i % 20][1]}") for i in range(100)]
+    for i in range(80):
+        words = [f"e{i}" if k % 4 == i // 20 else w for k, w in enumerate(rows[i % 20][1].split())]
+        docs.append((1000 + i, " ".join([f"y{i}", *words, "z"])))
+    want = {(d, i) for d, t in docs for i, b in rows if slow_score(t.split(), b.split()) >= len(b.split())}
+    assert len({d for d, _ in want if d >= 1000}) > 60
+    assert {(r.doc_id, r.item_id) for r in D.find_leaks(documents(docs), table).collect()} == want
+
+
 def test_odd_rows(odd, documents, spark, items):
     table, rows = items
     extra = spark.createDataFrame([(100, None), (101, ""), (None, "a null item of five words"), (102, "two words"), (0, rows[0][1])], table.schema)
