@@ -84,13 +84,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Ordinal:
     """Learn the weights from a bounded labelled sample.
 
-    Features that are far more frequent in toxic documents are counted and chosen by Spark. A toxic
+    Features that are far more frequent in toxic documents are counted and chosen by Spark, over
+    distinct texts; where more have one count than there is room for, by name. A toxic
     document is of grade 2 if it has more occurrences of chosen features than the median one, else
     of grade 1. Without toxic or other labelled documents the model has no weights and grades
     everything 0.
     """
     sample = stage(labelled_sample(docs, labels, size), "labelled")
-    totals = {int(r["toxic"] > 0): r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    distinct = stage(sample.distinct(), "distinct")
+    totals = {int(r["toxic"] > 0): r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(totals) < 2:
         return Ordinal({}, [60.0, 60.0])
 
@@ -104,12 +106,12 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Ordinal:
 
     odds = ((F.col("toxic") + 0.5) / totals[1]) / ((F.col("clean") + 0.5) / totals[0])
     chosen = (
-        sample.mapInPandas(present, "feature string, clean long, toxic long")
+        distinct.mapInPandas(present, "feature string, clean long, toxic long")
         .groupBy("feature")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         .filter((F.col("toxic") >= MIN_TOXIC_DOCS) & (odds >= MIN_ODDS))
     )
-    top, _ = most_frequent(stage(chosen, "features"), "toxic", MAX_FEATURES)
+    top, _ = most_frequent(stage(chosen, "features"), "toxic", MAX_FEATURES, tie="feature")
     names = sorted(r["feature"] for r in top.select("feature").collect())
     known = {f: float(i) for i, f in enumerate(names)}
 

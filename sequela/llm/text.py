@@ -131,16 +131,21 @@ def coded_words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndar
     return listed, code[word], before[offsets - offsets[0]]
 
 
-def most_frequent(counts: DataFrame, n: str, limit: int) -> tuple[DataFrame, int]:
-    """Rows of the largest counts, ``limit`` at most, and the smallest count among them.
+def most_frequent(counts: DataFrame, n: str, limit: int, tie: str | None = None) -> tuple[DataFrame, int]:
+    """Rows of the largest counts, ``limit`` at most, and the smallest count of the bins taken whole.
 
     Counts are binned by their logarithm, so that the driver gets a number per bin, not each
-    task's candidates; of a bin that does not fit whole nothing is taken.
+    task's candidates. Of a bin that does not fit whole nothing is taken, or, with ``tie``, the largest
+    counts, equal ones in the order of that column; each task's candidates are then sorted.
     """
-    top = counts.groupBy(F.floor(F.log2(n) * 64).alias("bin")).agg(F.count("*").alias("k"), F.min(n).alias("least"))
+    bin_ = F.floor(F.log2(n) * 64)
+    top = counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("k"), F.min(n).alias("least"))
     rest, least = limit, LARGEST
     for row in sorted(top.collect(), key=lambda r: -r["bin"]):
         if row["k"] > rest:
-            break
+            if tie is None or not rest:
+                break
+            some = counts.filter(bin_ == row["bin"]).orderBy(F.desc(n), tie).limit(rest)
+            return counts.filter(F.col(n) >= least).unionByName(some), least
         rest, least = rest - row["k"], row["least"]
     return counts.filter(F.col(n) >= least), least

@@ -57,6 +57,21 @@ def test_held_out_documents(spark, documents):
     assert mild > np.mean([got[i].severity for i in got if not toxic[i]])
 
 
+def test_copies_of_a_long_text_leave_room_for_other_features(spark, documents, monkeypatch):
+    monkeypatch.setattr(S, "MAX_FEATURES", 40)
+    rng = random.Random(3)
+    long = " ".join(f"q{k}x" for k in range(100))
+    texts = [(1, long)] * 200
+    for i in range(200):
+        words = [f"w{rng.randrange(400)}" for _ in range(30)]
+        texts.append((i % 2, " ".join([*words, "vile"] if i % 2 else words)))
+    # words that toxic texts hold equally often: more than there is room for
+    texts += [(1, " ".join(f"z{k}" for k in range(60)) + f" own{i}") for i in range(30)]
+    labels = spark.createDataFrame([(i, 1, t) for i, (t, _) in enumerate(texts)], "doc_id long, quality int, toxic int")
+    model = S.fit(documents([(i, text) for i, (_, text) in enumerate(texts)]), labels)
+    assert len(model.weights) == 40 and "vile" in model.weights and "q0x" not in model.weights
+
+
 def test_odd_rows(odd, documents, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = S.fit(odd, none)
