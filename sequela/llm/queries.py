@@ -14,12 +14,16 @@ from sequela.llm import (
     linededup,
     mixing,
     perplexity,
+    phrases,
+    prefixtrie,
     records,
     recurrent,
     setjoin,
     severity,
+    sharding,
     urlrules,
 )
+from sequela.llm.twins import ORACLES as ORACLES
 from sequela.sources.stages import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +94,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return severity.score(docs, severity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of the rebuilt conversations."""
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best phrases of each language."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
@@ -103,6 +122,8 @@ QUERIES: dict[str, Query] = {
         op8_url_rules,
         op9_main_text,
         op10_toxicity,
+        op11_shards,
+        op12_prefix_trie,
+        op13_collocations,
     )
 }
-ORACLES: dict[str, str] = {}
