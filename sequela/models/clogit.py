@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sequela.functions.stats import chi2_tail, two_sided_p
 from sequela.models.kernel import Term, step_sums
-from sequela.sources.stages import stage
+from sequela.sources.stages import stage, tasks
 
 ROWS_PER_BLOCK = 20_000
 # a coefficient whose standard error is that many times what its column's own spread
@@ -87,9 +87,12 @@ def strata_table(
     terms: Sequence[Term],
     event: str = "event",
     offset: Column | None = None,
+    count: str | None = None,
 ) -> DataFrame:
     """One row per distinct stratum: group key ``g``, flat rows ``pattern``, weight ``w``.
 
+    A row stands for one subject, or for as many equal ones as its column ``count`` says.
+
     A stratum is a matched set or a person's observation time, so its array is
     bounded by the number of controls or of calendar days.
     """
@@ -99,10 +102,11 @@ def strata_table(
         *strata,
         F.col(event).cast("double").alias("ev"),
         (F.lit(0.0) if offset is None else offset).alias("off"),
+        (F.lit(1) if count is None else F.col(count)).alias("n"),
         *[c.alias(n) for c, n in zip(_encoded(terms), names)],
     )
     folded = coded.groupBy(*by, *strata, "ev", "off", *names).agg(
-        F.count("*").cast("double").alias("cnt")
+        F.sum("n").cast("double").alias("cnt")
     )
     per_stratum = folded.groupBy(*by, *strata).agg(
         F.flatten(F.sort_array(F.collect_list(F.array("ev", "cnt", "off", *names)))).alias("pattern"),
@@ -287,8 +291,8 @@ def fit(
     by_name = {t.name: t for t in terms}
     chosen = {m: tuple(by_name[n] for n in names) for m, names in models.items()}
     exact = ties == "exact"
-    # staged, so that its partitions follow its size and a lost one is read again
-    kept = stage(strata)
+    # staged, so that a lost partition is read again; every step works through all rows, so all cores get some
+    kept = stage(strata.repartition(tasks(strata.sparkSession)))
     groups = [r.g for r in kept.select("g").distinct().collect()]
     states: dict[tuple[str, str], _Newton] = {}
     for g in groups:

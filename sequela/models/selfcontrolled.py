@@ -103,13 +103,13 @@ def pd_model(
 ) -> DataFrame:
     """Person-day model of the given terms, Efron ties, beside each level's counts.
 
-    Each day has the same length, so the offset is 0 and equal days of a person
-    fold into one row with a count. ``everyone``: the counts of each level are of
+    ``panel`` holds days or pieces of days. Each day has the same length, so the offset is 0 and equal
+    days of a person fold into one row with a count. ``everyone``: the counts of each level are of
     all people of the panel, as the model's are; else each product counts its own
     recipients and the infection those who tested positive.
     """
     names = [t.name for t in terms]
-    strata = strata_table(panel, ["endpoint"], ["person_id"], terms)
+    strata = strata_table(panel, ["endpoint"], ["person_id"], terms, count="interval")
     fits = fit(strata, terms, {model or "+".join(names): names})
     coefs = coef_table(panel.sparkSession, fits, ["endpoint"])
     rates = level_rates(panel, n_periods, merged, None if not everyone else terms)

@@ -1,13 +1,18 @@
 """Self-controlled case series by person-day: two doses and an infection.
 
-The panel is unfolded from a per-person date sequence, so it needs no join and
-no shuffle; ``event_date`` travels with the person and marks the event day.
+Four tracks run beside each other over a person's study time: the doses of either
+product, the infection, and the calendar periods. ``person_pieces`` overlays them:
+it cuts the time at every day on which a level can change, so that a piece holds
+days of constant levels and ``interval`` says how many. All operators on days take
+pieces as well. ``person_days`` unfolds single days. Both come from arrays on the
+person's row, without a join or a shuffle; ``event_date`` travels with the person
+and marks the event day.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +58,50 @@ def person_days(people: DataFrame, start: date, end: date, length: int = 7) -> D
     )
 
 
+# Days after an exposure on which a level begins or ends.
+TRACK_CUTS = (-14, 0, 7, 14, 21, 28)
+
+
+def person_pieces(people: DataFrame, start: date, end: date, length: int = 7) -> DataFrame:
+    """Maximal runs of days with constant levels, periods and event, per person.
+
+    The columns are those of ``person_days``; ``date`` is a piece's first day and ``interval``
+    its days. Days after death are left out, the day of death stays; people who died before the
+    start have no piece. The event day is a piece of its own.
+    """
+    first, last = F.lit(start), F.coalesce(F.least(F.lit(end), F.col("death_date")), F.lit(end))
+    n_periods = (end - start).days // length + 1
+    periods = F.array(*[F.lit(start + timedelta(days=k * length)) for k in range(n_periods)])
+    # on day 28 after dose 1 the days before dose 2 begin to count
+    tracks = [F.date_add(c, d) for c in ("date_vacc_1", "date_vacc_2", "specimen_date") for d in TRACK_CUTS]
+    event = [F.col("start_date"), F.date_add("start_date", 1)]
+    cuts = F.filter(
+        F.concat(periods, F.array_compact(F.array(*tracks, *event))), lambda d: (d >= first) & (d <= F.col("_last"))
+    )
+    day = F.col("date")
+    return (
+        people.filter(F.col("death_date").isNull() | (F.col("death_date") >= first))
+        .withColumn("_last", last)
+        .withColumn("_cuts", F.sort_array(F.array_distinct(cuts)))
+        .withColumn("_ends", F.concat(F.slice("_cuts", F.lit(2), F.size("_cuts")), F.array(F.date_add("_last", 1))))
+        .withColumn("_piece", F.explode(F.arrays_zip("_cuts", "_ends")))
+        .withColumn("date", F.col("_piece._cuts"))
+        .select(
+            "endpoint",
+            "person_id",
+            "vacc_type",
+            "date",
+            _period(day, start, length).alias("period"),
+            days_between(day, F.col("date_vacc_1")).alias("days"),
+            days_between(day, F.col("date_vacc_2")).alias("days2"),
+            days_between(day, F.col("specimen_date")).alias("days3"),
+            "death_date",
+            F.col("start_date").alias("event_date"),
+            days_between(F.col("_piece._ends"), day).cast("int").alias("interval"),
+        )
+    )
+
+
 def _risk_rules(days: Column, levels: Sequence[str]) -> list[tuple[Column, str]]:
     # Risk weeks after an exposure.
     return [(days.between(a, b), lv) for (a, b), lv in
@@ -92,8 +141,16 @@ def attach_event(panel: DataFrame) -> DataFrame:
 
 
 def full_panel(people: DataFrame, start: date, end: date, length: int = 7) -> DataFrame:
-    """Panel with every level, cut at death, events marked."""
-    panel = until_death(person_days(people, start, end, length))
+    """Days with every level, cut at death, events marked."""
+    return _levelled(until_death(person_days(people, start, end, length)))
+
+
+def full_pieces(people: DataFrame, start: date, end: date, length: int = 7) -> DataFrame:
+    """The same as pieces: a row where ``full_panel`` has ``interval`` equal ones but for the date."""
+    return _levelled(person_pieces(people, start, end, length))
+
+
+def _levelled(panel: DataFrame) -> DataFrame:
     for out, product in LEVEL_SETS.items():
         panel = dose_levels(panel, product, out)
     return attach_event(infection_levels(panel))

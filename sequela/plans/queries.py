@@ -717,9 +717,8 @@ def p6_attach_event(s: Study) -> DataFrame:
 
 @query
 def p7_merge_levels(s: Study) -> DataFrame:
-    return describe.count_by(
-        persondays.merge_levels(s.panel), ["endpoint", "expgr", "expgr2", "expgr3", "event"]
-    )
+    merged = persondays.merge_levels(s.panel).groupBy("endpoint", "expgr", "expgr2", "expgr3", "event")
+    return merged.agg(F.sum("interval").alias("n"))
 
 
 @query

@@ -21,7 +21,7 @@ from sequela.operators import (
     status,
 )
 from sequela.sources.registers import positive_test_days, positive_tests
-from sequela.sources.stages import stage
+from sequela.sources.stages import stage, tasks
 from sequela.sources.testdata import PRODUCT_RULES, PRODUCTS, STUDY, Registers
 
 COVARIATES = ("age_year", "n_risk_gps", "n_tests_gp", "simd", "bmi", "diag_chd", "diag_stroke")
@@ -308,16 +308,18 @@ class Study:
         return stage(self.analysis)
 
     def panel_of(self, people: DataFrame) -> DataFrame:
-        return persondays.full_panel(people, self.p.begin, self.p.end, self.p.period_days)
+        # a row becomes some seventy pieces, which later groupings by person find in place
+        dealt = people.repartition(tasks(self.reg.spark), "endpoint", "person_id")
+        return persondays.full_pieces(dealt, self.p.begin, self.p.end, self.p.period_days)
 
     @cached_property
     def panel(self) -> DataFrame:
-        """Days of the two-dose people; unfolded anew by each reader, from staged people."""
+        """Pieces of the two-dose people's time; cut anew by each reader, from staged people."""
         return self.panel_of(exposure.require_dose2(self.staged_analysis))
 
     @cached_property
     def exposed_panel(self) -> DataFrame:
-        """Days of all exposed people, those with one dose included."""
+        """Pieces of all exposed people's time, those with one dose included."""
         return self.panel_of(self.staged_analysis)
 
     @property

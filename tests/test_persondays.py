@@ -1,5 +1,9 @@
+import random
 from datetime import date, timedelta
 
+import pytest
+from pyspark.sql import functions as F
+
 from sequela.models import selfcontrolled
 from sequela.operators import persondays
 
@@ -16,6 +20,45 @@ def _panel(spark, people):
     return persondays.full_panel(spark.createDataFrame(people, PEOPLE), START, END)
 
 
+def _random_people(seed, n=60):
+    rng = random.Random(seed)
+
+    def day(chance, a=-40, b=380):
+        return START + T(rng.randrange(a, b)) if rng.random() < chance else None
+
+    return [
+        (rng.choice("ab"), i, rng.choice(("PB", "AZ")), day(0.95), day(0.6), day(0.4), day(0.3, -5), day(0.9))
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pieces_are_the_days(spark, seed):
+    people = spark.createDataFrame(_random_people(seed), PEOPLE)
+    for length in (7, 28):
+        days = persondays.full_panel(people, START, END, length)
+        pieces = persondays.full_pieces(people, START, END, length)
+        keep = ["endpoint", "person_id", "period", "expgr", "expgr2", "expgr3", "event"]
+        unfolded = pieces.withColumn("date", F.explode(F.expr("sequence(date, date_add(date, interval - 1))")))
+        assert sorted(unfolded.select("date", *keep).collect(), key=str) == sorted(days.select("date", *keep).collect(), key=str)
+        assert pieces.count() < days.count() / (3 if length == 7 else 8)
+        want = persondays.level_rates(days, 49).orderBy("endpoint", "term", "level").collect()
+        assert persondays.level_rates(pieces, 49).orderBy("endpoint", "term", "level").collect() == want
+
+
+def test_model_of_pieces_is_that_of_days(spark):
+    people = spark.createDataFrame(_random_people(7, 150), PEOPLE)
+    terms = [selfcontrolled.panel_terms(12)[n] for n in ("expgr", "expgr3", "period")]
+    both = [
+        selfcontrolled.pd_model(make(people, START, END, 30), terms, 12).orderBy("endpoint", "term", "level").collect()
+        for make in (persondays.full_panel, persondays.full_pieces)
+    ]
+    assert len(both[0]) == len(both[1]) > 40
+    for a, b in zip(*both):
+        assert (a.term, a.level, a.event, a.personday) == (b.term, b.level, b.event, b.personday)
+        assert a.coef == pytest.approx(b.coef, abs=1e-6) and a.se == pytest.approx(b.se, abs=1e-6)
+
+
 def test_last_period_is_short(spark):
     spine = persondays.date_spine(spark, START, END, 7).groupBy("period").count().collect()
     sizes = {r.period: r["count"] for r in spine}
