@@ -935,6 +935,10 @@ oracle("q4_daily_series", """SELECT s.endpoint, s.start_date, coalesce(c.n, 0) A
               WHERE start_date >= DATE '1997-09-01' AND start_date <= latest - 7 AND age >= 16 GROUP BY endpoint)) s
   LEFT JOIN (SELECT endpoint, start_date, count(*) AS n FROM ev, latest
              WHERE start_date <= latest - 7 AND age >= 16 GROUP BY ALL) c USING (endpoint, start_date)""")
+_SERIES = ORACLES["q4_daily_series"]
+oracle("l10_its_steps", f"""SELECT endpoint, start_date, n, {r6('m', 'fit')}, {r6('m - 1.96 * sqrt(m / k)', 'lcl')}, {r6('m + 1.96 * sqrt(m / k)', 'ucl')}
+  FROM (SELECT endpoint, start_date, n, avg(n) OVER part AS m, count(*) OVER part AS k FROM ({_SERIES})
+        WINDOW part AS (PARTITION BY endpoint, start_date >= {BEGIN}, start_date >= {BEGIN} + 28))""")
 oracle("b2_report_counts", f"""SELECT endpoint, total_events || ' study events of ' || total_unique_events
   || ' incident people; ' || no_link_to_cohort || ' of them are not in the cohort, and '
   || no_match || ' cases have no control.' AS text FROM ({_ATTRITION})""")

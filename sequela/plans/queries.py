@@ -13,7 +13,7 @@ from sequela.config import HOSP_LEVELS, POSITIVE_LEVELS, PRODUCT_LEVELS, VS_LEVE
 from sequela.models import effects, selfcontrolled
 from sequela.models.clogit import coef_table, fit, strata_table
 from sequela.models.kernel import Term
-from sequela.models.poisson import its_poisson
+from sequela.models.poisson import its_poisson, smooth_trend
 from sequela.operators import (
     describe,
     exposure,
@@ -50,7 +50,7 @@ DIGITS, FITTED_DIGITS = 8, 6
 FITTED = {
     "r8_simulate_oe", "r9_oe_interval", "r10_oe_interval_overall", "r11_oe_table", "r12_dose2_incidence",
     "r13_crude_rate", "l2_clogit", "l2_clogit_product", "l3_clogit_exact", "l3_clogit_exact_risk",
-    "l4_effect_table", "l8_lr_test", "l9_effectiveness", "k5_sccs_fit", "p9_pd_model_binary",
+    "l4_effect_table", "l8_lr_test", "l9_effectiveness", "l10_its_steps", "k5_sccs_fit", "p9_pd_model_binary",
 }
 
 
@@ -563,15 +563,25 @@ def _series(s: Study) -> DataFrame:
     return describe.daily_series(adults, outcome.study_end(adults), SERIES_START)
 
 
+def _steps(s: Study) -> dict[str, date]:
+    return {"post_pb": s.p.begin, "post_az": s.p.shift(28)}
+
+
 @query
 def l10_its_poisson(s: Study) -> DataFrame:
-    steps = {"post_pb": s.p.begin, "post_az": s.p.shift(28)}
-    fitted = None
-    daily = stage(_series(s))
-    for endpoint in s.p.endpoint_names:
-        series, _ = its_poisson(daily, steps, endpoint)
-        fitted = series if fitted is None else fitted.unionByName(series)
-    return fitted
+    return its_poisson(_series(s), _steps(s))[0]
+
+
+@query
+def l10_its_steps(s: Study) -> DataFrame:
+    """The steps alone, without trend and months."""
+    return its_poisson(_series(s), _steps(s), trend=False, months=False)[0]
+
+
+@query
+def l10_smooth_trend(s: Study) -> DataFrame:
+    """A smooth trend and the steps."""
+    return smooth_trend(_series(s), _steps(s))[0]
 
 
 # self-controlled, interval and time-split forms

@@ -3,7 +3,6 @@ from datetime import date, timedelta
 
 import pytest
 
-from sequela.models.poisson import its_poisson
 from sequela.operators import describe, followup
 
 D, T = date, timedelta
@@ -80,22 +79,6 @@ def test_series_fills_empty_days(spark, collect):
     assert got == [(0, 0, "May"), (1, 2, "June"), (2, 0, "June"), (3, 1, "June")]
 
 
-def test_poisson_series_recovers_group_means(spark):
-    # one month and one step: means before and after the step are the group means
-    rows = []
-    for i in range(28):
-        rows.append(("a", D(1998, 6, 1) + T(i), i, "June", 4 if i < 14 else 9))
-    df = spark.createDataFrame(rows, "endpoint string, start_date date, days int, month string, n int")
-    series, coefs = its_poisson(df, {"step": D(1998, 6, 15)}, "a")
-    got = {r.term: r for r in coefs.collect()}
-    assert got["days"].coef == pytest.approx(0, abs=1e-6)
-    assert got["step"].coef == pytest.approx(math.log(9 / 4), abs=1e-6)
-    fitted = {r.start_date: r for r in series.collect()}
-    assert fitted[D(1998, 6, 1)].fit == pytest.approx(4, abs=1e-5)
-    assert fitted[D(1998, 6, 28)].fit == pytest.approx(9, abs=1e-5)
-    assert all(r.lcl < r.fit < r.ucl for r in fitted.values())
-
-
 def test_a_person_with_very_many_spells_keeps_them_all(spark):
     spells = spark.range(500).selectExpr(
         "cast(1 as long) person_id", "date_add(date'1998-02-01', cast(id as int)) admission_date",
