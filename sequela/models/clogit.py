@@ -323,6 +323,17 @@ def _drop_empty(state: _Newton, terms: Sequence[Term], sums: np.ndarray) -> None
         state.advance(sums, 0.0)
 
 
+def _without_reference(terms: Sequence[Term], sums: np.ndarray) -> np.ndarray:
+    """Columns of factors whose reference level has no event, so that nothing can be compared with it."""
+    p, at = sum(t.width for t in terms), 0
+    events, out = sums[3 + p : 3 + 2 * p], np.zeros(p, dtype=bool)
+    for term in terms:
+        if term.levels:
+            out[at : at + term.width] = events[at : at + term.width].sum() >= sums[1] > 0
+        at += term.width
+    return out
+
+
 def _finish(g: str, m: str, terms: tuple[Term, ...], state: _Newton) -> Fit:
     p = len(state.beta)
     sums = state.sums if len(state.sums) else np.zeros(3 + 3 * p + p * p)
@@ -330,6 +341,7 @@ def _finish(g: str, m: str, terms: tuple[Term, ...], state: _Newton) -> Fit:
     se = np.sqrt(np.clip(np.diag(cov), 0, None))
     spread = np.sqrt(np.clip(state.start_info, 0, None)) if len(state.start_info) else np.zeros(p)
     good = usable & ~state.dropped & (se * spread < MAX_SCALED_SE) & state.converged
+    good &= ~_without_reference(terms, sums)
     return Fit(
         group=tuple(json.loads(g)),
         model=m,

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 
 EVENT, COUNT, OFFSET, FIRST_TERM = 0, 1, 2, 3
+# information that is that much smaller than the second moment is rounding
+FLAT = 1e-14
 
 
 @dataclass(frozen=True)
@@ -84,13 +86,16 @@ def step_sums(
     risk = count * np.exp(eta - top[local])
     event_x = x.T @ (event_count * w[local])
     loglik = float(w @ (_by_stratum(event_count * eta, starts) - d * top))
-    grad, info = event_x.copy(), np.zeros((p, p))
+    grad, info, second = event_x.copy(), np.zeros((p, p)), np.zeros(p)
 
     many = (d > 1) if exact else np.zeros(len(d), dtype=bool)
     single = ~many[local]
-    loglik += _efron(x, risk * single, risk * rows[:, EVENT] * single, d * ~many, w, local, starts, grad, info)
+    loglik += _efron(x, risk * single, risk * rows[:, EVENT] * single, d * ~many, w, local, starts, grad, info, second)
     if many.any():
-        loglik += _exact(x, rows, eta - top[local], local, many, d, w, grad, info)
+        loglik += _exact(x, rows, eta - top[local], local, many, d, w, grad, info, second)
+    # a column that is constant within the strata has no information but for rounding
+    flat = np.diag(info) <= FLAT * second
+    grad[flat], info[flat, :], info[:, flat] = 0, 0, 0
 
     out[0], out[1], out[2] = w.sum(), w @ d, loglik
     out[3 : 3 + p] = grad
@@ -100,7 +105,7 @@ def step_sums(
     return out
 
 
-def _efron(x, risk, event_risk, d, w, local, starts, grad, info) -> float:
+def _efron(x, risk, event_risk, d, w, local, starts, grad, info, second) -> float:
     """Efron sums; with one event per stratum this is the exact likelihood."""
     total = _by_stratum(risk, starts)
     total_x = _by_stratum(risk[:, None] * x, starts)
@@ -116,11 +121,13 @@ def _efron(x, risk, event_risk, d, w, local, starts, grad, info) -> float:
         loglik -= float(share @ np.log(z))
         grad -= share @ mean
         row_weight = (risk - part[local] * event_risk) * (share / z)[local]
-        info += (x * row_weight[:, None]).T @ x - (mean * share[:, None]).T @ mean
+        whole = (x * row_weight[:, None]).T @ x
+        info += whole - (mean * share[:, None]).T @ mean
+        second += np.diag(whole)
     return loglik
 
 
-def _exact(x, rows, eta, local, many, d, w, grad, info) -> float:
+def _exact(x, rows, eta, local, many, d, w, grad, info, second) -> float:
     """Exact sums for strata with several events.
 
     The sum over all subsets of d subjects follows a recursion over the
@@ -158,5 +165,7 @@ def _exact(x, rows, eta, local, many, d, w, grad, info) -> float:
         share, mean = w[ids], g[k] / e[k][:, None]
         loglik -= float(share @ np.log(e[k]))
         grad -= share @ mean
-        info += np.einsum("s,sij->ij", share / e[k], h[k]) - (mean * share[:, None]).T @ mean
+        whole = np.einsum("s,sij->ij", share / e[k], h[k])
+        info += whole - (mean * share[:, None]).T @ mean
+        second += np.diag(whole)
     return loglik

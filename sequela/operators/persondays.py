@@ -240,7 +240,7 @@ def level_rates(
 def rr_table(effects: DataFrame, conf: float = 0.95) -> DataFrame:
     """Rate ratios with limits at any level, two decimals, and their text.
 
-    Reference levels have a ratio of 1 and blank limits.
+    Reference levels have a ratio of 1 and blank limits; levels without an estimate have no text.
     """
     q = F.lit(normal_quantile(1 - (1 - conf) / 2))
     ratio = F.round(F.exp("coef"), 2)
@@ -249,9 +249,10 @@ def rr_table(effects: DataFrame, conf: float = 0.95) -> DataFrame:
         value = F.round(F.exp(F.col("coef") + sign * q * F.col("se")), 2)
         return F.when(value.isNotNull(), short_number(value)).otherwise("")
 
-    text = F.concat(
+    shown = F.concat(
         short_number("rate_ratio"), F.lit(" ("), "ci_lower", F.lit(", "), "ci_upper", F.lit(")")
     )
+    text = F.when(F.col("rate_ratio").isNotNull(), shown)
     return effects.withColumns(
         {"rate_ratio": ratio, "ci_lower": limit(-1), "ci_upper": limit(1)}
     ).withColumn("rr_ci", text)

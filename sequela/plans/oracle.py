@@ -8,7 +8,20 @@ from __future__ import annotations
 
 import re
 
+from sequela.config import (
+    HOSP_LEVELS,
+    INFECTION_LEVELS,
+    POSITIVE_LEVELS,
+    PRODUCT_LEVELS,
+    VS_LEVELS,
+    VS_TYPE_LEVELS,
+    dose_level_names,
+)
+from sequela.plans.twinfits import conditional_fits, effects_sql
+
 ORACLES: dict[str, str] = {}
+#: The statements without the tables they use.
+BODIES: dict[str, str] = {}
 
 BEGIN, END, EXTRACT = "DATE '1998-01-01'", "DATE '1998-12-08'", "DATE '1998-12-15'"
 ENDPOINT_CODES = (
@@ -589,8 +602,9 @@ def _needed(sql: str) -> list[str]:
     order: list[str] = []
 
     def visit(text: str, own: str = "") -> None:
+        used = set(re.findall(r"\w+", text))
         for name in CTES:
-            if name != own and name not in order and re.search(rf"\b{name}\b", text):
+            if name != own and name not in order and name in used:
                 visit(CTES[name], name)
                 if name not in order:
                     order.append(name)
@@ -600,6 +614,7 @@ def _needed(sql: str) -> list[str]:
 
 
 def oracle(name: str, sql: str) -> None:
+    BODIES[name] = sql
     parts = []
     for cte in _needed(sql):
         hint = "" if cte in RECURSIVE else " MATERIALIZED"
@@ -942,3 +957,136 @@ oracle("l10_its_steps", f"""SELECT endpoint, start_date, n, {r6('m', 'fit')}, {r
 oracle("b2_report_counts", f"""SELECT endpoint, total_events || ' study events of ' || total_unique_events
   || ' incident people; ' || no_link_to_cohort || ' of them are not in the cohort, and '
   || no_match || ' cases have no control.' AS text FROM ({_ATTRITION})""")
+
+
+# fits with many coefficients
+
+_SIMD = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_BASE = [("n_risk_gps", ()), ("simd", _SIMD), ("n_tests_gp", ())]
+_Z = "1.959963984540054"
+CTES["modelsets"] = """SELECT s.*, c.n_risk_gps, c.simd, c.n_tests_gp, c.diag_chd, c.diag_stroke, c.age_year
+  FROM xsets s LEFT JOIN (SELECT person_id, n_risk_gps, simd, n_tests_gp, diag_chd, diag_stroke, age_year FROM cohort) c USING (person_id)"""
+CTES["hospsets"] = f"SELECT endpoint, case_id, person_id, event, hosp FROM ({BODIES['x4_hospital_status']})"
+CTES["testsets"] = f"SELECT endpoint, case_id, person_id, event, positive_before_event FROM ({BODIES['x5_test_timing']})"
+CTES["bandsets"] = f"SELECT endpoint, case_id, person_id, event, bmi_gp, days_gp FROM ({BODIES['x7_cut_bands']})"
+CTES["fullsets"] = """SELECT m.*, h.hosp, t.positive_before_event, b.bmi_gp, b.days_gp,
+    CAST(m.age_year >= 65 AND m.person_id % 9 = 0 AS BIGINT) AS care_home
+  FROM modelsets m JOIN hospsets h USING (endpoint, case_id, person_id, event)
+  JOIN testsets t USING (endpoint, case_id, person_id, event) JOIN bandsets b USING (endpoint, case_id, person_id, event)"""
+
+
+def _nested(var: str, levels: tuple[str, ...]) -> str:
+    """Counts and odds ratios of the three nested models; the second stands in where the third has no estimate."""
+    mark = f"n_{var}"
+    models = {"1": [(var, levels)], "2": [(var, levels), _BASE[0]], "3": [(var, levels), *_BASE]}
+    CTES.update(conditional_fits(mark, "modelsets", "case_id", models, steps=26))
+    CTES[f"{mark}_effects"] = f"""SELECT endpoint, model, level, {_effect('1.96')} FROM ({effects_sql(mark, models)})
+      WHERE term = '{var}'"""
+    CTES[f"{mark}_shown"] = f"""SELECT * FROM {mark}_effects WHERE model <> '3'
+      UNION ALL SELECT e.* REPLACE ('3' AS model) FROM {mark}_effects e
+        JOIN (SELECT endpoint, CASE WHEN count(p) FILTER (model = '3') > 0 THEN '3' ELSE '2' END AS model
+              FROM {mark}_effects GROUP BY endpoint) w USING (endpoint, model)"""
+    parts = [
+        f"""LEFT JOIN (SELECT endpoint, level AS {var}, {", ".join(f"{c} AS {c}_{m}" for c in ("est", "lcl", "ucl", "p", "converged"))}
+          FROM {mark}_shown WHERE model = '{m}') m{m} USING (endpoint, {var})"""
+        for m in models
+    ]
+    return f"""SELECT * FROM (SELECT endpoint, {var}, count(*) AS n, sum(event)::BIGINT AS events,
+      {r6('sum(event) / count(*)::DOUBLE * 100', 'percent')} FROM xsets GROUP BY endpoint, {var}) c {" ".join(parts)}"""
+
+
+def _effect(z: str) -> str:
+    """Ratio, limits and p value from (b, se); a reference level has b = 0 and no se."""
+    reference = "b = 0 AND se IS NULL"
+    p = normal_p("b / se")
+    return f"""{r6('exp(b)', 'est')}, {r6(f'CASE WHEN {reference} THEN 1 ELSE exp(b - {z} * se) END', 'lcl')},
+      {r6(f'CASE WHEN {reference} THEN 1 ELSE exp(b + {z} * se) END', 'ucl')}, {r6(p, 'p')}, converged"""
+
+
+oracle("l5_nested_models", _nested("vs_type", VS_TYPE_LEVELS))
+oracle("l5_nested_models_product", _nested("vacc_type", PRODUCT_LEVELS))
+
+
+def _text(i: int) -> str:
+    cell = lambda c: f"CASE WHEN {c}_{i} IS NULL THEN 'NA' ELSE printf('%.2f', {c}_{i}) END"
+    return f"concat({cell('est')}, '  ( ', {cell('lcl')}, '  -  ', {cell('ucl')}, ' )') AS or_{i}, p_{i}"
+
+
+def _report(name: str, var: str, hide: bool) -> str:
+    body = BODIES[name]
+    if hide:
+        third = ", ".join(f"CASE WHEN fitted THEN {c}_3 END AS {c}_3" for c in ("est", "lcl", "ucl", "p"))
+        body = f"""SELECT * REPLACE ({third}) FROM (SELECT *, bool_or(est_3 IS DISTINCT FROM est_2) OVER (PARTITION BY endpoint) AS fitted
+          FROM ({body}))"""
+    return f"SELECT endpoint, {var}, n, events, percent, {', '.join(_text(i) for i in (1, 2, 3))} FROM ({body})"
+
+
+oracle("b1_report_table", _report("l5_nested_models", "vs_type", True))
+oracle("b1_report_product", _report("l5_nested_models_product", "vacc_type", False))
+
+_PRODUCT = ("vacc_type", PRODUCT_LEVELS)
+_CANDIDATES = [
+    ("bmi_gp", ("(10,19]", "(19,24]", "(24,29]", "(29,34]", "(34,39]", "(39,50]")),
+    ("days_gp", ("(-1,25]", "(25,50]", "(50,75]", "(75,110]", "(110,400]")),
+    ("hosp", HOSP_LEVELS),
+    ("positive_before_event", POSITIVE_LEVELS),
+    *[(c, ()) for c in ("age_year", "diag_chd", "diag_stroke", "care_home")],
+]
+_SCREEN = {"none": [_PRODUCT, *_BASE]} | {c[0]: [_PRODUCT, *_BASE, c] for c in _CANDIDATES}
+CTES.update(conditional_fits("screen", "fullsets", "case_id", _SCREEN, steps=26))
+oracle("l6_screen_covariates", f"""SELECT endpoint, model AS candidate, term, level, {_effect(_Z)}
+  FROM ({effects_sql('screen', _SCREEN)})""")
+_EXTRA = {
+    "adjusted": [_PRODUCT, *_BASE],
+    "hospital": [_PRODUCT, *_BASE, ("hosp", HOSP_LEVELS)],
+    "chd": [_PRODUCT, *_BASE, ("diag_chd", ())],
+    "stroke": [("vs", VS_LEVELS), *_BASE, ("diag_stroke", ())],
+    "never_positive": [_PRODUCT, *_BASE],
+}
+CTES.update(conditional_fits(
+    "extra", "fullsets", "case_id", _EXTRA, where={"never_positive": "positive_before_event = 'never'"}, steps=26
+))
+oracle("l7_extra_models", f"""SELECT endpoint, model, term, level, {_effect(_Z)} FROM ({effects_sql('extra', _EXTRA)})""")
+
+_PERIODS = ("period", tuple(str(i) for i in range(1, 50)))
+
+
+def _exposures(merged: bool = False) -> list[tuple[str, tuple[str, ...]]]:
+    doses = ("Dose1 ", "Dose2 ")
+    listed = [_listed("PB", doses, merged), _listed("AZ", doses, merged), _listed("infection", ("",), merged)]
+    first = (dose_level_names("PB")[0], dose_level_names("AZ")[0], INFECTION_LEVELS[0])
+    return [(c, (f, *names)) for c, f, names in zip(("expgr", "expgr2", "expgr3"), first, listed)]
+
+
+for _mark, _merged in (("pdfold", False), ("pdmerged", True)):
+    _of = _merge if _merged else str
+    CTES[_mark] = f"""SELECT endpoint, person_id, {_of('expgr')} AS expgr, {_of('expgr2')} AS expgr2, {_of('expgr3')} AS expgr3, period,
+      event, count(*) AS cnt FROM (SELECT endpoint, person_id, expgr, expgr2, expgr3, period, event FROM panel) GROUP BY ALL"""
+
+
+def _days_fit(mark: str, source: str, terms: list) -> dict:
+    models = {"+".join(t for t, _ in terms): terms}
+    CTES.update(conditional_fits(mark, source, "person_id", models, count="cnt"))
+    return models
+
+
+_COEFS = f"model, {r6('b', 'coef')}, {r6('se', 'se')}, {r6(normal_p('b / se'), 'p')}, converged"
+_ONE = _days_fit("pdone", "pdfold", [_exposures()[0], _PERIODS])
+oracle("p9_pd_model", f"""SELECT d.* REPLACE (round(d.rate_week, 6) + 0.0 AS rate_week), {_COEFS} FROM (
+    SELECT endpoint, 'expgr' AS term, expgr AS level, sum(event * cnt)::BIGINT AS event, sum(cnt)::BIGINT AS personday,
+      sum(event * cnt) / sum(cnt)::DOUBLE * 7 AS rate_week FROM pdfold GROUP BY ALL
+    UNION ALL SELECT endpoint, 'period', CAST(period AS VARCHAR), sum(event * cnt)::BIGINT, sum(cnt)::BIGINT,
+      sum(event * cnt) / sum(cnt)::DOUBLE * 7 FROM pdfold GROUP BY ALL) d
+  LEFT JOIN ({effects_sql('pdone', _ONE)}) USING (endpoint, term, level)""")
+_JOINT = _days_fit("pdjoint", "pdfold", [*_exposures(), _PERIODS])
+oracle("p10_pd_model_joint", f"""SELECT d.* REPLACE (round(d.rate_week, 6) + 0.0 AS rate_week), {_COEFS}
+  FROM ({_level_rates("panel")}) d LEFT JOIN ({effects_sql('pdjoint', _JOINT)}) USING (endpoint, term, level)""")
+_WIDE = _days_fit("pdwide", "pdmerged", [*_exposures(True), _PERIODS])
+_SHORT = "regexp_replace(printf('%.2f', {0}), '\\.?0+$', '')"
+oracle("p11_rr_table", f"""SELECT endpoint, term, level, event, personday, rate_week, {r6('rate_ratio', 'rate_ratio')}, ci_lower, ci_upper,
+    {_SHORT.format('rate_ratio')} || ' (' || ci_lower || ', ' || ci_upper || ')' AS rr_ci, p, converged FROM (
+  SELECT d.* REPLACE (round(d.rate_week, 6) + 0.0 AS rate_week), round(exp(b), 2) AS rate_ratio,
+    CASE WHEN se IS NULL THEN '' ELSE {_SHORT.format(f'exp(b - {_Z} * se)')} END AS ci_lower,
+    CASE WHEN se IS NULL THEN '' ELSE {_SHORT.format(f'exp(b + {_Z} * se)')} END AS ci_upper,
+    {r6(normal_p('b / se'), 'p')}, converged
+  FROM ({_level_rates("panel", merged=True)}) d LEFT JOIN ({effects_sql('pdwide', _WIDE)}) USING (endpoint, term, level))""")

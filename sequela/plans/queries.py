@@ -50,7 +50,8 @@ DIGITS, FITTED_DIGITS = 8, 6
 FITTED = {
     "r8_simulate_oe", "r9_oe_interval", "r10_oe_interval_overall", "r11_oe_table", "r12_dose2_incidence",
     "r13_crude_rate", "l2_clogit", "l2_clogit_product", "l3_clogit_exact", "l3_clogit_exact_risk",
-    "l4_effect_table", "l8_lr_test", "l9_effectiveness", "l10_its_steps", "k5_sccs_fit", "p9_pd_model_binary",
+    "l4_effect_table", "l8_lr_test", "l9_effectiveness", "l10_its_steps", "k5_sccs_fit", "p9_pd_model_binary", "l5_nested_models", "l5_nested_models_product", "l6_screen_covariates",
+    "l7_extra_models", "p9_pd_model", "p10_pd_model_joint", "p11_rr_table", "b1_report_table", "b1_report_product",
 }
 
 

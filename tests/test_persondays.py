@@ -121,7 +121,7 @@ def test_rate_ratio_text(spark):
     got = {r.level: r for r in persondays.rr_table(coefs).collect()}
     assert got["ref"].rr_ci == "1 (, )"
     assert got["x"].rr_ci == "2 (0.75, 5.33)"
-    assert got["none"].rate_ratio is None
+    assert got["none"].rate_ratio is None and got["none"].rr_ci is None
 
 
 def test_levels_of_one_exposure_add_up_to_the_periods(spark):
