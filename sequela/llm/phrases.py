@@ -37,7 +37,7 @@ BUDGET, GROUPS = 1 << 20, 1 << 16
 #: Bits of the filters.
 FILTER_BITS = 1 << 25
 #: Bytes of text that are counted at once in a task.
-BYTES = 1 << 24
+BYTES = 1 << 22
 SPREAD = 64
 
 _LETTER, _SPACE, _BREAK = 0, 1, 2
@@ -50,6 +50,14 @@ _LOWER[0x41:0x5B] += 0x20
 COUNTS = "lang string, phrase binary, n long"
 
 
+def _runs(letter: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words, and the bytes after their last ones."""
+    begins, ends = letter.copy(), letter.copy()
+    begins[1:] &= ~letter[:-1] | fresh[1:-1]
+    ends[:-1] &= ~letter[1:] | fresh[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 class Slice:
     """Words of some texts: numbers of distinct (lang, word), and pieces.
 
@@ -66,20 +74,19 @@ class Slice:
         raw = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
         cuts = offsets[:-1].astype(np.int64) - first
         kind = _KIND[raw]
-        letter = kind == _LETTER
-        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins
+        fresh = np.zeros(len(raw) + 1, bool)  # where a text begins, or all texts have ended
         fresh[cuts] = True
-        fresh = fresh[:-1]
-        begins = letter.copy()
-        begins[1:] &= ~letter[:-1] | fresh[1:]
-        at = np.flatnonzero(begins)
-        breaks = np.cumsum((kind == _BREAK) | fresh, dtype=np.int32)
-        self.piece = breaks[at]
+        fresh[-1] = True
+        letter = kind == _LETTER
+        at, end = _runs(letter, fresh)
+        self.piece = np.searchsorted(np.flatnonzero((kind == _BREAK) | fresh[:-1]), at, "right")
         text = np.searchsorted(cuts, at, "right") - 1
-        place = np.cumsum(letter, dtype=np.int32) - letter  # letters before each byte
-        bounds = np.append(place[at], letter.sum()).astype(np.int32)
+        bounds = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(end - at, out=bounds[1:])
+        letters = _LOWER[raw[letter]]
+        del kind, letter, fresh
         words = pa.BinaryArray.from_buffers(
-            pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(_LOWER[raw[letter]])]
+            pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]
         ).dictionary_encode()
         self.distinct = words.dictionary
         width = max(len(self.distinct), 1)
@@ -171,6 +178,10 @@ def suffix_rows(part: Slice, words: np.ndarray, pairs: np.ndarray) -> Iterator[p
     yield part.batch([first[lead], second[lead], third, fourth], n)
 
 
+def _one(arrays: list[pa.Array]) -> pa.Array:
+    return arrays[0] if len(arrays) == 1 else pa.concat_arrays(arrays)
+
+
 def _counted(docs: DataFrame, rows: Callable[[Slice], Iterator[pa.RecordBatch]]) -> DataFrame:
     """Rows (lang, phrase, n) that ``rows`` makes of slices of the texts."""
     picked = docs.select(
@@ -183,13 +194,12 @@ def _counted(docs: DataFrame, rows: Callable[[Slice], Iterator[pa.RecordBatch]])
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            langs = pa.concat_arrays([b.column(0) for b in held])
-            texts = pa.concat_arrays([b.column(1) for b in held])
+            langs, texts = (_one([b.column(i) for b in held]) for i in range(2))
+            held.clear()
             first = 0
             for some in text_slices(texts, BYTES):
                 yield from rows(Slice(langs[first : first + len(some)], some))
                 first += len(some)
-            held.clear()
 
         for batch in batches:
             if batch.num_rows:
