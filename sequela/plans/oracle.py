@@ -1066,7 +1066,7 @@ for _mark, _merged in (("pdfold", False), ("pdmerged", True)):
 
 def _days_fit(mark: str, source: str, terms: list) -> dict:
     models = {"+".join(t for t, _ in terms): terms}
-    CTES.update(conditional_fits(mark, source, "person_id", models, count="cnt"))
+    CTES.update(conditional_fits(mark, source, "person_id", models, count="cnt", steps=26))
     return models
 
 

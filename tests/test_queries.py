@@ -15,7 +15,7 @@ COMPARED = (
     "x4_hospital_status", "r6_expected_events", "r8_simulate_oe", "r12_dose2_incidence", "l2_clogit",
     "k4_sccs_rates", "k6_time_split", "k10_label_sccs", "p8_level_rates", "f6_hospital_summary",
     "o1_cooccurrence", "q4_daily_series", "b2_report_counts", "p9_pd_model_binary", "p8_merged_rates",
-    "p12_event_days", "k4_never_exposed_rates", "k4_level_rates", "q3_count_by_dose_date", "l9_effectiveness",
+    "l5_nested_models_product", "l10_its_steps", "p11_rr_table", "p12_event_days", "k4_never_exposed_rates", "k4_level_rates", "q3_count_by_dose_date", "l9_effectiveness",
 )
 
 
