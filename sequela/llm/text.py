@@ -103,6 +103,31 @@ def map_columns(
     return picked.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
+def keep_rows(
+    df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[..., Sequence[bool]]], size: int = 1 << 22
+) -> DataFrame:
+    """The rows of ``df`` for which a function in Python holds; the last of ``inputs`` is a text.
+
+    ``make()`` is called once in a task. What it returns gets the inputs of some rows, whose texts have about ``size``
+    bytes, as lists. Other columns stay in Arrow, and rows that go are not sent back.
+    """
+    at = [df.columns.index(c) for c in inputs]
+    names = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            first = 0
+            for texts in text_slices(batch.column(at[-1]), size):
+                some = batch.slice(first, len(texts))
+                first += len(texts)
+                holds = f(*[some.column(i).to_pylist() for i in at])
+                yield some.filter(pa.array(holds, pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def text_slices(texts: pa.StringArray, size: int = 1 << 24) -> Iterator[pa.StringArray]:
     """The texts, nulls as empty ones, in slices of about ``size`` bytes."""
     texts = pc.fill_null(texts, "")
