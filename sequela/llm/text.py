@@ -104,7 +104,7 @@ def map_columns(
 
 
 def keep_rows(
-    df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[..., Sequence[bool]]], size: int = 1 << 22
+    df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable[..., Sequence[bool]]], size: int = 1 << 20
 ) -> DataFrame:
     """The rows of ``df`` for which a function in Python holds; the last of ``inputs`` is a text.
 
