@@ -44,7 +44,7 @@ _HEAD, _DOC = "<QI", "<qBBI"
 _ODD = "[ \\n] |[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 MANIFEST = "shard long, file string, records long, ids long"
-READ = "shard long, doc_id long, n_tokens long, inside long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def masked(crc: int) -> int:
@@ -228,31 +228,35 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Records of the manifest's shards, read by their indexes; ``inside``: ids before, in the shard."""
+    """Records of the manifest's shards, read by their indexes; ``start``: ids before, of all shards.
+
+    The reader gets a shard's start with its file name, so no join of the records follows.
+    """
+    placed = manifest.select("shard", "file").join(running_totals(manifest, [], "shard", "ids"), "shard")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, where = opened(folder)
         for shards in frames:
-            for shard, name in zip(shards["shard"], shards["file"]):
+            for name, start in zip(shards["file"], shards["before"]):
                 with fs.open_input_stream(f"{where}/{name}.idx") as f:
                     index = np.frombuffer(f.read(), "<u8").reshape(-1, 2)
-                rows, inside = [], 0
+                rows = []
                 with fs.open_input_file(f"{where}/{name}.rec") as f:
                     for offset, length in index.tolist():
                         doc_id, ids = unframe(f.read_at(length, offset))
-                        rows.append((shard, doc_id, len(ids), inside, zlib.crc32(ids.astype("<u4").tobytes())))
-                        inside += len(ids)
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        start += len(ids)
                         if len(rows) == 10_000:
                             yield _rows(rows)
                             rows = []
                 yield _rows(rows)
 
     shards = max(1, manifest.count())
-    return manifest.select("shard", "file").repartition(shards, "shard").mapInPandas(read, READ)
+    return placed.repartition(shards, "shard").mapInPandas(read, READ)
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["shard", "doc_id", "n_tokens", "inside", "ids_crc32"])
+    frame = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
     return frame.astype({"doc_id": "Int64"})
 
 
@@ -261,9 +265,4 @@ def token_records(docs: DataFrame, tokenizer: str, folder: str | None = None) ->
     spark: SparkSession = docs.sparkSession
     folder = folder or new_folder(spark, "records")
     manifest = write_records(docs, folder, tokenizer)
-    before = running_totals(manifest, [], "shard", "ids")
-    return (
-        read_records(manifest, folder)
-        .join(before, "shard")
-        .select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
-    )
+    return read_records(manifest, folder)
