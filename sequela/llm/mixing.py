@@ -159,9 +159,9 @@ def _pieces(sized: DataFrame, plan: list[dict], block: int, seed: int) -> DataFr
     """Runs of words by (source_id, block): block_pos, row, word_from, n_words.
 
     A source's documents lie one after the other by bucket, a hash of the id, so that the running
-    sums of one source are spread over many windows.
+    sums of one source are spread over many windows, those of one id included.
     """
-    bucket = F.pmod(F.xxhash64(F.coalesce("doc_id", "row"), F.lit(seed)), F.lit(BUCKETS))
+    bucket = F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), F.lit(BUCKETS))
     docs = with_source(sized.filter("size > 0"), plan).withColumn("bucket", bucket)
     inside = (
         W.partitionBy("source_id", "bucket")
@@ -302,24 +302,26 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     are joined by one space, in their order. ``n_chars``, where there is one, is counted anew. What
     the mix does not take, and texts without words, are left out.
     """
-    kept = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-docs")
-    sized = kept.select(F.col("_row").alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    own = {c: f"own{i}" for i, c in enumerate(docs.columns)}  # the table's columns may have any names
+    kept = stage(docs.toDF(*own.values()).withColumn("row", F.monotonically_increasing_id()), "mix-docs")
+    whole = F.col(own["text"])
+    sized = kept.select(
+        "row", F.col(own["doc_id"]).alias("doc_id"), F.col(own["source"]).alias("source"), word_count(whole).alias("size")
+    )
     defaults = {"weights": WEIGHTS, "share": SHARE, "max_passes": MAX_PASSES, "block": BLOCK, "slots": SLOTS, "seed": SEED}
     mixed = _mix_sized(stage(sized, "sized"), **(defaults | options))
     # a document's spans are bounded by its own length
     passes = mixed.spans.groupBy("row", "pass_no").agg(
         F.sum("n_words").alias("n"), F.sort_array(F.collect_list(F.struct("word_from", "n_words"))).alias("spans")
     )
-    joined = kept.join(passes.withColumnRenamed("row", "_row"), "_row").withColumn("_words", words(F.col("text")))
+    joined = kept.join(passes, "row").withColumn("words", words(whole))
     part = F.array_join(
         F.flatten(
-            F.transform("spans", lambda s: F.slice("_words", (s["word_from"] + 1).cast("int"), s["n_words"].cast("int")))
+            F.transform("spans", lambda s: F.slice("words", (s["word_from"] + 1).cast("int"), s["n_words"].cast("int")))
         ),
         " ",
     )
-    text = F.when(F.col("n") == F.size("_words"), F.col("text")).otherwise(part)
-    out = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.length("text").cast(kind))
-    return out.select(*docs.columns)
+    out = joined.withColumn(own["text"], F.when(F.col("n") == F.size("words"), whole).otherwise(part))
+    if "n_chars" in own:
+        out = out.withColumn(own["n_chars"], F.length(whole).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(new).alias(c) for c, new in own.items()])
