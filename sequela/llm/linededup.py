@@ -202,15 +202,21 @@ def _removed(lines: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines taken out of their texts; ``n_chars``, if any, is counted anew."""
-    kept = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "dedup-docs")
-    spans = _removed(line_table(kept, F.col("_row"))).select(F.col("row").alias("_row"), F.col("removed").alias("_gone"))
-    text = F.split("text", "\n", -1)
-    begins = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda s: s["last"] + 1))
-    ends = F.concat(F.transform("_gone", lambda s: s["first"]), F.array(F.size(text)))
-    left = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a)))
-    out = kept.join(spans, "_row").withColumn("_lines", text)
-    out = out.withColumn("text", F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """``docs`` with the repeated lines taken out of their texts; ``n_chars``, if any, is counted anew.
+
+    The table's own columns may have any names: they are renamed by place while the lines meet them.
+    """
+    own = {c: f"own{i}" for i, c in enumerate(docs.columns)}
+    named = docs.toDF(*own.values()).withColumn("row", F.monotonically_increasing_id())
+    kept = stage(named, "dedup-docs")
+    texts = kept.select(F.col("row"), F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text"))
+    spans = _removed(line_table(texts, F.col("row"))).select("row", "removed")
+    text = F.col(own["text"])
+    begins = F.concat(F.array(F.lit(0)), F.transform("removed", lambda s: s["last"] + 1))
+    ends = F.concat(F.transform("removed", lambda s: s["first"]), F.array(F.size("lines")))
+    left = F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(F.col("lines"), a + 1, b - a)))
+    out = kept.join(spans, "row").withColumn("lines", F.split(text, "\n", -1))
+    out = out.withColumn(own["text"], F.when(F.size("removed") == 0, text).otherwise(F.array_join(left, "\n")))
+    if "n_chars" in own:
+        out = out.withColumn(own["n_chars"], F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(new).alias(c) for c, new in own.items()])
