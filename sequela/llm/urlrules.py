@@ -1,8 +1,10 @@
 """URL filters: fixed host and path rules, then mined association rules (DataFrame functions only).
 
 URLs of labelled pages become sets of tokens with their label. FP-growth mines frequent
-combinations, and combinations that imply a bad label often enough become rules. Rules are found
-by an inverted index from their rarest token, and checked against the whole token set of a URL.
+combinations, and combinations that imply a bad label often enough become rules. Tokens that occur
+in the same labelled URLs are one item while it mines, so a template of many tokens costs no more
+than one of them. Rules are found by an inverted index from their rarest item, and checked against
+the whole token set of a URL.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ RULES = (
 )
 
 MIN_SUPPORT = 0.0005  # share of the labelled URLs that a rule's tokens and label must occur in
+MIN_COUNT = 2  # labelled URLs that a rule's tokens and label must occur in, however few there are
 MIN_CONFIDENCE = 0.8  # share of bad labels among the URLs that a rule matches
 BAD, GOOD = "label=bad", "label=good"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -62,33 +65,61 @@ def page_number(url: Column) -> Column:
     return F.nullif(F.regexp_extract(path(url), r"/(\d{1,18})(?:\.[a-z]+)?/?$", 1), F.lit("")).cast("long")
 
 
+def token_classes(sets: DataFrame) -> DataFrame:
+    """A row per class of tokens that occur in the same baskets: name (its first token), members.
+
+    ``sets``: basket (a number), tokens. Equal sets of baskets are told by their size and the sum of two hashes.
+    """
+    hashes = [F.sum(F.pmod(F.xxhash64("basket", F.lit(k)), F.lit(1 << 40))).alias(f"h{k}") for k in (1, 2)]
+    by_token = sets.select("basket", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *hashes)
+    grouped = by_token.groupBy("n", "h1", "h2").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    return grouped.select(F.element_at("members", 1).alias("name"), "members", "n")
+
+
 def mine(
     urls: DataFrame,
     labels: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
+    min_count: int = MIN_COUNT,
 ) -> DataFrame:
-    """Rules (rule: sorted tokens, confidence, support) that imply a bad label.
+    """Rules (rule, confidence, support) that imply a bad label.
 
-    ``urls``: url; ``labels``: number, bad. A rule that holds all tokens of another one with at
-    least its confidence says nothing more, and is left out. Without labelled URLs there are none.
+    ``urls``: url; ``labels``: number, bad. ``rule`` is an array of items, each an array of tokens of
+    which a URL must have one: those of an item occur in the same labelled URLs. A rule that holds all
+    items of another one with at least its confidence says nothing more, and is left out. So is a rule
+    of fewer than ``min_count`` URLs. Without labelled URLs there are none.
     """
     spark = urls.sparkSession
     known = labels.filter("number is not null and bad is not null").groupBy("number").agg(F.max("bad").alias("bad"))
     sets = urls.select(tokens(F.col("url")).alias("tokens"), page_number(F.col("url")).alias("number"))
     labelled = sets.filter(F.size("tokens") > 0).join(known, "number")
-    items = F.concat("tokens", F.array(F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))))
-    baskets = stage(labelled.select(items.alias("items")), "baskets")
-    if baskets.isEmpty():
-        return spark.range(0).select(
-            F.array(F.col("id").cast("string")).alias("rule"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")
-        )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    labelled = stage(labelled.select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad"), "labelled")
+    total = labelled.count()
+    none = spark.range(0).select(
+        F.array(F.array(F.col("id").cast("string"))).alias("rule"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("support")
+    )
+    if not total:
+        return none
+    support = max(min_support, min_count / total)
+    if support > 1:
+        return none
+    # a token in too few baskets is in no frequent set
+    classes = stage(token_classes(labelled).filter(F.col("n") >= support * total - 1e-6), "classes")
+    # one token of a class stands in a basket for all of them
+    few = classes.select(F.col("name").alias("token"))
+    items = labelled.select("basket", "bad", F.explode("tokens").alias("token")).join(few, "token")
+    label = F.when(F.col("bad"), F.lit(BAD)).otherwise(F.lit(GOOD))
+    rest = labelled.select("basket", "bad").groupBy("basket", "bad").agg(F.lit(None).cast("string").alias("token"))
+    whole = items.select("basket", "bad", "token").unionByName(rest).groupBy("basket", "bad").agg(F.collect_set("token").alias("items"))
+    baskets = stage(whole.select(F.concat("items", F.array(label)).alias("items")), "baskets")
+    # the share is rounded down a little, so that a count that equals the bound is not lost
+    model = FPGrowth(itemsCol="items", minSupport=support * (1 - 1e-9), minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.filter(
         (F.element_at("consequent", 1) == BAD) & ~F.array_contains("antecedent", GOOD)
     ).select(F.array_sort("antecedent").alias("rule"), "confidence", "support")
     rules = stage(rules, "rules")
-    # a rule's proper subsets are found by leaving out one token at a time: subsets of a frequent
+    # a rule's proper subsets are found by leaving out one item at a time: subsets of a frequent
     # set are frequent, so a better one, if any, is reached step by step
     fewer = rules.select(
         F.explode(F.transform("rule", lambda x: F.array_remove("rule", x))).alias("part"),
@@ -96,18 +127,23 @@ def mine(
         F.col("confidence").alias("own"),
     )
     beaten = fewer.join(rules.select(F.col("rule").alias("part"), "confidence"), "part").filter("confidence >= own")
-    return rules.join(beaten.select("rule").distinct(), "rule", "left_anti")
+    kept = rules.join(beaten.select("rule").distinct(), "rule", "left_anti")
+    members = kept.select("rule", "confidence", "support", F.explode("rule").alias("name")).join(classes, "name")
+    return members.groupBy("rule", "confidence", "support").agg(F.array_sort(F.collect_list("members")).alias("items")).select(
+        F.col("items").alias("rule"), "confidence", "support"
+    )
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """The token sets (column tokens) that some rule matches, once each."""
-    rarity = rules.select(F.explode("rule").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    by_token = rules.select("rule", F.explode("rule").alias("token")).join(rarity, "token")
-    index = by_token.groupBy("rule").agg(F.min(F.struct("n", "token")).alias("k")).select("rule", F.col("k.token").alias("token"))
+    by_item = rules.select("rule", F.explode("rule").alias("item"))
+    rarity = by_item.groupBy("item").agg(F.count("*").alias("n"))
+    index = by_item.join(rarity, "item").groupBy("rule").agg(F.min(F.struct("n", "item")).alias("k"))
+    listed = index.select("rule", F.explode("k.item").alias("token"))
     return (
         sets.select("tokens", F.explode("tokens").alias("token"))
-        .join(index, "token")
-        .filter(F.size(F.array_except("rule", "tokens")) == 0)
+        .join(listed, "token")
+        .filter(F.forall("rule", lambda item: F.arrays_overlap(item, "tokens")))
         .select("tokens")
         .distinct()
     )

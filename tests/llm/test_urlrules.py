@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,7 +80,25 @@ def test_mined_verdicts_equal_all_subsets(spark):
     got = {r.page_id: r.verdict for r in U.judge(pages, mined, rules=()).collect()}
     assert got == want and set(want.values()) == {"allow", "block"}
     for r in mined.collect():
-        assert r.confidence == pytest.approx(rules[tuple(r.rule)])
+        for rule in product(*r.rule):  # any token of an item stands for the others
+            assert r.confidence == pytest.approx(rules[tuple(sorted(rule))])
+
+
+def test_a_template_of_many_names_is_one_item(spark):
+    names = "&".join(f"name{k}=1" for k in range(40))
+    urls = [(i, f"http://a.com/{i}?{names}" if i % 4 == 0 else f"http://a.com/{i}?x=1") for i in range(40)]
+    pages = spark.createDataFrame([*urls, (99, "http://b.com/x?name7=2"), (100, "http://b.com/x?other=2")], "page_id long, url string")
+    table = spark.createDataFrame([(i, i % 4 == 0) for i in range(40)], "number long, bad boolean")
+    mined = U.mine(pages, table).collect()
+    assert [len(r.rule) for r in mined] == [1] and sum("q:name" in t for t in mined[0].rule[0]) == 40
+    verdicts = {r.page_id: r.verdict for r in U.judge(pages, U.mine(pages, table), rules=()).collect()}
+    assert verdicts == {i: "block" if i % 4 == 0 and i < 40 or i == 99 else "allow" for i in [*range(40), 99, 100]}
+
+
+def test_a_single_labelled_url_makes_no_rule(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/1?x=1"), (2, "http://b.com/2")], "page_id long, url string")
+    assert U.mine(pages, spark.createDataFrame([(1, True), (2, False)], "number long, bad boolean")).collect() == []
+    assert U.mine(pages, spark.createDataFrame([(1, True)], "number long, bad boolean")).collect() == []
 
 
 def test_empty_tables_and_equal_rows(spark, none):
