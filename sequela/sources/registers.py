@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+ROWS_PER_FILE = 5_000_000  # of a stage, at most
+
 
 def load_register(
     spark: SparkSession, path: str, columns: Mapping[str, str], id_col: str
@@ -33,10 +35,17 @@ def positive_test_days(tests: DataFrame, positive: str = "POSITIVE") -> DataFram
     )
 
 
-def write_stage(df: DataFrame, path: str) -> str:
-    """Write a stage, with one folder per endpoint where rows have one."""
+def write_stage(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Write a stage, with one folder per endpoint where rows have one.
+
+    Rows meet by endpoint before they are written, so the number of files follows from the endpoints
+    and the bytes, not from the tasks. Adaptive execution splits an endpoint that is larger than its
+    advisory partition size over several tasks and lets small ones share a task; no file holds more
+    than ``rows_per_file`` rows.
+    """
     folders = [c for c in df.columns if c == "endpoint"]
-    df.write.mode("overwrite").partitionBy(*folders).parquet(path)
+    dealt = df.hint("rebalance", *[F.col(c) for c in folders]) if folders else df
+    dealt.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*folders).parquet(path)
     return path
 
 
