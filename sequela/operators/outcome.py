@@ -43,6 +43,11 @@ def trim_future(
     return ev.filter(F.col("start_date") <= limit)
 
 
+def with_listed_codes(ev: DataFrame, endpoints: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Events whose code belongs to some endpoint, each once."""
+    return ev.filter(F.col("code").isin(*{code: None for codes in endpoints.values() for code in codes}))
+
+
 def resolve_endpoints(ev: DataFrame, endpoints: Mapping[str, Sequence[str]]) -> DataFrame:
     """Fan each event out to the endpoints its code belongs to.
 

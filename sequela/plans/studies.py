@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from datetime import date
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sequela.config import StudyParams
@@ -67,16 +67,28 @@ class Study:
 
     @cached_property
     def consults(self) -> DataFrame:
-        """The cleaned register; its events, prior events and last day are all read from it."""
-        return stage(outcome.trim_future(self.reg.consultations(), today=self.p.extract))
+        """The cleaned register, as it is read."""
+        return outcome.trim_future(self.reg.consultations(), today=self.p.extract)
+
+    @cached_property
+    def coded(self) -> tuple[DataFrame, date | None]:
+        """The cleaned register's rows of listed codes, staged, and the last day of all its rows.
+
+        The day is observed while the rows are written, so the register is read once and only what
+        the endpoints need is written.
+        """
+        seen = Observation("register")
+        whole = self.consults.observe(seen, F.max("start_date").alias("latest"))
+        listed = stage(outcome.with_listed_codes(whole, self.p.endpoint_codes()))
+        return listed, seen.get["latest"]
 
     @cached_property
     def latest(self) -> Column:
-        return outcome.latest_start(self.consults)
+        return F.lit(self.coded[1]).cast("date")
 
     @cached_property
     def events(self) -> DataFrame:
-        return outcome.resolve_endpoints(self.consults, self.p.endpoint_codes())
+        return outcome.resolve_endpoints(self.coded[0], self.p.endpoint_codes())
 
     @cached_property
     def in_window(self) -> DataFrame:

@@ -1,8 +1,11 @@
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from sequela.operators import outcome
+from sequela.plans.studies import Study
+from sequela.sources.testdata import STUDY
 
 D = date
 EV = "endpoint string, person_id long, start_date date, code string, age int, sex string"
@@ -96,3 +99,23 @@ def test_analysis_set_takes_the_first_test_in_the_window(spark, collect):
     assert collect(got, "person_id", "death_date", "specimen_date") == [
         (1, D(2021, 8, 1), D(2021, 4, 1))
     ]
+
+
+def test_the_last_day_is_of_the_whole_register(spark, collect):
+    """Rows of other codes are not staged, but their days count for the reporting lag."""
+    ev = spark.createDataFrame(
+        [(1, D(2021, 1, 1), "a"), (2, D(2021, 1, 20), "b"), (3, D(2021, 2, 1), "other"), (4, D(2021, 6, 1), "a"), (5, D(2021, 1, 5), None)],
+        "person_id long, start_date date, code string",
+    )
+
+    class Register:
+        def consultations(self):
+            return ev
+
+    p = replace(STUDY, extract=D(2021, 3, 1), endpoint_names=("x", "y"), endpoint_groups={"x": ("a", "b"), "y": ("b",)})
+    study = Study(Register(), p)
+    coded, latest = study.coded
+    assert latest == D(2021, 2, 1) and collect(coded, "person_id") == [(1,), (2,)]
+    assert collect(study.events, "endpoint", "person_id") == [("x", 1), ("x", 2), ("y", 2)]
+    none = Study(type("Empty", (), {"consultations": lambda self: ev.limit(0)})(), p)
+    assert none.coded[1] is None and none.in_window.count() == 0
