@@ -102,3 +102,12 @@ def test_odd_rows(odd, documents):
     line = " ".join("abcdefghijkl")
     one = L.repeated_lines(documents([(1, "\n".join([line] * 5))])).collect()[0]
     assert one.n_removed == 4 and [tuple(s) for s in one.removed] == [(1, 4)]
+
+
+def test_documents_may_have_the_operator_own_column_names(documents):
+    names = ("row", "removed", "lines", "_row", "_gone", "own0")
+    long = " ".join(f"w{i}" for i in range(60))
+    docs = documents([(i, f"head {i}\n{long}\ntail {i}", "en", "s", 1, *"uvwxyz") for i in range(3)], extra=names)
+    got = {r.doc_id: r for r in L.without_repeats(docs).collect()}
+    assert long in got[0].text and got[1].text == "head 1\ntail 1" and got[1].n_chars == len(got[1].text)
+    assert all(tuple(r[c] for c in names) == tuple("uvwxyz") for r in got.values())

@@ -116,3 +116,11 @@ def test_too_many_sources_are_refused(documents, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
     with pytest.raises(ValueError, match="sources"):
         mixing.mix(documents([(i, "x", "en", f"s{i}") for i in range(3)]))
+
+
+def test_documents_may_have_the_mix_own_column_names(documents):
+    names = ("n", "spans", "pass_no", "row", "words", "_row")
+    docs = documents([(i, f"a{i} b c", "en", f"s{i % 3}", 8, *"uvwxyz") for i in range(30)], extra=names)
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns and out.count() > 0
+    assert {tuple(r[c] for c in names) for r in out.collect()} == {tuple("uvwxyz")}
