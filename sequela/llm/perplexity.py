@@ -1,8 +1,9 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands per language.
 
-The models are counted by Spark on a bounded sample of documents that are labelled good, two of
-each language, each on half of its sample. Each order is a pair of arrays, n-gram hashes in
-ascending order and their probabilities, which tasks search by bisection. A document is rejected where
+``judge_all`` and ``keep_all`` count the models on all documents that are labelled good, two of each
+language, each on half of its texts. Models stay tables of n-gram hashes, which the n-grams of all texts
+meet by joins. ``fit`` and ``judge`` are the same for a bounded sample, whose models are pairs of arrays,
+n-gram hashes in ascending order and their probabilities, which tasks search by bisection. A document is rejected where
 both models put its perplexity above its language's band, or both below, or where a plain rule fails. A
 copy of a counted text is known to one half only, so it is judged like any other; the perplexity
 returned is that under the half to which a text is stranger. Plain rules and perplexity cover every word of every text.
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequela.llm.text import byte_words, keep_rows, map_columns, words
+from sequela.llm.text import byte_words, coded_words, keep_rows, map_columns, text_slices, words
 from sequela.sources.stages import stage
 
 #: Fixed values of the plain rules.
@@ -123,6 +125,14 @@ def unlike(texts: DataFrame) -> DataFrame:
     Texts that have one of ``SKETCH`` smallest hashes of their runs of words in common count as near
     copies, and of those with a hash in common the text with the smallest hash of its own stays.
     """
+    one, sketches = _sketches(texts)
+    first = sketches.groupBy("lang", "k", "least").agg(F.min("own").alias("first"))
+    gone = sketches.join(first, ["lang", "k", "least"]).filter("own != first").select("lang", "own").distinct()
+    return one.join(gone, ["lang", "own"], "left_anti").select("lang", "text")
+
+
+def _sketches(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The distinct texts (lang, own, text), and the smallest hashes of each: lang, own, k, least."""
     one = texts.groupBy("lang", F.xxhash64("text").alias("own")).agg(F.first("text").alias("text"))
     w = words(F.col("text"))
     runs = F.transform(
@@ -136,10 +146,7 @@ def unlike(texts: DataFrame) -> DataFrame:
     least = F.array(*[smallest(k) for k in range(SKETCH)])
     one = stage(one, "unlike-texts")
     sketches = one.withColumn("w", w).select("lang", "own", runs.alias("runs")).select("lang", "own", F.posexplode(least).alias("k", "least"))
-    sketches = stage(sketches, "sketches")
-    first = sketches.groupBy("lang", "k", "least").agg(F.min("own").alias("first"))
-    gone = sketches.join(first, ["lang", "k", "least"]).filter("own != first").select("lang", "own").distinct()
-    return one.join(gone, ["lang", "own"], "left_anti").select("lang", "text")
+    return one, stage(sketches, "sketches")
 
 
 def ngram_counts(sample: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -419,3 +426,218 @@ def keep_good(docs: DataFrame, models: dict[str, Judge]) -> DataFrame:
         return lambda langs, texts: _judged([NO_LANG if x is None else x for x in langs], texts, shared.value)[-1]
 
     return keep_rows(docs, ["lang", "text"], make)
+
+
+# --- models of all labelled texts -----------------------------------------------------------
+
+GRAMS = "t long, lang long, a long, b long, v long, w long, g long"
+STEP = 4  # decimals to which values are rounded whose medians and quantiles are taken
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+
+
+def text_key() -> Column:
+    """Key of a text in its language; equal texts of a language have one key, null ones none."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64(language_key(), F.col("text")))
+
+
+def language_key(half: Column | int = 0) -> Column:
+    """Key of a language, or of the model of one of its halves: the last bit is the half's number."""
+    name = F.coalesce(F.col("lang"), F.lit(NO_LANG))
+    return F.xxhash64(name).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(half) if isinstance(half, int) else half)
+
+
+def halved(texts: DataFrame) -> DataFrame:
+    """The distinct texts (lang, text) with ``half``; near copies fall in one half, and none is left out.
+
+    Sketches are those of ``unlike``: a text goes where the smallest text goes that it meets by one of them.
+    """
+    one, sketches = _sketches(texts)
+    first = sketches.groupBy("lang", "k", "least").agg(F.min("own").alias("first"))
+    lead = sketches.join(first, ["lang", "k", "least"]).groupBy("lang", "own").agg(F.min("first").alias("lead"))
+    half = F.pmod(F.xxhash64("lead", F.lit(5)), F.lit(2)).cast("int")
+    return one.join(lead, ["lang", "own"]).select("lang", "text", half.alias("half"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every distinct text with words of documents that are labelled good: lang, text, half. A document is good if all of its labels are."""
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1")
+    texts = docs.filter("doc_id is not null").filter(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) > 0)
+    return halved(texts.select("doc_id", language(docs).alias("lang"), "text").join(good, "doc_id", "left_semi").select("lang", "text"))
+
+
+def text_grams(texts: pa.StringArray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All trigrams of the texts: number of the text, hashes of (u, v), (v, w), v, w and (u, v, w).
+
+    ``keys`` are those of the texts' languages, which the words' hashes hold. Texts without words have none.
+    """
+    listed, code, cuts = coded_words(texts, lower=False)
+    size = np.diff(cuts)
+    size = np.where(size > 0, size + 3, 0)  # two begins and an end
+    text = np.repeat(np.arange(len(size)), size)
+    starts = np.cumsum(size) - size
+    at = np.arange(len(text)) - starts[text]
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in [*listed, BEGIN.encode(), END.encode()]], np.uint64)
+    word = np.full(len(text), len(listed), np.int64)
+    word[(at >= 2) & (at < size[text] - 1)] = code
+    word[at == size[text] - 1] = len(listed) + 1
+    with np.errstate(over="ignore"):
+        h = (hashes[word] ^ keys.view(np.uint64)[text]) * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+    pair = _joined(h[:-1], h[1:])
+    w = np.flatnonzero(at >= 2)
+    a, b = pair[w - 2], pair[w - 1]
+    return text[w], a, b, h[w - 1], h[w], _joined(a, h[w])
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """A row per trigram of the texts (t, lang as a key, text); see ``text_grams``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, model = (batch.column(i).to_numpy() for i in (0, 1))
+            first = 0
+            for part in text_slices(batch.column(2), 1 << 20):
+                own = slice(first, first + len(part))
+                first += len(part)
+                of, *grams = text_grams(part, model[own] & -2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (t[own][of], model[own][of], *grams)], names=["t", "lang", "a", "b", "v", "w", "g"]
+                )
+
+    return texts.select("t", "lang", "text").mapInArrow(run, GRAMS)
+
+
+def _by_half(table: DataFrame, key: str, value: str) -> DataFrame:
+    """A row per key with the value of either half's model; the key holds the language."""
+    half = F.col("lang").bitwiseAND(F.lit(1))
+    return table.groupBy(key).agg(*[F.max(F.when(half == i, F.col(value))).cast("float").alias(f"{value}{i}") for i in HALVES])
+
+
+def fit_all(sample: DataFrame) -> dict[str, DataFrame]:
+    """Tables of the models of all texts (lang, text, half), by n-gram and half. Nothing is collected.
+
+    ``unknown`` has a row per language of which both halves have ``MIN_BAND_DOCS`` texts; other languages have no model.
+    """
+    counted = sample.groupBy(language_key().alias("lang")).agg(
+        *[F.count(F.when(F.col("half") == i, 1)).alias(f"n{i}") for i in HALVES]
+    )
+    enough = counted.filter((F.col("n0") >= MIN_BAND_DOCS) & (F.col("n1") >= MIN_BAND_DOCS)).select("lang")
+    grams = _grams(sample.select(F.lit(0).cast("long").alias("t"), language_key(F.col("half").cast("long")).alias("lang"), "text"))
+    tri = stage(grams.groupBy("lang", "a", "b", "v", "w", "g").agg(F.count("*").alias("c")), "trigrams")
+    bi = stage(tri.groupBy("lang", "b", "v", "w").agg(F.count("*").alias("c")), "bigrams")
+    uni = stage(bi.groupBy("lang", "w").agg(F.count("*").alias("c")), "words")
+    tri_prob, tri_ctx = discounted(tri, ["a"])
+    bi_prob, bi_ctx = discounted(bi, ["v"])
+    uni_prob, uni_ctx = discounted(uni, [])
+    spread = uni_ctx.join(uni.groupBy("lang").agg(F.count("*").alias("known")), "lang")
+    spread = spread.select("lang", (F.col("gamma") / (F.col("known") + 1)).alias("unknown"))
+    key = F.col("lang").bitwiseAND(F.lit(-2)).alias("key")
+    unknown = _by_half(spread.select("lang", "unknown", key), "key", "unknown").withColumnRenamed("key", "lang")
+    return {
+        "unknown": stage(unknown.join(enough, "lang", "left_semi"), "unknown"),
+        "words": _by_half(uni_prob, "w", "prob"),
+        "contexts": _by_half(bi_ctx, "v", "gamma"),
+        "pairs": _by_half(bi_prob, "b", "prob"),
+        "pair_contexts": _by_half(tri_ctx, "a", "gamma"),
+        "triples": _by_half(tri_prob, "g", "prob"),
+    }
+
+
+def score_all(texts: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """Of each text (t, lang as a key, text; t distinct) under either half: t, lang, n, and total and squares of its log probabilities."""
+    known = texts.join(F.broadcast(model["unknown"].select("lang")), "lang", "left_semi")
+    grams = _grams(known)
+    of_pairs = grams.groupBy("lang", "b", "v", "w").agg(F.lit(1).alias("one")).drop("one")
+    pairs = (
+        of_pairs.join(F.broadcast(model["unknown"]), "lang")
+        .join(model["contexts"], "v", "left")
+        .join(model["words"].toDF("w", "word0", "word1"), "w", "left")
+        .join(model["pairs"], "b", "left")
+    )
+    zero, one = F.lit(0.0), F.lit(1.0)
+
+    def low(i: int) -> Column:  # p(w | v)
+        word = F.coalesce(f"word{i}", zero) + F.col(f"unknown{i}")
+        return F.coalesce(f"prob{i}", zero) + F.coalesce(f"gamma{i}", one) * word
+
+    lows = pairs.select("b", *[low(i).cast("float").alias(f"low{i}") for i in HALVES])
+    found = (
+        grams.select("t", "lang", "a", "b", "g").join(model["triples"], "g", "left").drop("g")
+        .join(model["pair_contexts"], "a", "left").drop("a")
+        .join(lows, "b")
+    )
+    logs = [
+        F.log(F.greatest(F.coalesce(f"prob{i}", zero) + F.coalesce(f"gamma{i}", one) * F.col(f"low{i}"), F.lit(1e-300))).alias(f"log{i}")
+        for i in HALVES
+    ]
+    sums = [s for i in HALVES for s in (F.sum(f"log{i}").alias(f"total{i}"), F.sum(F.col(f"log{i}") * F.col(f"log{i}")).alias(f"squares{i}"))]
+    return found.select("t", "lang", *logs).groupBy("t", "lang").agg(F.count("*").alias("n"), *sums)
+
+
+def bands(scores: DataFrame, sample: DataFrame) -> DataFrame:
+    """The bands of the languages, as ``_spread`` has them, from all texts counted, each under the half that did not count it.
+
+    Values are rounded to ``STEP`` decimals and counted first, so what a task holds does not grow with the texts.
+    """
+    own = sample.select(text_key().alias("t"), "half").join(scores, "t")
+    other = lambda name: F.when(F.col("half") == 0, F.col(f"{name}1")).otherwise(F.col(f"{name}0"))
+    seen = stage(own.select("lang", "n", other("total").alias("total"), other("squares").alias("squares"), (other("total") / F.col("n")).alias("mean")), "means")
+    mean = F.sum("total") / F.sum("n")
+    within = seen.groupBy("lang").agg((F.sum("squares") / F.sum("n") - mean * mean).alias("within"))
+
+    def quantile(rows: DataFrame, value: Column, q: float, name: str) -> DataFrame:
+        binned = rows.groupBy("lang", value.alias("x")).agg(F.count("*").alias("k"))
+        return binned.groupBy("lang").agg(F.percentile("x", F.lit(q), F.col("k")).alias(name))
+
+    centre = quantile(seen, F.round("mean", STEP), 0.5, "centre")
+    about = seen.join(F.broadcast(centre), "lang")
+    apart = quantile(about, F.round(F.abs(F.col("mean") - F.col("centre")), STEP), 0.5, "apart")
+    share = quantile(seen, 1 / F.col("n"), 0.5, "share")
+    wide = centre.join(within, "lang").join(apart, "lang").join(share, "lang")
+    between = F.greatest(F.pow(1.4826 * F.col("apart"), 2) - F.col("within") * F.col("share"), F.lit(0.0))
+    wide = stage(wide.select("lang", "centre", between.alias("between"), "within"), "spreads")
+    step = (F.col("mean") - F.col("centre")) / F.sqrt(F.col("between") + F.col("within") / F.col("n"))
+    tail = quantile(seen.join(F.broadcast(wide), "lang"), F.round(step, STEP), 0.99, "q")
+    return stage(wide.join(tail, "lang").select("lang", "centre", "between", "within", F.greatest(F.col("q") / 2.326, F.lit(1.0)).alias("tail")), "bands")
+
+
+def text_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of each distinct text of a language with a model: t, perplexity, and whether it is ``inside`` the band.
+
+    The models and bands are of all labelled good texts, and all documents are scored, by joins on n-grams.
+    """
+    sample = stage(labelled_texts(docs, labels), "good")
+    texts = docs.filter("text is not null").select(text_key().alias("t"), language_key().alias("lang"), "text")
+    scores = stage(score_all(texts.dropDuplicates(["t"]), fit_all(sample)), "scores")
+    known = scores.join(F.broadcast(bands(scores, sample)), "lang")
+    means = [F.col(f"total{i}") / F.col("n") for i in HALVES]
+    low, high = F.least(*means), F.greatest(*means)
+    reach = BAND * F.sqrt(F.col("between") + F.col("within") / F.col("n"))
+    inside = (high >= F.col("centre") - reach) & (low <= F.col("centre") + F.col("tail") * reach)
+    return known.select("t", F.exp(F.least(-low, F.lit(700.0))).alias("perplexity"), inside.alias("inside"))
+
+
+def judge_all(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``judge`` with models of all labelled good texts of every language."""
+    names = [f"k{i}" for i in range(len(keep))]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], text_key().alias("t"), "text")
+    counted = map_columns(keyed, [*names, "t"], [F.col("text")], COUNTS, lambda: _counted)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    judged = counted.withColumn("base_failed", failed).join(text_verdicts(docs, labels), "t", "left")
+    kept = ~F.col("base_failed") & F.coalesce("inside", F.lit(True))
+    counts = [c.split()[0] for c in COUNTS.split(", ")]
+    return judged.select(*names, *counts, "base_failed", "perplexity", kept.alias("kept")).toDF(
+        *keep, *counts, "base_failed", "perplexity", "kept"
+    )
+
+
+def _counted(texts: list[str | None]) -> list[list[int]]:
+    counts = [(len(toks), *rest) for toks, *rest in map(plain_counts, texts)]
+    return [list(c) for c in zip(*counts)] or [[]] * 5
+
+
+def keep_all(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that ``judge_all`` keeps, with their own columns."""
+    plain = keep_good(docs, {})  # what the plain rules keep
+    gone = text_verdicts(docs, labels).filter("not inside").select(F.col("t").alias("gone"))
+    return plain.join(gone, text_key() == F.col("gone"), "left_anti")

@@ -140,12 +140,12 @@ def text_slices(texts: pa.StringArray, size: int = 1 << 24) -> Iterator[pa.Strin
         first = last
 
 
-def coded_words(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words with A-Z lower-cased, all words as numbers of these, and the texts' cuts.
+def coded_words(texts: pa.StringArray, lower: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words, with A-Z lower-cased if ``lower``, all words as numbers of these, and the texts' cuts.
 
     Text i has the words ``codes[cuts[i]:cuts[i + 1]]``.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
     listed = coded.dictionary.cast(pa.binary()).to_pylist()
     code = coded.indices.to_numpy(zero_copy_only=False)

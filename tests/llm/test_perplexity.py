@@ -176,3 +176,80 @@ def test_odd_rows(odd, documents, spark, fitted):
     assert P.keep_good(odd, fitted[3]).columns == odd.columns
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert P.fit(odd, empty) == {}
+
+
+@pytest.fixture(scope="module")
+def all_labelled(spark, documents):
+    """More labelled texts than a sample takes, in more languages than there were models."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(P.MAX_LANGS + 2):
+        vocab = [f"{k}e{i}" for i in range(40)]
+        rows += [(len(rows) + i, t, f"l{k}", "s", len(t)) for i, t in enumerate(sentences(rng, 500 if k == 0 else 80 if k == 1 else 56, vocab))]
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int")
+    return documents(rows).cache(), labels, rows
+
+
+def test_every_labelled_text_of_every_language_is_counted(all_labelled):
+    docs, labels, rows = all_labelled
+    sample = P.labelled_texts(docs, labels).collect()
+    assert sorted((r.lang, r.text) for r in sample) == sorted({(r[2], r[1]) for r in rows})
+    judged = P.judge_all(docs, labels).collect()
+    assert len(judged) == len(rows)
+    # by chance a language may have too few texts in a half
+    assert sum(r.perplexity is not None for r in judged) >= 0.95 * len(rows)
+    assert sum(r.kept for r in judged) >= 0.95 * len(rows)
+
+
+def test_scores_by_joins_equal_plain_loops(all_labelled, documents, spark):
+    docs, labels, _ = all_labelled
+    sample = P.labelled_texts(docs.filter("lang in ('l0', 'l1')"), labels).cache()
+    rows = sample.collect()
+    tests = [(r.lang, r.text) for r in rows[:20]] + [("l0", "0e1 0e2 unseen 0e1\n1e5 0e6"), ("l1", "unseen"), ("none", "1e1 1e2")]
+    table = spark.createDataFrame(tests, "lang string, text string")
+    keyed = table.select(P.text_key().alias("t"), P.language_key().alias("lang"), "text")
+    names = {r.t: r.text for r in keyed.collect()}
+    got = {names[r.t]: r for r in P.score_all(keyed, P.fit_all(sample)).collect()}
+    assert set(got) == {t for lang, t in tests if lang != "none"}
+    models = {(lang, h): plain_model([r.text for r in rows if r.lang == lang and r.half == h])[0] for lang in ("l0", "l1") for h in P.HALVES}
+    for lang, text in tests[:-1]:
+        toks = [P.BEGIN, P.BEGIN, *text.split(), P.END]
+        for h in P.HALVES:
+            want = [math.log(models[lang, h](*g)) for g in zip(toks, toks[1:], toks[2:])]
+            assert got[text].n == len(want)
+            assert got[text][f"total{h}"] == pytest.approx(sum(want), rel=1e-5)
+            assert got[text][f"squares{h}"] == pytest.approx(sum(x * x for x in want), rel=1e-5)
+
+
+def test_bands_of_all_texts_equal_those_of_one_frame(all_labelled):
+    docs, labels, _ = all_labelled
+    sample = P.labelled_texts(docs.filter("lang = 'l0'"), labels).cache()
+    keyed = sample.select(P.text_key().alias("t"), P.language_key().alias("lang"), "text")
+    scores = P.score_all(keyed, P.fit_all(sample)).cache()
+    halves = {r.t: r.half for r in sample.select(P.text_key().alias("t"), "half").collect()}
+    s = scores.toPandas()
+    for name in ("total", "squares"):
+        s[name] = [y if halves[t] == 0 else x for t, x, y in zip(s["t"], s[f"{name}0"], s[f"{name}1"])]
+    want, (got,) = P._spread(s), P.bands(scores, sample).collect()
+    for name in ("centre", "between", "within", "tail"):
+        assert got[name] == pytest.approx(getattr(want, name), abs=2e-3), name
+
+
+def test_judging_by_all_texts_bears_odd_rows(odd, documents, spark, all_labelled):
+    docs, labels, rows = all_labelled
+    strange = documents([(10**6, " ".join(f"zz{i}" for i in range(60)), "l0"), (10**6 + 1, " ".join(f"zz{i}" for i in range(60)), "none")])
+    every = docs.filter("lang = 'l0'").unionByName(odd.select(*docs.columns)).unionByName(strange)
+    judged = P.judge_all(every, labels)
+    seen = judged.collect()
+    assert len(seen) == every.count()
+    old = {r.doc_id: r for r in P.judge(odd, {}).collect()}
+    by_id = {r.doc_id: r for r in seen}
+    assert not by_id[10**6].kept and by_id[10**6 + 1].kept and by_id[10**6 + 1].perplexity is None
+    assert by_id[6].n_repeat_words == old[6].n_repeat_words and not by_id[1].kept and by_id[1].n_words == 0
+    kept = P.keep_all(every, labels)
+    assert kept.columns == every.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in seen if r.kept)
+    empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    plain = {r.doc_id: r.kept for r in P.judge_all(odd, empty).collect()}
+    assert plain == {i: r.kept for i, r in old.items()}
+    assert P.judge_all(documents([]), empty).collect() == []
