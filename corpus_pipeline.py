@@ -20,8 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the models learn from the labelled ones."""
-    return perplexity.keep_good(docs, perplexity.fit(docs, _table(spark, sf_dir, "labels")))
+    """Documents that the quality rules keep; the models learn from all labelled good ones."""
+    return perplexity.keep_all(docs, _table(spark, sf_dir, "labels"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
