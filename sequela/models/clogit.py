@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sequela.functions.stats import chi2_tail, two_sided_p
 from sequela.models.kernel import Term, step_sums
-from sequela.sources.stages import stage, tasks
+from sequela.sources.stages import stage, tasks, tasks_for
 
 ROWS_PER_BLOCK = 20_000
 # a coefficient whose standard error is that many times what its column's own spread
@@ -105,7 +105,11 @@ def strata_table(
         (F.lit(1) if count is None else F.col(count)).alias("n"),
         *[c.alias(n) for c, n in zip(_encoded(terms), names)],
     )
-    folded = coded.groupBy(*by, *strata, "ev", "off", *names).agg(
+    coded = stage(coded, "strata-rows")
+    parts = tasks_for(coded.count(), coded.sparkSession)
+    # dealt by stratum, so that neither the folding nor the arrays are shuffled again
+    dealt = coded.repartition(parts, *by, *strata)
+    folded = dealt.groupBy(*by, *strata, "ev", "off", *names).agg(
         F.sum("n").cast("double").alias("cnt")
     )
     per_stratum = folded.groupBy(*by, *strata).agg(
@@ -114,7 +118,7 @@ def strata_table(
         F.sum("cnt").alias("size"),
     )
     informative = per_stratum.filter((F.col("events") > 0) & (F.col("events") < F.col("size")))
-    return _folded_strata(informative.withColumn("w", F.lit(1)), by)
+    return _folded_strata(informative.withColumn("w", F.lit(1)), by, parts)
 
 
 def strata_from_arrays(
@@ -131,19 +135,23 @@ def strata_from_arrays(
         )
 
     listed = df.filter(F.exists(rows, lambda x: x["event"] > 0) & (F.size(rows) > 1))
-    return _folded_strata(
+    patterns = stage(
         listed.select(
             *by, F.flatten(F.transform(rows, encode)).alias("pattern"), F.col(weight).alias("w")
         ),
-        by,
+        "patterns",
     )
+    width = 3 + len(terms)
+    n = patterns.agg(F.coalesce(F.sum(F.size("pattern")), F.lit(0))).first()[0] // width
+    return _folded_strata(patterns, by, tasks_for(n, patterns.sparkSession))
 
 
-def _folded_strata(per_stratum: DataFrame, by: Sequence[str]) -> DataFrame:
+def _folded_strata(per_stratum: DataFrame, by: Sequence[str], parts: int) -> DataFrame:
     # JSON, so that names may hold any character and nulls stay nulls
     key = F.to_json(F.array(*[F.col(b).cast("string") for b in by])) if by else F.lit("[]")
     return (
         per_stratum.select(key.alias("g"), "pattern", "w")
+        .repartition(parts, "g", "pattern")
         .groupBy("g", "pattern")
         .agg(F.sum("w").alias("w"))
     )

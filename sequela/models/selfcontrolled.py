@@ -13,6 +13,7 @@ from sequela.models.effects import Z_EXACT, effect_table, lr_table
 from sequela.models.kernel import Term
 from sequela.operators.persondays import level_rates, level_sets
 from sequela.operators.sccs import interval_rates, intervals_array
+from sequela.sources.stages import stage
 
 EXPGR = Term("expgr", SCCS_LEVELS)
 PERIOD = Term("period", ("0", "1", "2", "3", "4"))
@@ -46,6 +47,7 @@ def time_split_fits(labelled: DataFrame) -> dict[str, list[Fit]]:
     calendar period in never-exposed people; ``vt_period`` and ``vt``: product
     by level with and without the period.
     """
+    labelled = stage(labelled, "labelled")  # read by the three tables of strata
     log_days = F.log(F.col("interval").cast("double"))
     person = ["person_id"]
     products = [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sequela.config import SCCS_LEVELS, StudyParams
 from sequela.functions.columns import days_between, when_chain
+from sequela.sources.stages import tasks_for
 
 EVENT_KEY = ["endpoint", "person_id", "start_date", "code", "age", "sex"]
 
@@ -119,13 +120,22 @@ def calendar_cuts(windows: DataFrame) -> DataFrame:
     return spans.select("endpoint", "cal_start", "a_end", cuts.alias("periods"))
 
 
+def by_person(rows: DataFrame) -> DataFrame:
+    """The rows dealt by endpoint and person, to as many tasks as their number asks for.
+
+    Windows compress so well that tasks cut by bytes would hold a multiple of their share.
+    """
+    return rows.repartition(tasks_for(rows.count(), rows.sparkSession), "endpoint", "person_id")
+
+
 def exposed_spans(windows: DataFrame, cuts: DataFrame) -> DataFrame:
     """One span per exposed person with the cuts that change its covariates."""
+    marks = ["vacc_type", "pre_start", "pre_end", "risk_start", "risk_end"]
     people = (
-        windows.filter(F.col("vacc_type") != "uv")
+        by_person(windows.select("endpoint", "person_id", *marks)).filter(F.col("vacc_type") != "uv")
         .groupBy("endpoint", "person_id")
         .agg(
-            F.min(F.struct("vacc_type", "pre_start", "pre_end", "risk_start", "risk_end")).alias("w")
+            F.min(F.struct(*marks)).alias("w")
         )
         .join(F.broadcast(cuts.select("endpoint", "periods")), "endpoint")  # one row per endpoint
     )
@@ -143,7 +153,10 @@ def exposed_spans(windows: DataFrame, cuts: DataFrame) -> DataFrame:
 def unexposed_spans(windows: DataFrame, cuts: DataFrame) -> DataFrame:
     """One span per never-exposed person over the whole calendar."""
     people = (
-        windows.filter(F.col("vacc_type") == "uv").select("endpoint", "person_id").distinct()
+        by_person(windows.select("endpoint", "person_id", "vacc_type"))
+        .filter(F.col("vacc_type") == "uv")
+        .select("endpoint", "person_id")
+        .distinct()
     )
     return people.join(F.broadcast(cuts), "endpoint").select(  # one row per endpoint
         "endpoint",
@@ -158,7 +171,7 @@ def unexposed_spans(windows: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def event_days_in_window(ev: DataFrame, spans: DataFrame) -> DataFrame:
     """Distinct event days per person inside ``(span_start, span_stop]``."""
-    days = ev.select("endpoint", "person_id", "start_date").distinct()
+    days = by_person(ev.select("endpoint", "person_id", "start_date")).distinct()
     day = F.col("start_date")
     return (
         days.join(

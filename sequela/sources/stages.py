@@ -7,6 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_PER_TASK = 100_000  # rows that one task groups or joins, however well they were compressed before
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """Folder of this application for intermediate files, removed when its JVM ends.
 
@@ -49,6 +52,11 @@ def tasks(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tasks_for(rows: int, spark: SparkSession, each: int = ROWS_PER_TASK) -> int:
+    """Tasks that share so many rows. Their bytes on disk say little of what tasks hold of them."""
+    return max(tasks(spark), -(-rows // each))
+
+
 def _hadoop(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path

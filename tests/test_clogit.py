@@ -237,3 +237,13 @@ def test_group_names_may_hold_any_character(spark):
     rows = [(g, s, e, (s + e) % 2) for g in ("a|b", None, '"') for s in range(8) for e in (0, 1)]
     fits = _fit(spark.createDataFrame(rows, "g string, s int, event int, x int"), [X])
     assert {f.group for f in fits} == {("a|b",), (None,), ('"',)}
+
+
+def test_strata_are_dealt_by_rows_not_by_bytes(spark, monkeypatch):
+    """Rows that compress to nothing still go to as many tasks as their number asks for."""
+    monkeypatch.setattr("sequela.sources.stages.tasks", lambda spark: 1)
+    monkeypatch.setattr("sequela.sources.stages.tasks_for.__defaults__", (100,))
+    df = spark.range(3000).selectExpr("'a' g", "id div 3 s", "cast(id % 3 = 0 as int) event", "cast(id % 3 as double) x")
+    strata = strata_table(df, ["g"], ["s"], [X])
+    assert strata.rdd.getNumPartitions() == 30
+    assert [(r.g, len(r.pattern), r.w) for r in strata.collect()] == [('["a"]', 12, 1000)]

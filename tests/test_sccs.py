@@ -100,3 +100,13 @@ def test_labels(spark):
     }
     assert all(r.period2 == max(r.period - 1, 0) for r in rows)
     assert all(r.interval == (r.t_stop - r.t_start).days for r in rows)
+
+
+def test_spans_are_dealt_by_rows_not_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr("sequela.sources.stages.tasks", lambda spark: 1)
+    monkeypatch.setattr("sequela.sources.stages.tasks_for.__defaults__", (100,))
+    rows = spark.range(2000).selectExpr("concat('e', id div 5000) endpoint", "id person_id", "'uv' vacc_type", "date'1998-01-01' start_date")
+    cuts = spark.sql("select 'e0' endpoint, date'1997-01-01' cal_start, date'1999-01-01' a_end, array(date'1998-01-01') periods")
+    spans = sccs.unexposed_spans(rows, cuts)
+    assert spans.rdd.getNumPartitions() == 20 and spans.count() == 2000
+    assert sccs.event_days_in_window(rows, spans).rdd.getNumPartitions() == 20
