@@ -449,12 +449,14 @@ def language_key(half: Column | int = 0) -> Column:
 def halved(texts: DataFrame) -> DataFrame:
     """The distinct texts (lang, text) with ``half``; near copies fall in one half, and none is left out.
 
-    Sketches are those of ``unlike``: a text goes where the smallest text goes that it meets by one of them.
+    Sketches are those of ``unlike``: a text goes where the smallest text goes that it meets by most of them, so that
+    a line shared with a third text does not part two near copies.
     """
     one, sketches = _sketches(texts)
     first = sketches.groupBy("lang", "k", "least").agg(F.min("own").alias("first"))
-    lead = sketches.join(first, ["lang", "k", "least"]).groupBy("lang", "own").agg(F.min("first").alias("lead"))
-    half = F.pmod(F.xxhash64("lead", F.lit(5)), F.lit(2)).cast("int")
+    met = sketches.join(first, ["lang", "k", "least"]).groupBy("lang", "own", "first").agg(F.count("*").alias("c"))
+    lead = met.groupBy("lang", "own").agg(F.min(F.struct(-F.col("c"), "first")).alias("m"))
+    half = F.pmod(F.xxhash64("m.first", F.lit(5)), F.lit(2)).cast("int")
     return one.join(lead, ["lang", "own"]).select("lang", "text", half.alias("half"))
 
 

@@ -253,3 +253,20 @@ def test_judging_by_all_texts_bears_odd_rows(odd, documents, spark, all_labelled
     plain = {r.doc_id: r.kept for r in P.judge_all(odd, empty).collect()}
     assert plain == {i: r.kept for i, r in old.items()}
     assert P.judge_all(documents([]), empty).collect() == []
+
+
+def test_near_copies_fall_in_one_half(documents):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(60):
+        words = rng.choices(vocab, k=200)
+        for _ in range(2):
+            near = list(words)
+            near[rng.randrange(200)] = f"x{rng.random()}"
+            rows.append((i, " ".join(near), "en"))
+    got = P.halved(documents(rows).select("lang", "text")).collect()
+    half = {r.text: r.half for r in got}
+    assert len(got) == len(rows)  # none is left out
+    pairs = [(half[a[1]], half[b[1]]) for a, b in zip(rows[::2], rows[1::2])]
+    assert sum(x == y for x, y in pairs) >= 58 and {x for x, _ in pairs} == {0, 1}
