@@ -11,10 +11,10 @@ when they share o(a, b) shingles or more, the least overlap that their sizes all
 
 The size at which sets count as large is where listing subsets costs more than scanning lists.
 
-Links are only needed up to connectedness. First each class is compared with one centre of its
-lists; then, in each list, all members are compared that are not in one component yet, but for
-pairs that their distances from a common centre rule out. So a group of near copies never gives
-all its pairs, and no link between components is missed. Every link is confirmed on the whole sets.
+All links are found and counted. First each class is put beside one centre of its lists, which
+groups the classes; a group's sets are compared in tiles, blocks of sets that a task holds as
+matrices. So a group of near copies makes a row per set and block, not per pair. Then the lists
+give the pairs of different groups. Every link is confirmed on the whole sets.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ MAX_SMALL = 30  # sizes up to which the cost of subsets is looked at
 LOCAL_COUNT, HOT_COUNT = 8, 64  # sets of a batch, and of all, that make a shingle common
 MAX_HOT = 1_000_000  # common shingles sent to the tasks (16 MB); others rank as rare ones
 BROADCAST_IDS = 1_000_000  # of documents, under 64 MB
+BLOCK_SETS, BLOCK_SHINGLES = 512, 1 << 18  # of a block, on the average; a task compares two blocks
+MATRIX = 1 << 22  # cells of a block's matrix at a time (16 MB)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -287,34 +289,30 @@ def scanned(entries: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
 
 
-def other_links(entries: DataFrame, labels: DataFrame, near: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Candidate pairs in the lists that are not in one component yet: a, b.
+def other_links(entries: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Candidate pairs in the lists whose classes are of different ``groups`` (node, label): a, b.
 
-    In each list the component with most entries is left out as first partner: its members need
-    not be compared among themselves. Of two classes whose distances from one centre are known
-    (``near``: cid, centre, distance) and differ by more than a link's distance, none is a pair:
-    one minus the Jaccard index is a metric. The pairs' shared entries are counted in the end.
+    In each list the group with most entries is left out as first partner: its members need
+    not be compared among themselves. The pairs' shared entries are counted in the end.
     """
     marked = (
         scanned(entries, percent)
-        .join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-        .join(near, "cid", "left")
-        .select("key", "cid", "n", F.coalesce("label", "cid").alias("label"), "centre", "distance")
+        .join(groups.withColumnRenamed("node", "cid"), "cid", "left")
+        .select("key", "cid", "n", F.coalesce("label", "cid").alias("label"))
     )
     parts = marked.groupBy("key", "label").agg(F.count("*").alias("k"))
     bulk = parts.groupBy("key").agg(F.max(F.struct("k", "label")).alias("bulk"), F.count("*").alias("parts")).filter("parts > 1")
     open_ = stage(marked.join(bulk.select("key", F.col("bulk.label").alias("most")), "key"), "open-lists")
 
     def side(x: str) -> list:
-        return [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "centre", "distance")]]
+        return [F.col("cid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label")]]
 
     left = open_.filter("label != most").select("key", "most", *side("x"))
     right = open_.select("key", *side("y"))
     # a pair of two that are both not in the bulk would be met from either side
     once = (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("most")) | (F.col("x") < F.col("y")))
     fits = (100 * F.least("n_x", "n_y")) >= (percent * F.greatest("n_x", "n_y"))
-    apart = (F.col("centre_x") == F.col("centre_y")) & (F.abs(F.col("distance_x") - F.col("distance_y")) > 1 - percent / 100 + 1e-9)
-    met = left.join(right, "key").filter(once & fits & ~F.coalesce(apart, F.lit(False)))
+    met = left.join(right, "key").filter(once & fits)
     pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     lists = entries.groupBy("cid").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
     both = pairs.join(lists.toDF("a", "n_a", "keys_a"), "a").join(lists.toDF("b", "n_b", "keys_b"), "b")
@@ -359,13 +357,107 @@ def linked(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.filter(100 * F.col("common") >= percent * F.col("whole")).select("a", "b")
 
 
-def distances(pairs: DataFrame) -> DataFrame:
-    """Distance of each class from a centre: cid, centre, distance; a centre is at 0 from itself."""
-    far = pairs.select(F.col("b").alias("cid"), F.col("a").alias("centre"), (1 - F.col("common") / F.col("whole")).alias("distance"))
-    own = pairs.select(F.col("a").alias("cid"), F.col("a").alias("centre"), F.lit(0.0).alias("distance"))
-    # a centre counts as its own rather than as another's member
-    nearest = far.unionByName(own).groupBy("cid").agg(F.min(F.struct("distance", "centre")).alias("m"))
-    return nearest.select("cid", F.col("m.centre").alias("centre"), F.col("m.distance").alias("distance"))
+def tiles(groups: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The tiles in which the classes of each group are compared: cid, members, side, tile.
+
+    A small group (node, label) is one tile. The classes of others are dealt over blocks, by bands of
+    sizes such that sets of links lie in one band or in two next to each other; a tile is a block with
+    itself (side -1), or one block (side 0) with another (side 1).
+    """
+    width = 1.001 * max(math.log(100 / percent), 0.01)  # a little wider, as logarithms are rounded
+    nodes = groups.join(classes.select(F.col("cid").alias("node"), "n", "members"), "node").select(
+        F.col("node").alias("cid"), "label", "n", "members", F.floor(F.log("n") / width).alias("band")
+    )
+    nodes = stage(nodes, "nodes")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    large = nodes.groupBy("label").agg(blocks).filter("blocks > 1").select("label")
+    # at most a row per block of sets, whatever the number of classes
+    dealt = stage(nodes.join(F.broadcast(large), "label").groupBy("label", "band").agg(blocks), "blocks")
+    of_small = nodes.join(F.broadcast(large), "label", "left_anti").select(
+        "cid", "members", F.lit(-1).alias("side"), F.struct("label", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")).alias("tile")
+    )
+    listed = dealt.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    listed = listed.select("label", "band", "part", F.xxhash64("band", "part").alias("block"))
+    x, y = (listed.select("label", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "part", "block")]) for s in "xy")
+    order = (F.col("band_y") == F.col("band_x") + 1) | ((F.col("band_y") == F.col("band_x")) & (F.col("part_y") >= F.col("part_x")))
+    met = stage(x.join(y, "label").filter(order), "tiles")
+    tile = F.struct("label", F.col("block_x").alias("x"), F.col("block_y").alias("y")).alias("tile")
+    side = F.when(F.col("block_x") == F.col("block_y"), -1).otherwise(0).alias("side")
+    sides = met.select("label", F.col("band_x").alias("band"), F.col("part_x").alias("part"), side, tile).unionByName(
+        met.filter("block_x != block_y").select("label", F.col("band_y").alias("band"), F.col("part_y").alias("part"), F.lit(1).alias("side"), tile)
+    )
+    of_large = nodes.join(F.broadcast(dealt), ["label", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    return of_small.unionByName(of_large.join(sides, ["label", "band", "part"]).select("cid", "members", "side", "tile"))
+
+
+TILE_LINKS = "a long, b long, links long"
+
+
+def tile_links(placed: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All links within tiles, in two kinds of rows: links (a, b) that connect what is connected in a
+    tile; and a class (a) with the number of documents that it links with in a tile (links)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cids, members, side = (table.column(c).to_numpy() for c in ("cid", "members", "side"))
+        shingles = table.column("shingles").combine_chunks()
+        sizes = np.diff(shingles.offsets.to_numpy())
+        near = linked_sets(shingles.flatten().to_numpy(), sizes, percent)
+        near &= (side[:, None] < 0) | (side[:, None] != side[None, :])
+        count = near @ members
+        some = np.flatnonzero(count)
+        a, b = spanning(near)
+        return pa.table(
+            {
+                "a": pa.array(np.concatenate([cids[a], cids[some]]), pa.int64()),
+                "b": pa.concat_arrays([pa.array(cids[b], pa.int64()), pa.nulls(len(some), pa.int64())]),
+                "links": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(count[some], pa.int64())]),
+            }
+        )
+
+    return placed.join(sets, "cid").groupBy("tile").applyInArrow(run, TILE_LINKS)
+
+
+def linked_sets(shingles: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which of the sets link, as a matrix; ``shingles`` holds one set after the other."""
+    k = len(sizes)
+    values, code, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    common = np.zeros((k, k), np.int64)
+    column = np.cumsum(times > 1) - 1  # a shingle of one set is shared by none
+    row = np.repeat(np.arange(k), sizes)
+    several = times[code] > 1
+    row, column = row[several], column[code[several]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    width = max(MATRIX // max(k, 1), 1)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        start, stop = np.searchsorted(column, (first, first + width))
+        part = np.zeros((k, min(width, int(column[-1]) + 1 - first)), np.float32)
+        part[row[start:stop], column[start:stop] - first] = 1
+        common += (part @ part.T).astype(np.int64)  # under 2 ** 24, so exact
+    whole = sizes[:, None] + sizes[None, :] - common
+    near = (common > 0) & (100 * common >= percent * whole)
+    np.fill_diagonal(near, False)
+    return near
+
+
+def spanning(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect all that the matrix of links connects, one less than nodes in a component."""
+    fresh = near.any(axis=1)
+    a: list[int] = []
+    b: list[int] = []
+    for root in np.flatnonzero(fresh).tolist():
+        if not fresh[root]:
+            continue
+        fresh[root] = False
+        waiting = [root]
+        while waiting:
+            node = waiting.pop()
+            found = np.flatnonzero(near[node] & fresh).tolist()
+            fresh[found] = False
+            a += [node] * len(found)
+            b += found
+            waiting += found
+    return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def join_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -373,9 +465,8 @@ def join_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 
     Sets are of ``size`` words; they link from a Jaccard index of ``percent`` hundredths on.
 
-    ``component_id`` is the smallest id in the document's component of links; ``links`` counts the
-    confirmed links that its class has among those used to connect the component, and the other
-    members of its class. A document without words links with nothing and is its own component.
+    ``component_id`` is the smallest id in the document's component of links; ``links`` counts all
+    other documents that the document links with, copies one by one. A document without words links with nothing and is its own component.
     Rows without an id take part, and count for no smallest id; equal rows are linked to each other.
     An empty table gives an empty result.
     """
@@ -393,13 +484,17 @@ def join_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     shared = shared_keys(keys)
     entries = shared.filter(F.col("kind") == LIST).select("key", "cid", "n", "lo")
     first = stage(subset_links(shared).union(first_links(entries, classes, percent)).distinct(), "first")
-    known = _confirm(first, docs, classes, size)
-    labels = stage(components(linked(known, percent)), "labels")
-    second = stage(other_links(entries, labels, distances(known), percent), "second")
-    more = linked(_confirm(second, docs, classes, size), percent)
-    labels = merged(labels, more)
-    links = linked(known, percent).union(more).distinct()
-    degree = links.select(F.col("a").alias("cid")).union(links.select("b")).groupBy("cid").agg(F.count("*").alias("degree"))
+    groups = stage(components(first), "groups")
+    sets = _sets_of(groups.select(F.col("node").alias("cid")), docs, classes, size)
+    inner = stage(tile_links(tiles(groups, classes, percent), sets, percent), "tile-links")
+    second = stage(other_links(entries, groups, percent), "second")
+    outer = stage(linked(_confirm(second, docs, classes, size), percent), "outer")
+    labels = stage(components(inner.filter("b is not null").select("a", "b").union(outer)), "labels")
+    members_of = classes.select(F.col("cid").alias("b"), "members")
+    both = outer.unionByName(outer.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.join(members_of, "b").select("a", F.col("members").alias("links"))
+    counted = counted.unionByName(inner.filter("links is not null").select("a", "links"))
+    degree = counted.groupBy(F.col("a").alias("cid")).agg(F.sum("links").alias("degree"))
     named = classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     smallest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(smallest, "label").join(degree, "cid", "left").select(
@@ -413,26 +508,14 @@ def join_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     )
 
 
-def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels of the nodes after further links; the links of components are joined anew, not theirs."""
-    def named(side: str) -> DataFrame:
-        return labels.select(F.col("node").alias(side), F.col("label").alias(f"l_{side}"))
-
-    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
-        F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")
-    )
-    over = stage(components(between), "labels")
-    nodes = labels.select("node", "label").unionByName(over.select("node", F.col("node").alias("label"))).groupBy("node").agg(
-        F.min("label").alias("label")
-    )
-    named_over = over.select(F.col("node").alias("label"), F.col("label").alias("over"))
-    return nodes.join(named_over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+def _sets_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    reps = stage(classes.join(wanted, "cid", "left_semi").select("cid", "doc_id"), "reps")
+    return stage(class_sets(docs, reps, size), "class-sets")
 
 
 def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    reps = stage(classes.join(wanted, "cid", "left_semi").select("cid", "doc_id"), "reps")
-    return stage(measured(pairs, stage(class_sets(docs, reps, size), "class-sets")), "measured")
+    return stage(measured(pairs, _sets_of(wanted, docs, classes, size)), "measured")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

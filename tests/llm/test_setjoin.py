@@ -77,6 +77,42 @@ def test_a_large_group_of_near_copies(documents):
     assert got == {i: c for i, (_, c) in plain(rows).items()}
 
 
+def all_links(rows, percent=85):
+    """Number of documents that each links with, by comparing all pairs."""
+    sets = {}
+    for doc_id, text in rows:
+        w = text.split()
+        sets[doc_id] = {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else {tuple(w)}
+    links = dict.fromkeys(sets, 0)
+    for a, b in combinations(sets, 2):
+        if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
+    return links
+
+
+@pytest.mark.parametrize(("sets", "shingles"), [(512, 1 << 18), (5, 1 << 18), (512, 300)])
+def test_all_links_are_counted(documents, sets, shingles, monkeypatch):
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", sets)  # the same counts when groups are cut into blocks
+    monkeypatch.setattr(setjoin, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(setjoin, "MATRIX", 2000)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    rows = corpus(7, 80) + [(1000 + i, " ".join(edited(rng, base, i % 4))) for i in range(60)]
+    rows += [(2000 + i, " ".join(base[: 100 + i % 50])) for i in range(70)]
+    got = {r.doc_id: r.links for r in setjoin.join_documents(documents(rows)).collect()}
+    want = all_links(rows)
+    assert got == want and max(want.values()) > 30
+
+
+def test_matrix_of_links_and_what_spans_it():
+    sets = [{1, 2, 3, 4}, {1, 2, 3, 4, 5}, {1, 2, 3, 4, 5, 6}, {9}, {9, 10}]
+    flat = setjoin.np.array([x for s in sets for x in sorted(s)], "int64")
+    near = setjoin.linked_sets(flat, setjoin.np.array([len(s) for s in sets]), 80)
+    assert [tuple(p) for p in setjoin.np.argwhere(near)] == [(0, 1), (1, 0), (1, 2), (2, 1)]
+    assert len(setjoin.spanning(near)[0]) == 2
+
+
 def test_least_overlap_and_prefix_are_exact():
     for a in range(1, 60):
         for b in setjoin.partner_sizes(a):
