@@ -348,6 +348,15 @@ def scored(cuts: DataFrame) -> DataFrame:
     return cuts.groupBy("lang", "phrase", "n").agg(best)
 
 
+def uncovered(candidates: DataFrame) -> DataFrame:
+    """The candidates that lie in no longer one with ``COVER`` percent of their occurrences; only these need scores."""
+    return (
+        candidates.join(_inside(candidates), ["lang", "phrase"], "left")
+        .filter(F.col("most").isNull() | (F.expr(f"most * 100BD < n * {COVER}BD")))
+        .drop("most")
+    )
+
+
 def _inside(candidates: DataFrame) -> DataFrame:
     """(lang, phrase, most): phrases that lie within longer candidates, and the largest count of those."""
     w = F.split("phrase", " ")
@@ -386,12 +395,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """
     phrases, sizes, total = frequent_phrases(docs)
     candidates = phrases.filter(F.col("words") >= MIN_WORDS)
-    best = scored(with_parts(candidates, phrases, total))
-    kept = (
-        best.join(_inside(candidates), ["lang", "phrase"], "left")
-        .filter(F.col("most").isNull() | (F.expr(f"most * 100BD < n * {COVER}BD")))
-        .select("lang", "phrase", F.col("n").alias("a"), "cut.l", "cut.r", "cut.score")
-    )
+    best = scored(with_parts(uncovered(candidates), phrases, total))
+    kept = best.select("lang", "phrase", F.col("n").alias("a"), "cut.l", "cut.r", "cut.score")
     return (
         _ranked(kept, top)
         .join(sizes, "lang")
