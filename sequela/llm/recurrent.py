@@ -69,7 +69,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
                 first += len(part)
                 listed, code, cuts = with_ends(*coded_words(part))
                 both = np.repeat(own, np.diff(cuts)).astype(np.int64) * len(listed) + code
-                pair, n = np.unique(both, return_counts=True)
+                if len(listed) * len(named) <= 8 * len(both):
+                    n = np.bincount(both)
+                    pair = np.flatnonzero(n)
+                    n = n[pair]
+                else:
+                    pair, n = np.unique(both, return_counts=True)
                 tokens = pa.array(listed, pa.binary()).take(pa.array(pair % len(listed)))
                 yield pa.RecordBatch.from_arrays(
                     [tokens, named.take(pa.array(pair // len(listed))), pa.array(n)], names=["token", "group", "n"]
@@ -111,16 +116,20 @@ class Vocabulary:
         return self.suffixes.get(token[-SUFFIX:], self.other)
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The dictionary with units, classes and tail classes, from token counts (token, group, n).
+def word_counts(counts: DataFrame) -> DataFrame:
+    """Counts of words in all groups, with the group that has most of each: token, n, group."""
+    return counts.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "group"))["group"].alias("group"))
+
+
+def vocabulary(counts: DataFrame, by_word: DataFrame) -> Vocabulary:
+    """The dictionary with units, classes and tail classes, from token counts (token, group, n) and ``word_counts``.
 
     What reaches the driver is bounded by ``DICTIONARY``, ``SUFFIXES`` and ``GROUPS``.
     """
     groups = [r["group"] for r in counts.groupBy("group").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "group").limit(GROUPS).collect()]
     place = {g: i for i, g in enumerate(groups)}
     main = F.max(F.struct("n", "group"))
-    by_word = counts.groupBy("token").agg(F.sum("n").alias("n"), main["group"].alias("group"))
-    rows, least = most_frequent(stage(by_word, "words"), "n", DICTIONARY)
+    rows, least = most_frequent(by_word, "n", DICTIONARY)
     top = rows.toPandas().sort_values(["n", "token"], ascending=[False, True])
     ending = F.expr(f"substring(token, greatest(length(token) - {SUFFIX - 1}, 1), {SUFFIX})")
     by_ending = (
@@ -153,10 +162,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(ids, unit, count, suffixes, n_words + len(groups), np.array(unit_class), start, n_words, least)
 
 
-def with_totals(vocab: Vocabulary, counts: DataFrame) -> Vocabulary:
+def with_totals(vocab: Vocabulary, by_word: DataFrame) -> Vocabulary:
     """Add the numbers of tokens and words, in all and in each tail class."""
-    words = counts.groupBy("token").agg(F.sum("n").alias("n"))
-    shared = counts.sparkSession.sparkContext.broadcast(vocab)
+    shared = by_word.sparkSession.sparkContext.broadcast(vocab)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = shared.value
@@ -167,7 +175,7 @@ def with_totals(vocab: Vocabulary, counts: DataFrame) -> Vocabulary:
             yield grouped.rename(columns={"sum": "tokens", "size": "words"})
 
     by_unit = (
-        words.mapInPandas(run, "unit int, tokens long, words long")
+        by_word.select("token", "n").mapInPandas(run, "unit int, tokens long, words long")
         .groupBy("unit")
         .agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
         .toPandas()
@@ -183,7 +191,7 @@ def with_totals(vocab: Vocabulary, counts: DataFrame) -> Vocabulary:
 
 UNITED = (
     "doc_id long, held_out boolean, n_tokens long, known long, counts_log double, tail_log double, "
-    "units array<short>, rest array<binary>, times array<int>"
+    "units binary, rest array<binary>, times array<int>"
 )
 
 
@@ -210,12 +218,18 @@ def united_part(v: Vocabulary, texts: pa.StringArray) -> list[pa.Array]:
         pa.array(np.bincount(doc, ~outside, n).astype(np.int64)),
         pa.array(np.bincount(doc, logs[code], n)),
         pa.array(np.bincount(doc, tail[code], n)),
-        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(unit[code].astype(np.int16))),
+        _bytes(unit[code].astype(np.int16), cuts),
         pa.ListArray.from_arrays(rest_cuts, rest),
         pa.ListArray.from_arrays(rest_cuts, pa.array(times.astype(np.int32))),
     ]
 
 
+def _bytes(values: np.ndarray, cuts: np.ndarray) -> pa.BinaryArray:
+    """Runs of 16-bit numbers as binary values, which Spark carries whole, not number by number."""
+    cuts = (cuts * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(values)])
+
+
 def united(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
     """A row per document: its units, sums over dictionary words, and its words beyond them.
 
@@ -240,7 +254,11 @@ def united(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
 
 class Network:
-    """Gated recurrent network over units; all weights lie in one flat array."""
+    """Gated recurrent network over units; all weights lie in one flat array.
+
+    Inside, states are columns (steps x hidden x lanes), so that gates, candidates and each class's logits are
+    contiguous rows, and the words of a window are sorted by class once.
+    """
 
     def __init__(self, unit_class: np.ndarray, start: np.ndarray, flat: np.ndarray | None = None):
         self.unit_class = np.asarray(unit_class, np.int64)
@@ -260,101 +278,181 @@ class Network:
             self.w[name] = self.flat[self.at[name]].reshape(shape)
             place += size
         self.members = [np.flatnonzero(self.unit_class == c) for c in range(classes)]
+        self.by_class = np.concatenate(self.members)
+        self.class_cuts = np.cumsum([0, *map(len, self.members)]).tolist()
         self.inside = np.zeros(units, np.int64)
         for m in self.members:
             self.inside[m] = np.arange(len(m))
+        self.rooms: dict[str, np.ndarray] = {}
         if start is not None:
             mass = np.exp(start - start.max())
             by_class = np.array([mass[m].sum() for m in self.members])
             self.w["cb"][:] = np.log(by_class / by_class.sum())
             self.w["ob"][:] = start - np.log(by_class[self.unit_class]) - start.max()
 
-    def steps(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States before each step of a window (steps x lanes), and the state after it."""
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array that the next window uses again: fresh memory for each costs more than the sums in it."""
+        size = math.prod(shape)
+        if name not in self.rooms or len(self.rooms[name]) < size:
+            self.rooms[name] = np.empty(size, np.float32)
+        return self.rooms[name][:size].reshape(shape)
+
+    def run(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """States before each step of a window (steps x hidden x lanes), its gates and candidates, and the state after it (hidden x lanes)."""
         w, n = self.w, HIDDEN
-        before = np.empty((*units.shape, n), np.float32)
-        for t in range(len(units)):
-            h = h * fresh[t][:, None]  # a new document begins without a state
-            before[t] = h
-            x = w["x"][units[t]]
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ w["zr"])))
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[:, 2 * n :] + (r * h) @ w["n"])
-            if trace is not None:
-                trace.append((h, z, r, new))
-            h = new + z * (h - new)
-        return before, h
+        steps, width = units.shape
+        by_word = np.ascontiguousarray(w["x"].T)
+        by_word[: 2 * n] *= -1
+        to_gates, to_new = -w["zr"].T, np.ascontiguousarray(w["n"].T)
+        x, before = self.room("x", steps, 3 * n, width), self.room("before", steps, n, width)
+        for t in range(steps):
+            h = np.multiply(h, fresh[t], out=before[t])  # a new document begins without a state
+            np.take(by_word, units[t], axis=1, out=x[t], mode="clip")
+            gates, new = x[t, : 2 * n], x[t, 2 * n :]
+            gates += to_gates @ h
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            new += to_new @ (gates[n:] * h)
+            np.tanh(new, out=new)
+            h = h - new
+            h *= gates[:n]
+            h += new
+        return before, x, h
+
+    def columns(self, by_step: np.ndarray) -> np.ndarray:
+        """Steps x rows x lanes as rows x (steps and lanes)."""
+        steps, rows, width = by_step.shape
+        out = self.room(f"columns {rows}", rows, steps, width)
+        out[:] = by_step.transpose(1, 0, 2)
+        return out.reshape(rows, -1)
+
+    def steps(self, units: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States before each step of a window (steps x lanes x hidden), and the state after it (lanes x hidden)."""
+        before, _, after = self.run(units, fresh, h.T)
+        return before.transpose(0, 2, 1).copy(), after.T
 
     def log_probs(self, states: np.ndarray, units: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Log probability of each unit after its state; with ``grads``, adds gradients to it.
+        """``likelihoods`` of states in rows."""
+        out, back = self.likelihoods(states.T, units, np.arange(len(units)), grads)
+        return out, None if back is None else back.T.copy()
 
-        The second result is the gradient of the log likelihood by the states.
+    def likelihoods(self, states: np.ndarray, units: np.ndarray, at: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log probability of each unit in the places ``at`` after its state, a column; with ``grads``, puts gradients into it.
+
+        The second result is the gradient of the log likelihood by the states, 0 for those in other places.
         """
-        w = self.w
-        goal = self.unit_class[units]
-        logits = states @ w["c"] + w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        share = np.exp(logits)
-        total = share.sum(1, keepdims=True)
-        rows = np.arange(len(units))
-        out = logits[rows, goal] - np.log(total[:, 0])
-        back = None
+        w, n = self.w, HIDDEN
+        goal = self.unit_class[units[at]]
+        order = np.argsort(goal.astype(np.int16), kind="stable")
+        goal, at = goal[order], at[order]
+        mine, k = self.inside[units[at]], np.arange(len(at))
+        s = self.room("states", n + 1, len(at))
+        s[n] = 1  # for the biases
+        for i in range(n):
+            np.take(states[i], at, out=s[i], mode="clip")
+        weights = np.vstack([w["c"], w["cb"]]).T
+        share, out, total = _shares(weights, s, goal, k, self.room("classes", len(weights), len(at)), _large(weights))
+        out -= np.log(total)
         if grads is not None:
-            gap = -share / total
-            gap[rows, goal] += 1
-            grads["c"] += states.T @ gap
-            grads["cb"] += gap.sum(0)
-            back = gap @ w["c"].T
-        order = np.argsort(goal, kind="stable")
-        cuts = np.searchsorted(goal[order], np.arange(len(self.members) + 1))
-        for c, m in enumerate(self.members):
-            some = order[cuts[c] : cuts[c + 1]]
-            if not len(some) or len(m) == 1:
+            share[goal, k] -= total  # so that share / -total is the gradient by the logits
+            by_class = (s / -total) @ share.T
+            grads["c"][:] = by_class[:n]
+            grads["cb"][:] = by_class[n]
+            back = self.room("back", n, len(at) + 1)
+            back[:, -1] = 0
+            np.matmul(w["c"], share, out=back[:, :-1])
+            back[:, :-1] /= -total
+            by_unit = np.zeros((len(self.unit_class), n + 1), np.float32)
+        weights = np.column_stack([w["o"], w["ob"]])[self.by_class]
+        large, totals = _large(weights), np.ones(len(at), np.float32)
+        cuts = np.searchsorted(goal, np.arange(len(self.members) + 1)).tolist()
+        for first, last, a, b in zip(self.class_cuts, self.class_cuts[1:], cuts, cuts[1:]):
+            if a == b or last == first + 1:
                 continue
-            weight = w["o"][m]
-            s = states[some]
-            inner = s @ weight.T + w["ob"][m]
-            inner -= inner.max(1, keepdims=True)
-            share = np.exp(inner)
-            total = share.sum(1, keepdims=True)
-            k, mine = np.arange(len(some)), self.inside[units[some]]
-            out[some] += inner[k, mine] - np.log(total[:, 0])
+            weight, part = weights[first:last], s[:, a:b]
+            share, own, total = _shares(weight, part, mine[a:b], k[: b - a], self.room("units", last - first, b - a), large)
+            out[a:b] += own
+            totals[a:b] = total
             if grads is not None:
-                gap = -share / total
-                gap[k, mine] += 1
-                grads["o"][m] += gap.T @ s
-                grads["ob"][m] += gap.sum(0)
-                back[some] += gap @ weight
-        return out, back
+                share[mine[a:b], k[: b - a]] -= total
+                total = -1 / total
+                by_unit[first:last] = share @ (part * total).T
+                inner = weight[:, :n].T @ share
+                inner *= total
+                back[:, a:b] += inner
+        out -= np.log(totals)
+        logs = np.empty_like(out)
+        logs[order] = out
+        if grads is None:
+            return logs, None
+        grads["o"][self.by_class] = by_unit[:, :n]
+        grads["ob"][self.by_class] = by_unit[:, n]
+        place = np.full(states.shape[1], len(at))
+        place[at] = k
+        whole = self.room("whole", n, len(place))
+        for i in range(n):
+            np.take(back[i], place, out=whole[i], mode="clip")
+        return logs, whole
 
     def gradients(self, units: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """State after a window, and the window's gradients, by backpropagation to its begin."""
         w, n = self.w, HIDDEN
-        trace: list = []
-        before, after = self.steps(units, fresh, h, trace)
-        grads = {k: np.zeros_like(v) for k, v in w.items()}
-        flat_live = live.ravel()
-        _, back = self.log_probs(before.reshape(-1, n)[flat_live], units.ravel()[flat_live], grads)
-        by_state = np.zeros((units.size, n), np.float32)
-        by_state[flat_live] = back
-        by_state = by_state.reshape(*units.shape, n)
-        by_x = np.empty((*units.shape, 3 * n), np.float32)
-        dh = np.zeros_like(h)
+        before, x, after = self.run(units, fresh, h.T)
+        z, r, new = x[:, :n], x[:, n : 2 * n], x[:, 2 * n :]
+        grads = {k: np.empty_like(v) for k, v in w.items()}
+        _, by_state = self.likelihoods(self.columns(before), units.ravel(), np.flatnonzero(live), grads)
+        by_state = by_state.reshape(n, *units.shape)
+        # what the state's gradient is multiplied by on its way to candidates, z and r
+        to_new, to_z, to_r, rest = (self.room(name, *before.shape) for name in ("to new", "to z", "to r", "rest"))
+        np.subtract(1, z, out=to_new)
+        np.subtract(before, new, out=to_z)
+        to_z *= z
+        to_z *= to_new
+        np.multiply(new, new, out=rest)
+        np.subtract(1, rest, out=rest)
+        to_new *= rest
+        seen = np.multiply(before, r, out=self.room("seen", *before.shape))
+        np.subtract(1, r, out=rest)
+        np.multiply(seen, rest, out=to_r)
+        by_x = self.room("by x", *x.shape)
+        dh = np.zeros(before.shape[1:], np.float32)
         for t in range(len(units) - 1, -1, -1):
-            h0, z, r, new = trace[t]
-            d_new = dh * (1 - z) * (1 - new * new)
-            d_rh = d_new @ w["n"].T
-            d_gates = np.concatenate([dh * (h0 - new) * z * (1 - z), d_rh * h0 * r * (1 - r)], 1)
-            grads["n"] += (r * h0).T @ d_new
-            grads["zr"] += h0.T @ d_gates
-            by_x[t, :, : 2 * n], by_x[t, :, 2 * n :] = d_gates, d_new
-            dh = dh * z + d_rh * r + d_gates @ w["zr"].T + by_state[t]
-            dh *= fresh[t][:, None]
-        order = np.argsort(units.ravel(), kind="stable")
-        sorted_units = units.ravel()[order]
-        cuts = np.flatnonzero(np.r_[True, sorted_units[1:] != sorted_units[:-1]])
-        grads["x"][sorted_units[cuts]] += np.add.reduceat(by_x.reshape(-1, 3 * n)[order], cuts, axis=0)
-        return after, grads
+            d_new, d_gates = by_x[t, 2 * n :], by_x[t, : 2 * n]
+            np.multiply(dh, to_new[t], out=d_new)
+            d_rh = w["n"] @ d_new
+            np.multiply(dh, to_z[t], out=d_gates[:n])
+            np.multiply(d_rh, to_r[t], out=d_gates[n:])
+            dh *= z[t]
+            d_rh *= r[t]
+            dh += d_rh
+            dh += w["zr"] @ d_gates
+            dh += by_state[:, t]
+            dh *= fresh[t]
+        grads["n"][:] = (seen @ by_x[:, 2 * n :].transpose(0, 2, 1)).sum(0)
+        grads["zr"][:] = (before @ by_x[:, : 2 * n].transpose(0, 2, 1)).sum(0)
+        number, by_word = units.ravel(), np.zeros(w["x"].shape[::-1], np.float32)
+        for to, row in zip(by_word, self.columns(by_x)):
+            np.add.at(to, number, row)
+        grads["x"][:] = by_word.T
+        return after.T, grads
+
+
+def _large(weights: np.ndarray) -> bool:
+    """Whether exponentials of logits may overflow; a state's numbers are between -1 and 1."""
+    return bool(np.abs(weights).sum(1).max() > 80)
+
+
+def _shares(
+    weight: np.ndarray, states: np.ndarray, goal: np.ndarray, k: np.ndarray, share: np.ndarray, large: bool
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shares of all choices (choices x states, written to ``share``), the logit of each state's ``goal``, and the shares' totals."""
+    np.matmul(weight, states, out=share)
+    if large:
+        share -= share.max(0)
+    out = share[goal, k]
+    np.exp(share, out=share)
+    return share, out, share.sum(0)
 
 
 def lanes(sizes: np.ndarray, width: int = LANES) -> list[list[int]]:
@@ -376,11 +474,18 @@ class Laid:
     fresh: np.ndarray
     doc: np.ndarray  # -1 beyond a lane's end
 
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of each window, without the lanes that have ended before it."""
+        for at in range(0, len(self.doc), WINDOW):
+            there = slice(at, at + WINDOW), slice(0, int((self.doc[at] >= 0).sum()))
+            yield self.units[there].astype(np.int64), self.fresh[there], self.doc[there]
+
 
 def laid(values: np.ndarray, offsets: np.ndarray) -> Laid:
     sizes = np.diff(offsets)
-    dealt = lanes(sizes)
-    length = max((int(sizes[d].sum()) for d in dealt if d), default=0)
+    # long lanes first, so that lanes that have ended are the last ones
+    dealt = sorted(lanes(sizes), key=lambda d: -sizes[d].sum())
+    length = int(sizes[dealt[0]].sum()) if dealt else 0
     units = np.zeros((length, len(dealt)), np.int16)
     fresh = np.ones((length, len(dealt)), np.float32)
     doc = np.full((length, len(dealt)), -1, np.int32)
@@ -396,16 +501,19 @@ def laid(values: np.ndarray, offsets: np.ndarray) -> Laid:
     return Laid(units, fresh, doc)
 
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return values, offsets
+def _lists(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all of the column's values, and where each value begins and ends among them."""
+    wide = isinstance(column, pa.LargeBinaryArray)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[: int(offsets[-1])].view(np.int16) if data is not None else np.zeros(0, np.int16)
+    return values, offsets // 2
 
 
 PART_TOKENS = 2_000_000  # that are laid out at once
 
 
-def _parts(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _parts(column: pa.BinaryArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """A batch's documents in parts of bounded size: first document, values, offsets."""
     values, offsets = _lists(column)
     first = 0
@@ -420,13 +528,12 @@ def score_batch(net: Network, values: np.ndarray, offsets: np.ndarray) -> np.nda
     n = len(offsets) - 1
     total = np.zeros(n)
     page = laid(values, offsets)
-    h = np.zeros((page.units.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(page.units), WINDOW):
-        units = page.units[at : at + WINDOW]
-        before, h = net.steps(units, page.fresh[at : at + WINDOW], h)
-        doc = page.doc[at : at + WINDOW].ravel()
-        live = doc >= 0
-        logs, _ = net.log_probs(before.reshape(-1, HIDDEN)[live], units.ravel()[live].astype(np.int64))
+    h = np.zeros((HIDDEN, page.units.shape[1]), np.float32)
+    for units, fresh, doc in page.windows():
+        before, _, h = net.run(units, fresh, h[:, : doc.shape[1]])
+        doc = doc.ravel()
+        live = np.flatnonzero(doc >= 0)
+        logs, _ = net.likelihoods(net.columns(before), units.ravel(), live)
         total += np.bincount(doc[live], logs, n)
     return total
 
@@ -435,15 +542,17 @@ def train_batch(net: Network, seen: np.ndarray, values: np.ndarray, offsets: np.
     """Go through the documents once, with an Adagrad step for each window; returns the tokens read."""
     page = laid(values, offsets)
     h = np.zeros((page.units.shape[1], HIDDEN), np.float32)
-    for at in range(0, len(page.units), WINDOW):
-        units, fresh = page.units[at : at + WINDOW].astype(np.int64), page.fresh[at : at + WINDOW]
-        live = page.doc[at : at + WINDOW] >= 0
-        h, grads = net.gradients(units, fresh, live, h)
+    for units, fresh, doc in page.windows():
+        live = doc >= 0
+        h, grads = net.gradients(units, fresh, live, h[: doc.shape[1]])
         scale = 1 / max(1, int(live.sum()))
         for name, part in net.at.items():
-            g = grads[name].ravel() * scale * 100
-            seen[part] += g * g
-            net.flat[part] += RATE * g / (np.sqrt(seen[part]) + 1e-4)
+            g, square = grads[name].ravel(), seen[part]
+            g *= scale * 100
+            square += g * g
+            g *= RATE
+            g /= np.sqrt(square) + 1e-4
+            net.flat[part] += g
     return int(offsets[-1] - offsets[0])
 
 
@@ -524,8 +633,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     group = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     training = docs.filter(~held_out(F.col("doc_id"))).select("text", group.alias("group"))
     counts = stage(token_counts(training), "token-counts")
-    vocab = vocabulary(counts)
-    vocab = with_totals(vocab, counts)
+    by_word = stage(word_counts(counts), "words")
+    vocab = with_totals(vocabulary(counts, by_word), by_word)
     made = united(docs, vocab).withColumns(
         {"row": F.monotonically_increasing_id(), "round": F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(ROUNDS))}
     )
@@ -535,7 +644,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     words = made.select("row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select(
         "row", F.col("w.rest").alias("token"), F.col("w.times").alias("times")
     )
-    known = counts.groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") < vocab.least)
+    known = by_word.select("token", "n").filter(F.col("n") < vocab.least)
     far = (
         words.join(known, "token")
         .groupBy("row")

@@ -1,10 +1,12 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sequela.llm import recurrent as R
 
@@ -151,3 +153,42 @@ def test_odd_rows(odd, documents):
     alone = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = R.score_documents(documents([(alone, "some words")])).collect()[0]
     assert (r.train_tokens, r.n_known, r.base_score) == (0, 0, 0.0)
+
+
+def test_ended_lanes_are_left_out_of_a_window():
+    docs = [[1] * 100, [2] * 40, [3] * 3]
+    page = R.laid(*packed(docs))
+    assert [units.shape for units, *_ in page.windows()] == [(32, 3), (32, 2), (32, 1), (4, 1)]
+    seen = [d for _, _, doc in page.windows() for d in doc[doc >= 0].tolist()]
+    assert Counter(seen) == {0: 100, 1: 40, 2: 3}
+
+
+def test_a_window_makes_no_large_arrays_anew():
+    """Fresh memory for every window costs a third of its time."""
+    rng = np.random.default_rng(5)
+    unit_class = np.sort(np.arange(2000) % 40)
+    net = R.Network(unit_class, np.zeros(2000))
+    units = rng.integers(0, 2000, (R.WINDOW, R.LANES))
+    fresh, live, h = np.ones(units.shape, np.float32), np.ones(units.shape, bool), np.zeros((R.LANES, R.HIDDEN), np.float32)
+    net.gradients(units, fresh, live, h)
+    weights = 4 * len(net.flat)
+    tracemalloc.start()
+    net.gradients(units, fresh, live, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * weights
+
+
+def test_counts_of_groups_are_the_same_when_sparse(documents):
+    rows = [(i, f"a{i} b{i} common", f"g{i}") for i in range(200)]
+    docs = documents(rows).select("text", F.col("lang").alias("group")).coalesce(1)
+    got = {(bytes(r.token), r.group): r.n for r in R.token_counts(docs).collect()}
+    assert got == Counter((t.encode(), lang) for _, text, lang in rows for t in [*text.split(), " "])
+
+
+def test_large_weights_do_not_overflow():
+    net = small_net()
+    net.w["o"][:] *= 200
+    net.w["c"][:] *= 200
+    docs = [[0, 3, 5, 6, 8, 1] * 5]
+    assert R.score_batch(net, *packed(docs)) == pytest.approx([slow_score(net, d) for d in docs], rel=1e-3)
