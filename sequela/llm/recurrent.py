@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sequela.llm.text import coded_words, most_frequent, text_slices
+from sequela.llm.text import coded_words, most_frequent, text_slices, word_codes
 from sequela.sources.stages import stage
 
 END = b" "  # no word holds a space
@@ -67,7 +67,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
             for part in text_slices(batch.column(0), 1 << 26):
                 own = group[first : first + len(part)]
                 first += len(part)
-                listed, code, cuts = with_ends(*coded_words(part))
+                listed, code, cuts = word_codes(part)
+                code, cuts = with_ends(len(listed), code, cuts)
+                listed = pa.concat_arrays([listed, pa.array([END], pa.binary())])
                 both = np.repeat(own, np.diff(cuts)).astype(np.int64) * len(listed) + code
                 if len(listed) * len(named) <= 8 * len(both):
                     n = np.bincount(both)
@@ -75,7 +77,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
                     n = n[pair]
                 else:
                     pair, n = np.unique(both, return_counts=True)
-                tokens = pa.array(listed, pa.binary()).take(pa.array(pair % len(listed)))
+                tokens = listed.take(pa.array(pair % len(listed)))
                 yield pa.RecordBatch.from_arrays(
                     [tokens, named.take(pa.array(pair // len(listed))), pa.array(n)], names=["token", "group", "n"]
                 )
@@ -84,12 +86,12 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return raw.groupBy("token", "group").agg(F.sum("n").alias("n"))
 
 
-def with_ends(listed: list[bytes], code: np.ndarray, cuts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The same with the end token after each text."""
+def with_ends(end: int, code: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with the end token, of number ``end``, after each text."""
     n = len(cuts) - 1
-    out = np.full(len(code) + n, len(listed), np.int64)
+    out = np.full(len(code) + n, end, np.int64)
     out[np.arange(len(code)) + np.repeat(np.arange(n), np.diff(cuts))] = code
-    return [*listed, END], out, cuts + np.arange(n + 1)
+    return out, cuts + np.arange(n + 1)
 
 
 # --- vocabulary ---------------------------------------------------------------------------
@@ -197,7 +199,9 @@ UNITED = (
 
 def united_part(v: Vocabulary, texts: pa.StringArray) -> list[pa.Array]:
     """The computed columns of ``united`` for some texts."""
-    listed, code, cuts = with_ends(*coded_words(texts))
+    listed, code, cuts = coded_words(texts)
+    code, cuts = with_ends(len(listed), code, cuts)
+    listed.append(END)
     n, sizes = len(texts), np.diff(cuts)
     doc = np.repeat(np.arange(n), sizes)
     # by distinct word

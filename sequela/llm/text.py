@@ -145,15 +145,21 @@ def coded_words(texts: pa.StringArray, lower: bool = True) -> tuple[list[bytes],
 
     Text i has the words ``codes[cuts[i]:cuts[i + 1]]``.
     """
+    distinct, code, cuts = word_codes(texts, lower)
+    return distinct.to_pylist(), code, cuts
+
+
+def word_codes(texts: pa.StringArray, lower: bool = True) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
+    """``coded_words`` with the distinct words as an array."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     coded = lists.flatten().dictionary_encode()
-    listed = coded.dictionary.cast(pa.binary()).to_pylist()
+    distinct = coded.dictionary.cast(pa.binary())
     code = coded.indices.to_numpy(zero_copy_only=False)
     # a text's first and last pieces are empty where it begins or ends in white space
-    word = np.array([len(x) > 0 for x in listed], bool)[code] if len(code) else np.zeros(0, bool)
+    word = (pc.binary_length(distinct).to_numpy(zero_copy_only=False) > 0)[code] if len(code) else np.zeros(0, bool)
     offsets = lists.offsets.to_numpy()
     before = np.concatenate([[0], np.cumsum(word)])
-    return listed, code[word], before[offsets - offsets[0]]
+    return distinct, code[word], before[offsets - offsets[0]]
 
 
 def most_frequent(counts: DataFrame, n: str, limit: int, tie: str | None = None) -> tuple[DataFrame, int]:
