@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -162,6 +164,13 @@ def word_codes(texts: pa.StringArray, lower: bool = True) -> tuple[pa.BinaryArra
     return distinct, code[word], before[offsets - offsets[0]]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def most_frequent(counts: DataFrame, n: str, limit: int, tie: str | None = None) -> tuple[DataFrame, int]:
     """Rows of the largest counts, ``limit`` at most, and the smallest count of the bins taken whole.
 

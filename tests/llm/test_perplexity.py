@@ -2,9 +2,14 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sequela.llm import perplexity as P
+from sequela.llm.text import words
+from sequela.sources.stages import scratch_folder
 
 
 def plain_model(texts):
@@ -270,3 +275,71 @@ def test_near_copies_fall_in_one_half(documents):
     assert len(got) == len(rows)  # none is left out
     pairs = [(half[a[1]], half[b[1]]) for a, b in zip(rows[::2], rows[1::2])]
     assert sum(x == y for x, y in pairs) >= 58 and {x for x, _ in pairs} == {0, 1}
+
+
+def test_parts_and_rounds_do_not_change_scores(all_labelled, spark):
+    docs, labels, _ = all_labelled
+    sample = P.labelled_texts(docs.filter("lang in ('l0', 'l1')"), labels).cache()
+    table = sample.select("lang", "text").limit(60).unionByName(spark.createDataFrame([("l0", "0e1 0e2 unseen 0e1"), ("none", "0e1")], "lang string, text string"))
+    keyed = table.unionByName(table).select(P.text_key().alias("t"), P.language_key().alias("lang"), "text").cache()
+    models = P.fit_all(sample)
+    one, many = [{r.t: r[1:] for r in P.score_all(keyed, models, parts).collect()} for parts in (1, 40)]
+    assert set(one) == set(many) and len(one) == 61
+    for t in one:
+        assert many[t] == pytest.approx(one[t], rel=1e-6)
+
+
+def test_words_of_several_parts_are_dealt_evenly():
+    n, often = 8, np.array([3, 5], np.int64)
+    dealt = P.Parts(n, 4, 1, often, np.array([4, 2], np.int64))
+    words_ = np.array([0, 0, 1, *[2 + i % 500 for i in range(2000)]], np.int32)
+    g = P.Slice(np.zeros(1, int), np.zeros(1, int), np.array([len(words_) - 1]), np.arange(3, 600, dtype=np.int64), np.zeros(597, int), words_, np.arange(len(words_)) >= 2)
+    found = [dealt.of(g, [r]) for r in range(4)]
+    assert sorted(np.concatenate([at for at, _ in found])) == list(range(2, len(words_)))
+    assert all((part % 4 == r).all() for r, (_, part) in enumerate(found))
+    for i, word in enumerate(often - 3):
+        of = {int(p) for at, part in found for p in part[words_[at - 1] == word]}
+        assert of <= set(dealt.all_of(i).tolist())
+
+
+def test_sketches_equal_those_of_spark(spark):
+    texts = ["a b c d e f g", "abcdefgh " * 6, "x" * 40 + " b c \u00e9\u6f22 d " + "y" * 32 + " " + "z" * 33, "one two", "", "a" * 31 + " 1234567 12345678 123456789012 a b"]
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (P.SKETCH_WORDS - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, P.SKETCH_WORDS)))
+
+    def smallest(k):
+        return F.array_min(F.transform("runs", lambda x: F.xxhash64(x, F.lit(k))))
+
+    least = F.array(*[smallest(k) for k in range(P.SKETCH)])
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("w", words(F.col("text"))).withColumn("runs", runs)
+    want = [r.least for r in df.select("i", least.alias("least")).orderBy("i").collect()]
+    assert P.run_sketches(pa.array(texts)).tolist() == want
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    arrays = [np.sort(rng.integers(0, 1 << 62, 50)), rng.integers(0, 1 << 40, 50), rng.integers(0, 300, 50).astype(np.int32), np.zeros(0, np.int64), np.zeros(3, np.int64)]
+    for x, y in zip(arrays, P._unpacked(P._packed(*arrays))):
+        assert x.tolist() == y.tolist()
+
+
+def test_lookup_equals_a_dict():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+        wanted = np.concatenate([keys, rng.integers(-(1 << 63), (1 << 63) - 1, 50), [0, -1]])
+        at = {k: i for i, k in enumerate(keys.tolist())}
+        assert P.Lookup(keys).find(wanted).tolist() == [at.get(k, len(keys)) for k in wanted.tolist()]
+
+
+def test_no_table_of_ngrams_stays_on_disk(all_labelled, spark):
+    """Tables of all n-grams took over ten times the texts' bytes."""
+    docs, labels, rows = all_labelled
+
+    def on_disk():
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
+    before = on_disk()
+    assert P.judge_all(docs, labels).count() == len(rows)
+    assert on_disk() - before < 2 * sum(len(r[1]) for r in rows)
