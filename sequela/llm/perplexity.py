@@ -1,8 +1,8 @@
 """Quality rules: n-gram perplexity under a modified Kneser-Ney model, with bands per language.
 
 ``judge_all`` and ``keep_all`` count the models on all documents that are labelled good, two of each
-language, each on half of its texts. Models stay tables of n-gram hashes, which the n-grams of all texts
-meet by joins. ``fit`` and ``judge`` are the same for a bounded sample, whose models are pairs of arrays,
+language, each on half of its texts. N-grams are counted in parts, where those of all texts meet the
+counts, and parts are taken in rounds. ``fit`` and ``judge`` are the same for a bounded sample, whose models are pairs of arrays,
 n-gram hashes in ascending order and their probabilities, which tasks search by bisection. A document is rejected where
 both models put its perplexity above its language's band, or both below, or where a plain rule fails. A
 copy of a counted text is known to one half only, so it is judged like any other; the perplexity
@@ -842,7 +842,7 @@ def _from_slices(coded: DataFrame, shared: Broadcast, make: Callable[[Slice, int
         for batch in batches:
             for i in range(len(batch)):
                 kind, name, data = (batch.column(k)[i].as_py() for k in (1, 2, 4))
-                yield from _arrow(make(Slice.of(data, name, shared.value, counted), name, kind)).to_batches()
+                yield from _arrow(make(Slice.of(data, name, Fit(*shared.value), counted), name, kind)).to_batches()
 
     return coded.filter(F.col("kind").isin(TEST, ONLY_COUNTED)).mapInArrow(run, ROWS)
 
@@ -897,7 +897,7 @@ def _score(coded: DataFrame, fit: Fit, parts: int | None = None, squares: bool =
     spark = coded.sparkSession
     if not len(fit.known):
         return spark.createDataFrame([], SCORES)
-    shared = spark.sparkContext.broadcast(fit)
+    shared = spark.sparkContext.broadcast((fit.known, fit.keys, fit.slices, fit.halves))
     words_ = follow = sums = answers = None
     with shuffles_removed(spark):
         dealt = _dealing(coded, shared, parts)
@@ -922,7 +922,10 @@ def _score(coded: DataFrame, fit: Fit, parts: int | None = None, squares: bool =
             sums = _more(sums, found, lambda x: _in_parts(x, few, _summed, key="id"), "sums")
         dropped(words_, follow, answers)
         keys = coded.filter(F.col("kind") == KEYS).select("part", "kind", "id", "n", F.lit(None).cast("binary").alias("data"))
-        scores = stage(_in_parts(sums.unionByName(keys), few, _named, SCORES, "id").dropDuplicates(["t"]), "scores")
+        named = _in_parts(sums.unionByName(keys), few, _named, SCORES, "id")
+        # copies in several slices have equal sums; squares may come with the counted one alone
+        most = [F.max(c.split()[0]).alias(c.split()[0]) for c in SCORES.split(", ")[2:]]
+        scores = stage(named.groupBy("t", "lang").agg(*most), "scores")
         dropped(sums)
     shared.unpersist()
     return scores
@@ -981,7 +984,7 @@ def _dealing(coded: DataFrame, shared: Broadcast, parts: int | None = None) -> P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
-                g = Slice.of(data, name, shared.value)
+                g = Slice.of(data, name, Fit(*shared.value))
                 c = np.bincount(g.words, minlength=len(g.listed))
                 often = np.flatnonzero(c * (HOT_SHARE * n) > len(g.words))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (g.listed[often], c[often])], names=["word", "c"])
@@ -1278,7 +1281,7 @@ def _bands(scores: DataFrame, halves: DataFrame) -> DataFrame:
 def text_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Of each distinct text of a language with a model: t, perplexity, and whether it is ``inside`` the band.
 
-    The models and bands are of all labelled good texts, and all documents are scored, by joins on n-grams.
+    The models and bands are of all labelled good texts, and all documents are scored; see ``_score``.
     """
     spark = docs.sparkSession
     with shuffles_removed(spark):
